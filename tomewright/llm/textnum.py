@@ -7,7 +7,6 @@ come from one prefix sum of a polynomial over the buffer, so no Python code runs
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -45,15 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    return _powers(1 << max(12, int(n - 1).bit_length()), base)[:n] if n else np.zeros(0, np.uint64)
+    """base**0 to base**(n - 1), modulo 2**64; one growing table a base is kept."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(12, int(n - 1).bit_length()), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n] if n else np.zeros(0, np.uint64)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,46 @@ def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the byte strings data[starts:ends]."""
+    return span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
+def code_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 in data[starts:ends]."""
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=sums[1:])
+    return sums[ends] - sums[starts]
+
+
+def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys occur at least twice, and which have occurred before."""
+    twice, before = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        order = np.argsort(keys)
+        same = keys[order[1:]] == keys[order[:-1]]
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        before |= twice
+        at = np.flatnonzero(np.r_[True, ~same])
+        before[np.minimum.reduceat(order, at)] = False
+    return twice, before
+
+
+def covered(marks: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n words lie in a marked window of ``size`` words, by the windows' first words."""
+    depth = np.zeros(n + 1, np.int32)
+    depth[: len(marks)] += marks
+    depth[size : size + len(marks)] -= marks
+    return np.cumsum(depth[:n]) > 0
+
+
+def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text's words."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out[first[1:]] - out[first[:-1]]
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """For each word the number of its text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
