@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
+from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
 }
