@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tomewright.llm.mixing import op8_mix_sources
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tomewright.llm.simhash_dedup import op10_simhash_dedup
 from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
@@ -13,6 +14,7 @@ from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_mix_sources": op8_mix_sources,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
