@@ -3,9 +3,10 @@
 1. Every window of ``window`` consecutive words is an edge between its first and last ``window - 1`` words.
    Consecutive windows that share their minimiser (the least hash of the short n-grams inside) travel as one row,
    an edge run; equal windows have equal minimisers, so only runs whose minimiser occurs twice can repeat.
-2. A minimiser whose runs are all alike stands for its run. Joins find the runs that follow each other at every
-   one of their occurrences: nonbranching paths. Only the first run of a path is joined back to its occurrences.
-3. Minimisers with unlike runs (the ends of repeated spans, edits) are spelled out window by window.
+2. Runs of equal words are one kind of run. Runs that follow each other at every one of their occurrences make a
+   nonbranching path; joins compact it, and only its first run is joined back to the occurrences.
+3. Where a minimiser has several kinds of runs (ends of repeated spans, edits), the first occurrence of each kind is
+   spelled out window by window; its later ones hold no window that is new.
 4. Source coordinates (document, word number) tell the first occurrence; all other occurrences are removed.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.llm import textnum as tn
-from tomewright.llm.common import only, read_table, stage_table
+from tomewright.llm.common import drop_table, only, read_table, stage_table
 
 WINDOW, ANCHOR = 20, 6
 #: A second multiplier: run and window hashes don't depend on that of words and minimisers.
@@ -67,20 +68,21 @@ def _runs_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(spell, f"doc {docs.schema[0].dataType.simpleString()}, start int, n int, least bigint, content bigint")
 
 
-def _paths(runs: DataFrame, first: DataFrame) -> DataFrame:
-    """Nonbranching paths of runs: minimiser of the path's first run, its first coordinates, its windows."""
-    alike = first.where("alike").select("least", "times", "fdoc", "fstart", "fn")
-    seen = runs.join(alike.select("least"), "least", "left_semi").select("doc", "start", "n", "least")
-    follow = seen.select(F.col("doc").alias("doc2"), F.col("start").alias("start2"), F.col("least").alias("next"))
-    steps = seen.join(follow, seen.doc.eqNullSafe(follow.doc2) & (seen.start + seen.n == follow.start2)).groupBy("least", "next").agg(F.count("*").alias("steps"))
-    times = alike.select("least", "times")
-    after = times.select(F.col("least").alias("next"), F.col("times").alias("times2"))
-    inner = steps.join(times, "least").join(after, "next").where("steps = times and steps = times2").select(F.col("next").alias("least"), F.lit(True).alias("inner"))
+def _paths(seen: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Nonbranching paths of repeated runs: the path's first run, its first coordinates, its windows.
+
+    ``seen`` has every occurrence of a repeated run with the run's number of occurrences. A run and the one behind it
+    are joined if they follow each other as often as each of them occurs.
+    """
+    along = Window.partitionBy("doc").orderBy("start")
+    steps = seen.select("least", "content", "times", "start", "n", *[F.lead(c).over(along).alias(f"{c}2") for c in ("least", "content", "times", "start")])
+    steps = steps.where("start2 = start + n and times2 = times").groupBy("least", "content", "times", "least2", "content2").agg(F.count("*").alias("steps"))
+    inner = steps.where("steps = times").select(F.col("least2").alias("least"), F.col("content2").alias("content"), F.lit(True).alias("inner"))
+    marked = kinds.join(inner, ["least", "content"], "left").withColumn("head", F.when(F.col("inner").isNull(), F.col("fstart")))
     along = Window.partitionBy("fdoc").orderBy("fstart")
-    marked = alike.join(inner, "least", "left").withColumn("head", F.when(F.col("inner").isNull(), F.col("fstart")))
     held = marked.withColumn("path", F.last("head", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    total = Window.partitionBy("fdoc", "path")
-    return held.withColumn("windows", F.sum("fn").over(total).cast("int")).where("head is not null").select("least", "fdoc", "fstart", "windows")
+    total = F.sum("fn").over(Window.partitionBy("fdoc", "path"))
+    return held.withColumn("windows", total.cast("int")).where("head is not null").select("least", "content", "fdoc", "fstart", "windows")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -90,15 +92,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     where a minimiser repeats, so the shuffles stay below the size of the texts.
     """
     docs = docs.toDF("doc", "text")
-    runs = stage_table(_runs_of(docs, window, anchor), "edge-runs")
-    twice = runs.groupBy("least").agg(F.count("*").alias("times")).where("times > 1").select("least")
-    runs = stage_table(runs.join(twice, "least", "left_semi"), "repeated-runs")
-    stats = runs.groupBy("least").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.min(F.struct("doc", "start", "n")).alias("at"))
-    first = stage_table(stats.select("least", "times", (F.col("lo") == F.col("hi")).alias("alike"), F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart"), F.col("at.n").alias("fn")), "first-runs")
+    everything = stage_table(_runs_of(docs, window, anchor), "edge-runs")
+    twice = everything.groupBy("least").agg(F.count("*").alias("times")).where("times > 1").select("least")
+    runs = stage_table(everything.join(twice, "least", "left_semi"), "repeated-runs")
+    drop_table(everything)
+    kinds = runs.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("at"))
+    kinds = stage_table(kinds.select("least", "content", "times", F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart"), F.col("at.n").alias("fn")), "run-kinds")
     elsewhere = ~(F.col("doc").eqNullSafe(F.col("fdoc")) & (F.col("start") == F.col("fstart")))
-    along = runs.select("least", "doc", "start").join(_paths(runs, first), "least").where(elsewhere).select("doc", "start", F.col("windows").alias("n"))
 
-    unlike = runs.join(first.where("not alike").select("least"), "least", "left_semi").groupBy(F.col("doc").alias("udoc")).agg(F.collect_list(F.struct("start", "n", "least")).alias("at"))
+    repeated = kinds.where("times > 1")
+    seen = stage_table(runs.select("least", "content", "doc", "start", "n").join(repeated.select("least", "content", "times"), ["least", "content"]), "run-occurrences")
+    drop_table(runs)
+    paths = stage_table(_paths(seen, repeated), "paths")
+    along = seen.select("least", "content", "doc", "start").join(paths, ["least", "content"]).where(elsewhere).select("doc", "start", F.col("windows").alias("n"))
+
+    several = kinds.groupBy("least").agg(F.count("*").alias("kinds")).where("kinds > 1").select("least")
+    unlike = kinds.join(several, "least", "left_semi").select(F.col("fdoc").alias("udoc"), F.struct(F.col("fstart").alias("start"), F.col("fn").alias("n"), "least").alias("run"))
+    unlike = unlike.groupBy("udoc").agg(F.collect_list("run").alias("at"))
     some = docs.join(unlike, docs.doc.eqNullSafe(unlike.udoc)).select("doc", "text", "at")
     kind = docs.schema["doc"].dataType.simpleString()
 
@@ -125,7 +135,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     firsts = windows.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start")).alias("at")).where("times > 1")
     firsts = firsts.select("least", "content", F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart"))
     single = windows.join(firsts, ["least", "content"]).where(elsewhere).select("doc", "start", F.lit(1).alias("n"))
-    return along.unionByName(single)
+    spans = stage_table(along.unionByName(single), "spans")
+    for table in (kinds, seen, paths, windows):
+        drop_table(table)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, layout: str = "words") -> DataFrame:
