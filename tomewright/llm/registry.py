@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tomewright.llm.chat import OP6_SQL, op6_format_chats
+from tomewright.llm.decontaminate import op9_decontaminate
 from tomewright.llm.mixing import op8_mix_sources
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tomewright.llm.simhash_dedup import op10_simhash_dedup
 from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
+from tomewright.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_format_chats": op6_format_chats,
     "op8_mix_sources": op8_mix_sources,
+    "op9_decontaminate": op9_decontaminate,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_substring_dedup": OP5_SQL,
+    "op6_format_chats": OP6_SQL,
 }

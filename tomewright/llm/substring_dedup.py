@@ -93,9 +93,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
     docs = docs.toDF("doc", "text")
     everything = stage_table(_runs_of(docs, window, anchor), "edge-runs")
-    twice = everything.groupBy("least").agg(F.count("*").alias("times")).where("times > 1").select("least")
+    # written first: a join of two plain shuffles is one whose large partitions Spark can split
+    twice = stage_table(everything.groupBy("least").agg(F.count("*").alias("times")).where("times > 1").select("least"), "repeated-minimisers")
     runs = stage_table(everything.join(twice, "least", "left_semi"), "repeated-runs")
     drop_table(everything)
+    drop_table(twice)
     kinds = runs.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("at"))
     kinds = stage_table(kinds.select("least", "content", "times", F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart"), F.col("at.n").alias("fn")), "run-kinds")
     elsewhere = ~(F.col("doc").eqNullSafe(F.col("fdoc")) & (F.col("start") == F.col("fstart")))
