@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tomewright.llm.chat import OP6_SQL, op6_format_chats
 from tomewright.llm.decontaminate import op9_decontaminate
+from tomewright.llm.language_id import op3_language_id
 from tomewright.llm.mixing import op8_mix_sources
+from tomewright.llm.quality_classifier import op2_quality_classifier
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tomewright.llm.simhash_dedup import op10_simhash_dedup
 from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
@@ -16,6 +18,8 @@ from tomewright.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_format_chats": op6_format_chats,
