@@ -60,6 +60,17 @@ def _measure(w: tn.Words, lengths: list[int]) -> dict[str, np.ndarray]:
     return out
 
 
+def _verdicts(texts: pa.Array, limits: dict[int, int], line_percent: int) -> Iterator[tuple[int, int, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    for i, j, w in tn.token_pieces(texts):
+        m = _measure(w, sorted(limits))
+        chars, words = m["word_chars"], m["n_words"]
+        failed = (words < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * words)
+        kept = ~failed & (100 * m["dup_line_chars"] <= line_percent * chars)
+        for n, most in limits.items():
+            kept &= 100 * m[f"dup_chars_{n}"] <= most * chars
+        yield i, j, m, failed, kept
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram_percent: dict[int, int] | None = None, line_percent: int = LINE_PERCENT) -> DataFrame:
     """Word statistics and a keep-or-reject verdict for every whole text.
 
@@ -76,13 +87,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in tn.token_pieces(batch.column(1)):
-                m = _measure(w, lengths)
-                chars, words = m["word_chars"], m["n_words"]
-                failed = (words < MIN_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * words)
-                kept = ~failed & (100 * m["dup_line_chars"] <= line_percent * chars)
-                for n in lengths:
-                    kept &= 100 * m[f"dup_chars_{n}"] <= limits[n] * chars
+            for i, j, m, failed, kept in _verdicts(batch.column(1), limits, line_percent):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), *[pa.array(m[k].astype(np.int64)) for k in longs], pa.array(failed), pa.array(kept)],
                     names=[id_col, *longs, "base_failed", "kept"],
@@ -93,6 +98,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return only(docs, id_col, text_col).mapInArrow(judge, schema)
 
 
+def keep_by_rules(docs: DataFrame, text_col: str = "text", ngram_percent: dict[int, int] | None = None, line_percent: int = LINE_PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text ``quality_rules`` keeps; one pass without a join."""
+    limits = dict(NGRAM_PERCENT if ngram_percent is None else ngram_percent)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, _, _, kept in _verdicts(batch.column(at), limits, line_percent):
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tomewright.llm.chat import OP6_SQL, op6_format_chats
 from tomewright.llm.decontaminate import op9_decontaminate
 from tomewright.llm.language_id import op3_language_id
+from tomewright.llm.lm_scoring import op7_lm_scoring
 from tomewright.llm.mixing import op8_mix_sources
 from tomewright.llm.quality_classifier import op2_quality_classifier
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_format_chats": op6_format_chats,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash_dedup": op10_simhash_dedup,

@@ -182,11 +182,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(F.col("id").cast(kind).alias(id_col), "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The documents with the least id of their component; of rows that repeat it, each stays."""
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
+    """The documents with the least id of their component, all columns.
+
+    Five-word shingles; fingerprints that agree on 58 of 64 bits (a similarity of 0.9) link. Of rows that repeat the
+    least id each stays; rows with a null id stay where no other id is in their component.
+    """
     found = simhash_components(docs, id_col, text_col, shingle, radius)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[f"`{id_col}`"] == keep["_keep"], "left_semi")
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+    return docs.join(keep, docs[f"`{id_col}`"].eqNullSafe(keep["_keep"]), "left_semi")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

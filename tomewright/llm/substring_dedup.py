@@ -154,11 +154,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows at equal places of such rows don't remove each other, and its spans are cut from each row. Texts
     shorter than a window are kept whole; an empty table gives an empty result; further columns are dropped.
     """
-    docs = only(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, window, anchor).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
-    texts = docs.toDF("doc", "text")
-    joined = texts.join(spans, texts.doc.eqNullSafe(spans._doc), "left").select("doc", "text", "_spans")
+    cut = _without_spans(only(docs, id_col, text_col).toDF("doc", "text"), window, anchor, layout)
+    return cut.select(F.col("doc").cast(kind).alias(id_col), "n_words", "n_removed", "kept_text")
+
+
+def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows of ``docs``, all columns, with the repeated spans cut from the text (layout ``original``)."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(others)]).alias("row")
+    cut = _without_spans(docs.select(docs[f"`{id_col}`"].alias("doc"), docs[f"`{text_col}`"].alias("text"), row), window, anchor, "original")
+    place = {c: F.col(f"row.c{k}") for k, c in enumerate(others)} | {text_col: F.col("kept_text")}
+    return cut.select(*[place[c].alias(c) for c in docs.columns])
+
+
+def _without_spans(docs: DataFrame, window: int, anchor: int, layout: str) -> DataFrame:
+    """``docs`` (doc, text, further columns) with n_words, n_removed and kept_text in place of the text."""
+    spans = repeated_spans(docs.select("doc", "text"), window, anchor).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "n")).alias("_spans"))
+    further = [c for c in docs.columns if c not in ("doc", "text")]
+    joined = docs.join(spans, docs.doc.eqNullSafe(spans._doc), "left").select("doc", "text", "_spans", *further)
     words_only = layout == "words"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +204,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for x in np.flatnonzero(out):
                         left[edge[x] : edge[x + 1]] = False
                     kept.append(data[left].tobytes().decode().rstrip(" \t\n\v\f\r"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
+            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], names=["doc", "n_words", "n_removed", "kept_text", *further])
 
-    return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc", *further)]
+    return joined.mapInArrow(cut, ", ".join([kinds[0], "n_words bigint, n_removed bigint, kept_text string", *kinds[1:]]))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
