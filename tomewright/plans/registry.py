@@ -604,17 +604,17 @@ def _(c):
 # --- classification -------------------------------------------------------------------------------
 
 _SIGNALS = " union all ".join(f"select id, lower({c}) as t, {m} as m from books where coalesce({c}, '') <> ''" for c, m in cl.SIGNALS.items() if c != "filename")
-def _re2(pattern: str) -> str:
-    """A word-bounded pattern without word boundaries, which know ASCII letters only in DuckDB."""
-    front, back = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
+def _spaced(pattern: str) -> str:
+    """A word-bounded pattern as text to be found in the words of a text, each between spaces."""
     body = pattern.removeprefix(r"\b")
-    return front + (body.removesuffix(r"\b") + back if body.endswith(r"\b") else body)
+    return " " + (body.removesuffix(r"\b") + " " if body.endswith(r"\b") else body)
 
 
-_TAXONOMY = ", ".join(f"('{code}', '{label}', {k}, '{_re2(p)}', {w})" for code, label, k, p, w in cl.taxonomy_rows())
-CLASSIFY = rf"""with s as ({_SIGNALS} union all select id, lower(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '[_\-+]+', ' ', 'g')), {cl.SIGNALS["filename"]} from books),
+_TAXONOMY = ", ".join(f"('{code}', '{label}', {k}, '{_spaced(p)}', {w})" for code, label, k, p, w in cl.taxonomy_rows())
+CLASSIFY = rf"""with s0 as ({_SIGNALS} union all select id, lower(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '[_\-+]+', ' ', 'g')), {cl.SIGNALS["filename"]} from books),
+s as (select id, m, ' ' || regexp_replace(t, '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ' as t from s0),
 x(udc_code, udc_label, ord, pattern, w) as (values {_TAXONOMY}),
-h as (select id, udc_code, udc_label, ord, round(sum(w * m), 6) as score from s join x on regexp_matches(t, pattern) group by all),
+h as (select id, udc_code, udc_label, ord, round(sum(w * m), 6) as score from s join x on contains(t, pattern) group by all),
 r as (select *, row_number() over (partition by id order by score desc, ord) as rank from h),
 v as (select *, round_even(score / sum(score) over (partition by id) * 100, 0)::int as share from r where rank <= 5),
 g as (select id, udc_code, udc_label, score, (share + case when rank = 1 then 100 - sum(share) over (partition by id) else 0 end)::int as weight, rank::int as rank from v),
