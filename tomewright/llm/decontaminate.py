@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tomewright.llm import textnum as tn
 from tomewright.llm.common import only, read_table
 
-#: Hash buckets of words; latent rank; words of a passage, and from one to the next.
-BUCKETS, RANK, PASSAGE, STRIDE = 1 << 17, 128, 24, 8
+#: Hash buckets of words; latent rank; words of a passage; words from one to the next, in items and in documents.
+BUCKETS, RANK, PASSAGE, ITEM_STRIDE, STRIDE = 1 << 17, 128, 24, 8, 8
 #: Least cosine of a candidate; least share of an item's words in the common subsequence, alone and with the answer.
 COSINE, SEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.45, 0.7, 0.5, 8
 SEED = 7
@@ -64,8 +64,8 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _cuts(n: int) -> np.ndarray:
-    """First words of the passages of a text of n words; the last passage ends the text."""
-    return np.unique(np.r_[np.arange(0, max(1, n - PASSAGE + 1), STRIDE), max(0, n - PASSAGE)])
+    """First words of the passages of an item of n words; the last passage ends the text."""
+    return np.unique(np.r_[np.arange(0, max(1, n - PASSAGE + 1), ITEM_STRIDE), max(0, n - PASSAGE)])
 
 
 def _passages(hashes: list[np.ndarray]) -> list[np.ndarray]:
@@ -133,7 +133,7 @@ def fit_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     row[vocabulary] = np.arange(len(vocabulary))
     if not parts:
         return Index(weight, row, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), item_of, hashes, ids)
-    norms = np.array([np.sqrt((weight[_bucket(p)] ** 2).sum()) for p in parts])
+    norms = np.array([np.linalg.norm(np.bincount(row[_bucket(p)], weights=weight[_bucket(p)])) for p in parts])
     matrix = spark.createDataFrame([(row[_bucket(p)].tolist(), (weight[_bucket(p)] / n).tolist()) for p, n in zip(parts, norms, strict=True)], "at array<int>, value array<float>")
     latent = randomised_svd(matrix.repartition(max(1, len(parts) // 500)), len(vocabulary), RANK)
     reduced = np.stack([(weight[_bucket(p)][:, None] * latent[row[_bucket(p)]]).sum(0) for p in parts])
@@ -191,7 +191,14 @@ def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, boo
             x += value[:, c, None] * index.latent[rows[:, c]]
         cosine = (x @ index.passages.T) / np.sqrt(whole[k : k + 4096]).astype(np.float32)[:, None]
         p, q = np.nonzero(cosine >= COSINE)
-        found.append(np.c_[owner[a[p]], index.item_of[q], a[p], (cosine[p, q] * 1e6)].astype(np.int64))
+        # whole sums each word's square alone; where a word is repeated the norm is larger
+        near, back = np.unique(p, return_inverse=True)
+        heavy_near = np.where(at[near] < b[near, None], index.weight[bucket[at[near]]], 0)
+        alike = bucket[at[near]][:, :, None] == bucket[at[near]][:, None, :]
+        exact = np.einsum("ni,nij,nj->n", heavy_near, alike, heavy_near)
+        true = cosine[p, q] * np.sqrt(whole[k : k + 4096][p] / np.maximum(exact[back], 1e-9))
+        p, q, true = p[true >= COSINE], q[true >= COSINE], true[true >= COSINE]
+        found.append(np.c_[owner[a[p]], index.item_of[q], a[p], true * 1e6].astype(np.int64))
     if not found:
         return []
     found = np.concatenate(found)
