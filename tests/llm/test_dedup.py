@@ -137,3 +137,39 @@ def test_simhash_odd_tables(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "start", "least"}
 
 
+
+
+@pytest.mark.parametrize("shard", [4096, 8])
+def test_near_copies_by_jaccard(spark, monkeypatch, shard):
+    """Each pair of texts that are clearly alike or unlike, against Jaccard similarities of five-word shingles."""
+    from tomewright.llm import simhash_dedup as module
+
+    monkeypatch.setattr(module.near_links, "__defaults__", (shard,))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(3, 8)))
+    texts = []
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([60, 200, 700]))]
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(len(base) // 150 if g % 2 else len(base) // 12):  # few edits or many
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy))
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            same = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if same >= 0.83:
+                lo, hi = sorted((up[a], up[b]))
+                up = [lo if x == hi else x for x in up]
+            else:
+                assert same < 0.74 or up[a] == up[b]  # none is near the limit
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {i for i, x in enumerate(up) if x == i} and len(kept) < len(texts)
