@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     paths = stage_table(_paths(seen, repeated), "paths")
     along = seen.select("least", "content", "doc", "start").join(paths, ["least", "content"]).where(elsewhere).select("doc", "start", F.col("windows").alias("n"))
 
-    several = kinds.groupBy("least").agg(F.count("*").alias("kinds")).where("kinds > 1").select("least")
+    several = stage_table(kinds.groupBy("least").agg(F.count("*").alias("kinds")).where("kinds > 1").select("least"), "branching-minimisers")
     unlike = kinds.join(several, "least", "left_semi").select(F.col("fdoc").alias("udoc"), F.struct(F.col("fstart").alias("start"), F.col("fn").alias("n"), "least").alias("run"))
     unlike = unlike.groupBy("udoc").agg(F.collect_list("run").alias("at"))
     some = docs.join(unlike, docs.doc.eqNullSafe(unlike.udoc)).select("doc", "text", "at")
@@ -135,10 +135,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     windows = some.mapInArrow(spell, f"doc {kind}, start int, least bigint, content bigint")
     windows = stage_table(windows, "windows")
     firsts = windows.groupBy("least", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc", "start")).alias("at")).where("times > 1")
-    firsts = firsts.select("least", "content", F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart"))
+    firsts = stage_table(firsts.select("least", "content", F.col("at.doc").alias("fdoc"), F.col("at.start").alias("fstart")), "repeated-windows")
     single = windows.join(firsts, ["least", "content"]).where(elsewhere).select("doc", "start", F.lit(1).alias("n"))
     spans = stage_table(along.unionByName(single), "spans")
-    for table in (kinds, seen, paths, windows):
+    for table in (kinds, seen, paths, several, windows, firsts):
         drop_table(table)
     return spans
 
