@@ -173,3 +173,40 @@ def test_near_copies_by_jaccard(spark, monkeypatch, shard):
     rng.shuffle(rows)
     kept = {r.doc_id for r in simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert kept == {i for i, x in enumerate(up) if x == i} and len(kept) < len(texts)
+
+
+@pytest.mark.parametrize("shard", [4096, 8])
+def test_near_copies_about_the_limit_by_exact_jaccard(spark, monkeypatch, shard):
+    """Pairs on both sides of 0.8, close to it and at it, short texts too: the groups are those of all exact pairs."""
+    from tomewright.llm import simhash_dedup as module
+
+    monkeypatch.setattr(module.near_links, "__defaults__", (shard,))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(4, 9)))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice([8, 9, 12, 60, 200, 500]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(1, 5)):
+            cut = round(len(base) * rng.uniform(0.02, 0.26))  # an end that is other or is missing: similarities of 0.6 to 0.98
+            texts.append(" ".join(base[: len(base) - cut] + [word() for _ in range(cut * rng.randint(0, 1))]))
+    hub = [word() for _ in range(104)]  # 100 shingles; a group of over 64, all about the limit
+    texts += [" ".join(hub[k : 104 - (n - k)]) for n in range(16, 26) for k in range(0, n, 2)]
+
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    up, near, at = list(range(len(texts))), 0, 0
+    for b in range(len(texts)):
+        for a in range(b):
+            both, one = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            near, at = near + (0.77 <= both / one < 0.8), at + (5 * both == 4 * one)
+            if 5 * both >= 4 * one:
+                lo, hi = sorted((up[a], up[b]))
+                up = [lo if x == hi else x for x in up]
+    assert near > 20 and at > 2
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {i for i, x in enumerate(up) if x == i}

@@ -9,7 +9,7 @@ within 32 +- 4, so the triangle bound alone prunes little at radius 3; the block
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +25,8 @@ from tomewright.llm.components import connected_components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distance of rings; vantage point of the shards; points of a tree's leaf; points of a shard before it is split.
 RING, VANTAGE, LEAF, SHARD = 8, 0x5DEECE66D1B54A32, 256, 16384
-#: Near copies: bits of a wide fingerprint, bands and minima of each, points of a shard before it is split.
-WIDE, BANDS, BAND_ROWS, WIDE_SHARD = 4096, 14, 4, 4096
+#: Near copies: bits of a wide fingerprint, bands and minima of each; points and bytes of a shard before it is split.
+WIDE, BANDS, BAND_ROWS, WIDE_SHARD, WIDE_BYTES = 4096, 20, 4, 4096, 64_000_000
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -91,26 +91,52 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _brute(x: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, sets: _Union) -> None:
+#: Tells which pairs (a, b) of points are truly alike.
+Check = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _join_checked(a: np.ndarray, b: np.ndarray, bits: np.ndarray, sets: _Union, alike: Check) -> None:
+    """Join the alike pairs, each point's nearest first; pairs that are joined by then need no check."""
+    order = np.lexsort((bits, a))
+    a, b, take = a[order], b[order], 1
+    while True:
+        sets.flatten()
+        apart = sets.up[a] != sets.up[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        now = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)])) < take
+        ok = alike(a[now], b[now])
+        sets.join(a[now][ok], b[now][ok])
+        a, b, take = a[~now], b[~now], take * 2
+
+
+def _brute(x: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int, sets: _Union, alike: Check | None = None) -> None:
     for k in range(0, len(i), 256):
-        a, b = np.nonzero(_apart(x[i[k : k + 256]], x[j]) <= radius)
-        sets.join(i[k : k + 256][a], j[b])
+        bits = _apart(x[i[k : k + 256]], x[j])
+        a, b = np.nonzero(bits <= radius)
+        if alike is None:
+            sets.join(i[k : k + 256][a], j[b])
+        else:
+            once = (a + k < b) if i is j else np.ones(len(a), bool)
+            _join_checked(i[k : k + 256][a[once]], j[b[once]], bits[a[once], b[once]], sets, alike)
 
 
-def vantage_tree(x: np.ndarray, at: np.ndarray, radius: int, sets: _Union) -> None:
+def vantage_tree(x: np.ndarray, at: np.ndarray, radius: int, sets: _Union, alike: Check | None = None) -> None:
     """Join all points x[at] within radius bits: inner and outer branch, then only the pairs about the boundary."""
     if len(at) <= LEAF:
-        return _brute(x, at, at, radius, sets)
+        return _brute(x, at, at, radius, sets, alike)
     d = _apart(x[at], x[at[len(at) // 2 : len(at) // 2 + 1]])[:, 0].astype(np.int64)
     edge = np.median(d)
     inner = d <= edge
     if inner.all():
-        return _brute(x, at, at, radius, sets)
-    vantage_tree(x, at[inner], radius, sets)
-    vantage_tree(x, at[~inner], radius, sets)
+        return _brute(x, at, at, radius, sets, alike)
+    vantage_tree(x, at[inner], radius, sets, alike)
+    vantage_tree(x, at[~inner], radius, sets, alike)
     low, high = at[inner & (d > edge - radius)], at[~inner & (d <= edge + radius)]
     if len(low) and len(high):
-        _brute(x, low, high, radius, sets)
+        _brute(x, low, high, radius, sets, alike)
     return None
 
 
@@ -141,8 +167,30 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
     return _search(split, ["pair", "bits", "ring", "p", "q"], radius)
 
 
-def _shard_links(cut: np.ndarray, nodes: np.ndarray, x: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Spanning forests of the pairs within ``radius`` bits inside the shards cut[g]:cut[g + 1]."""
+def _set_check(grams: np.ndarray, similarity: float) -> Check:
+    """Whether sets, given as bytes of sorted hashes, reach a Jaccard similarity."""
+    size = np.array([len(x) for x in grams], np.int64) // 8
+    flat, first = np.frombuffer(b"".join(grams), np.uint64), np.r_[0, np.cumsum(size)]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        live = np.flatnonzero(np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+        live = live[np.argsort(a[live], kind="stable")]
+        for same in np.split(live, np.flatnonzero(np.diff(a[live])) + 1) if len(live) else []:
+            own = flat[first[a[same[0]]] : first[a[same[0]] + 1]]
+            for k in range(0, len(same), 64):
+                at = same[k : k + 64]
+                other = np.concatenate([flat[first[j] : first[j + 1]] for j in b[at]])
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(size[b[at]])[:-1]])
+                out[at] = both >= similarity * (len(own) + size[b[at]] - both) - 1e-9
+        return out
+
+    return alike
+
+
+def _shard_links(cut: np.ndarray, nodes: np.ndarray, x: np.ndarray, radius: int, alike: Check | None = None) -> pa.RecordBatch:
+    """Spanning forests of the pairs within ``radius`` bits (and alike) inside the shards cut[g]:cut[g + 1]."""
     sets, size = _Union(len(x)), np.diff(cut)
     of = np.repeat(np.arange(len(size)), size)
     i, step = np.flatnonzero((size > 1)[of] & (size <= 64)[of]), 1
@@ -150,36 +198,47 @@ def _shard_links(cut: np.ndarray, nodes: np.ndarray, x: np.ndarray, radius: int)
         i = i[i + step < cut[of[i] + 1]]
         bits = np.bitwise_count(x[i] ^ x[i + step])
         near = i[(bits if x.ndim == 1 else bits.sum(1, dtype=np.int64)) <= radius]
+        if alike is not None:
+            sets.flatten()
+            near = near[sets.up[near] != sets.up[near + step]]
+            near = near[alike(near, near + step)]
         sets.join(near, near + step)
         step += 1
     for g in np.flatnonzero(size > 64):
-        vantage_tree(x, np.arange(cut[g], cut[g + 1]), radius, sets)
+        vantage_tree(x, np.arange(cut[g], cut[g + 1]), radius, sets, alike)
     sets.flatten()
     u, v = nodes, nodes[sets.up]
     apart = u != v
     return pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], names=["u", "v"])
 
 
-def _search(split: DataFrame, key: list[str], radius: int) -> DataFrame:
-    """Links (u, v) inside shards of equal ``key``, each in one task. After the key come the node and, where the node
-    isn't its own fingerprint, a binary one."""
-    wide = len(split.columns) > len(key) + 1
+def _search(split: DataFrame, key: list[str], radius: int, similarity: float = 0.0) -> DataFrame:
+    """Links (u, v) inside shards of equal ``key``, each in one task. After the key come the node; where the node
+    isn't its own fingerprint, a binary one; and where pairs are to be checked by ``similarity``, the set of hashes."""
+    more = len(split.columns) - len(key) - 1
+
+    def links(cut: np.ndarray, held: list[np.ndarray], n: int) -> pa.RecordBatch:
+        nodes, x, *grams = [c[:n] for c in held[len(key) :]]
+        return _shard_links(cut, nodes, x, radius, _set_check(grams[0], similarity) if grams else None)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: len(key) + 1]]
-            cols.append(np.frombuffer(b"".join(batch.column(len(key) + 1).to_pylist()), np.uint64).reshape(len(batch), -1) if wide else cols[-1].view(np.uint64))
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if more:
+                cols[len(key) + 1] = np.frombuffer(b"".join(cols[len(key) + 1]), np.uint64).reshape(len(batch), -1)
+            else:
+                cols.append(cols[-1].view(np.uint64))
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[: len(key)]], axis=0))
             if len(change):  # the last shard may go on in the next batch
                 stop = change[-1] + 1
-                yield _shard_links(np.r_[0, change + 1], held[-2][:stop], held[-1][:stop], radius)
+                yield links(np.r_[0, change + 1], held, stop)
                 held = [c[stop:] for c in held]
         if held is not None:
-            yield _shard_links(np.array([0, len(held[0])]), held[-2], held[-1], radius)
+            yield links(np.array([0, len(held[0])]), held, len(held[0]))
 
     return split.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "u bigint, v bigint")
 
@@ -251,17 +310,28 @@ def _wide_print(g: np.ndarray) -> bytes:
 
 
 def similarity_radius(similarity: float) -> int:
-    """Bits of ``WIDE`` in which sets of a Jaccard similarity may differ: its cosine's angle, and a standard deviation."""
-    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(WIDE * part + np.sqrt(WIDE * part * (1 - part))))
+    """Bits of ``WIDE`` in which sets of a Jaccard similarity may differ: its cosine's angle, a quarter more (sets of
+    a few shingles differ in more bits: of 4 and 5 shingles in 3/16), and four standard deviations."""
+    part = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(WIDE * part + 4 * np.sqrt(WIDE * part * (1 - part))))
+
+
+def _meet(rows: DataFrame, shard: str, parts: Column, *carried: str) -> DataFrame:
+    """``shard, p, q, key`` and the carried columns: shards cut by hash into parts of which each two meet."""
+    out = rows.withColumn("parts", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts").cast("long")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.select(shard, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key", *carried)
 
 
 def near_links(kinds: DataFrame, docs: DataFrame, shingle: int, similarity: float, shard: int = WIDE_SHARD) -> DataFrame:
     """Links (u, v) among the keys of ``kinds`` (key, least, bands) whose sets are alike; ``docs`` has id and text.
 
     Shards are equal bands; only texts that share one get a wide fingerprint. Each shard is searched by a
-    vantage-point tree; a large one is cut into parts that meet in pairs.
+    vantage-point tree with a radius that holds every alike pair; a large one is cut into parts that meet in pairs.
+    What is linked so is a candidate group: it is searched again with its sets at hand, and links by their exact
+    similarity, so each set travels once for its group and not once a band.
     """
+    radius = similarity_radius(similarity)
     spread = kinds.where("least is not null").select("key", "least", F.explode("bands").alias("band"))
     shared = stage_table(spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-shards")
     rows = stage_table(spread.join(shared, "band"), "near-candidates")
@@ -274,22 +344,30 @@ def near_links(kinds: DataFrame, docs: DataFrame, shingle: int, similarity: floa
                 g, first = _shingle_sets(w, shingle)
                 keys = batch.column(0).slice(i, j - i).to_numpy()
                 own = np.flatnonzero(_set_keys(g, first).view(np.int64) == keys)  # not another row of the same id
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array([_wide_print(g[first[t] : first[t + 1]]) for t in own], pa.binary())], names=["key", "print"])
-
-    prints = stage_table(texts.mapInArrow(run, "key bigint, print binary").groupBy("key").agg(F.first("print").alias("print")), "near-prints")
-    parts = F.when(F.col("n") > shard, F.ceil(F.col("n") * 2 / shard)).otherwise(1).cast("int")
-    split = rows.join(prints, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts").cast("long")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "key", "print")
-    return _search(split, ["band", "p", "q"], similarity_radius(similarity))
+                of = [g[first[t] : first[t + 1]] for t in own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array([_wide_print(x) for x in of], pa.binary()), pa.array([x.tobytes() for x in of], pa.binary())], names=["key", "print", "grams"])
+
+    made = texts.mapInArrow(run, "key bigint, print binary, grams binary")
+    prints = stage_table(made.groupBy("key").agg(F.first(F.struct("print", "grams")).alias("of")).select("key", "of.*"), "near-prints")
+    parts = F.when(F.col("n") > shard, F.ceil(F.col("n") * 2 / shard)).otherwise(1)
+    loose = connected_components(_search(_meet(rows.join(prints.select("key", "print"), "key"), "band", parts, "print"), ["band", "p", "q"], radius))
+    drop_table(rows)
+    drop_table(shared)
+    roots = loose.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(loose.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
+    weight = (F.octet_length("print") + F.octet_length("grams")).cast("long")
+    sizes = stage_table(roots.join(prints.select("key", weight.alias("bytes")), "key").groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "near-groups")
+    load = F.greatest(F.col("n") / shard, F.col("bytes") / WIDE_BYTES)
+    groups = roots.join(sizes, "root").join(prints, "key")
+    return _search(_meet(groups, "root", F.when(load > 1, F.ceil(load * 2)).otherwise(1), "print", "grams"), ["root", "p", "q"], radius, similarity)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with the least id of their group of near copies, all columns.
 
-    Texts with the same set of shingles are one node. Others link where their sets' Jaccard similarity, estimated from
-    ``WIDE`` bits of SimHash (to about 0.015), reaches ``similarity``. A radius that holds such pairs is far too wide
-    for shards by distance, so these are bands of minima, which pairs of 0.8 miss once in 1,500 times.
+    Texts with the same set of shingles are one node. Others link where the Jaccard similarity of their sets of
+    64-bit shingle hashes reaches ``similarity``, exactly; candidates come from ``WIDE`` bits of SimHash. A radius that
+    holds such pairs is far too wide for shards by distance, so these are bands of minima, which a pair at 0.8 shares
+    but for once in 38,000 times.
 
     Null and empty texts are one group. Of rows that repeat the least id each stays. Rows with a null id stay where
     no other id has their set, and aren't compared further. Ties go by id; an empty table gives an empty result.
