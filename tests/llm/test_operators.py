@@ -179,6 +179,27 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert benchmark_matches(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_whole_copies_of_items_that_many_documents_hold(spark):
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, rng.sample(vocabulary, rng.randint(15, 29))) for i in range(6)]
+    rows, truth = [], set()
+    for k in range(180):
+        d = rng.choices(vocabulary, k=rng.randint(30, 200))
+        # item 0 is in a third of the documents, item 1 in a fifth
+        i = 0 if k % 3 == 0 else 1 if k % 5 < 2 else 2 + k % 4 if k % 9 == 2 else None
+        if i is not None:
+            at = rng.randrange(len(d) + 1)
+            d = d[:at] + items[i][1] + d[at:]
+            truth.add((k, i))
+        rows.append((k, " ".join(d)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
+    got = benchmark_matches(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == truth
+    assert all(r.share == 1 and r.answer for r in got)
+
+
 LANGUAGES = {"en": "the and thing with was over", "de": "und nicht schön über der größe", "fr": "les été où ça une leçon"}
 
 

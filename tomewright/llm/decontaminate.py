@@ -7,7 +7,11 @@
 3. Every passage of every document is scored by cosine: its projection against the items' passages, over its whole
    TF-IDF norm. A passage whose words of the benchmark's vocabulary weigh too little can't reach the threshold
    (Cauchy-Schwarz) and isn't projected.
-4. A candidate counts if the longest common subsequence of words covers enough of the item, or less of it with the
+4. That norm is of the whole passage, so words beside a short item, or an item whose words are common, can hide a copy.
+   Passages are therefore also searched for the rarer half of each item's words, one of which any accepted match has,
+   and are candidates if enough of the item's words stand within the item's length, in any order. Only a match that is
+   stretched further than that depends on the cosine.
+5. A candidate counts if the longest common subsequence of words covers enough of the item, or less of it with the
    item's answer (its last clause) in place.
 """
 
@@ -41,6 +45,9 @@ class Index(NamedTuple):
     item_of: np.ndarray  # by passage
     items: list[np.ndarray]  # word hashes by item
     ids: list[int]
+    vocabulary: np.ndarray  # word hashes of all items
+    words: list[np.ndarray]  # by item: its words as places in vocabulary
+    keys: list[np.ndarray]  # by item: its rarest words, one more than an accepted match can lack
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -126,20 +133,24 @@ def fit_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         if len(w.hashes):
             hashes.append(w.hashes)
             ids.append(i)
+    every = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    words = [np.searchsorted(every, h) for h in hashes]
+    rare = [v[np.argsort(-weight[_bucket(h)], kind="stable")] for v, h in zip(words, hashes, strict=True)]
+    keys = [np.unique(v[: len(v) - int(np.ceil(WITH_ANSWER * len(v))) + 1]) for v in rare]
     parts = _passages(hashes)
     item_of = np.repeat(np.arange(len(hashes)), [len(_cuts(len(h))) for h in hashes]).astype(np.int64)
     vocabulary = np.unique(_bucket(np.concatenate(parts))) if parts else np.zeros(0, np.int64)
     row = np.full(BUCKETS, -1, np.int64)
     row[vocabulary] = np.arange(len(vocabulary))
     if not parts:
-        return Index(weight, row, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), item_of, hashes, ids)
+        return Index(weight, row, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), item_of, hashes, ids, every, words, keys)
     norms = np.array([np.linalg.norm(np.bincount(row[_bucket(p)], weights=weight[_bucket(p)])) for p in parts])
     matrix = spark.createDataFrame([(row[_bucket(p)].tolist(), (weight[_bucket(p)] / n).tolist()) for p, n in zip(parts, norms, strict=True)], "at array<int>, value array<float>")
     latent = randomised_svd(matrix.repartition(max(1, len(parts) // 500)), len(vocabulary), RANK)
     reduced = np.stack([(weight[_bucket(p)][:, None] * latent[row[_bucket(p)]]).sum(0) for p in parts])
     # divided by its length (cosine) and by the part of the passage that the rank holds: a copy scores 1
     reduced *= norms[:, None] / (np.linalg.norm(reduced, axis=1, keepdims=True) ** 2).clip(1e-9)
-    return Index(weight, row, latent, reduced.astype(np.float32), item_of, hashes, ids)
+    return Index(weight, row, latent, reduced.astype(np.float32), item_of, hashes, ids, every, words, keys)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -163,6 +174,55 @@ def has_answer(item: np.ndarray, near: np.ndarray, words: int = ANSWER_WORDS) ->
     return any(common_subsequence(answer, near[max(0, e + 1 - span) : e + 1]) == len(answer) for e in ends)
 
 
+def _by_keys(w: tn.Words, index: Index, bucket: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items and first words of the passages with a key of the item and, near it, enough of the item's words in any order."""
+    n, size = len(w.hashes), len(index.vocabulary)
+    at = np.flatnonzero(index.row[bucket] >= 0)
+    v = np.searchsorted(index.vocabulary, w.hashes[at]).clip(max=size - 1)
+    exact = index.vocabulary[v] == w.hashes[at]
+    at, v = at[exact], v[exact]
+    own = np.full(n, size)
+    own[at] = v
+    # by word: where the same word stood before in the text, so that a window counts each word once
+    before = np.full(n, -1)
+    group = owner[at] * size + v
+    order = np.argsort(group, kind="stable")
+    again = group[order[1:]] == group[order[:-1]]
+    before[at[order[1:]][again]] = at[order[:-1]][again]
+    is_key = np.zeros(size, bool)
+    is_key[np.concatenate(index.keys)] = True
+    at, v = at[is_key[v]], v[is_key[v]]
+    hit = np.unique(v * n + at - (at - w.first[owner[at]]) % STRIDE)
+    hit_word, hit_at = hit // n, hit % n
+    ends = np.searchsorted(hit_word, np.arange(size + 1))
+    items, places = [], []
+    weigh = np.zeros(size + 1, np.int64)
+    for item, (words, keys) in enumerate(zip(index.words, index.keys, strict=True)):
+        keys = keys[ends[keys + 1] > ends[keys]]
+        if not len(keys):
+            continue
+        at = np.unique(np.concatenate([hit_at[ends[k] : ends[k + 1]] for k in keys.tolist()]))
+        length, answer = len(words), np.unique(words[-ANSWER_WORDS:])
+        weigh[:size] = np.bincount(words, minlength=size)
+        weigh[answer] += 1 << 32
+        low = np.maximum(w.first[owner[at]], at - length)
+        high = np.minimum(w.first[owner[at] + 1], at + PASSAGE + length)
+        width = PASSAGE + 2 * length
+        step = max(1, (1 << 20) // width)
+        for k in range(0, len(at), step):
+            lo, hi = low[k : k + step, None], high[k : k + step, None]
+            near = lo + np.arange(width)
+            fresh = near < hi
+            np.minimum(near, n - 1, out=near)
+            total = (weigh[own[near]] * (fresh & (before[near] < lo))).sum(1)
+            share = (total & 0xFFFFFFFF) / length
+            ok = (share >= SEQUENCE) | ((share >= WITH_ANSWER) & (total >> 32 == len(answer)))
+            places.append(at[k : k + step][ok])
+            items.append(np.full(len(places[-1]), item))
+        weigh[words] = 0
+    return (np.concatenate(items), np.concatenate(places)) if items else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, bool]]:
     """(text, item, cosine, share, answer) of the accepted pairs of a piece."""
     n = len(w.hashes)
@@ -180,25 +240,41 @@ def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, boo
     whole, inside = all_sum[last] - all_sum[first], known_sum[last] - known_sum[first]
     live = inside >= COSINE**2 * whole
     first, last, whole, inside = first[live], last[live], whole[live], inside[live]
+    item, place = _by_keys(w, index, bucket, owner)
+    # passages of the keys are projected for their cosine, however small
+    a = np.unique(place)
+    b = np.minimum(a + PASSAGE, w.first[owner[a] + 1])
+    first, last, forced = np.r_[first, a], np.r_[last, b], np.r_[np.zeros(len(first), bool), np.ones(len(a), bool)]
+    whole = np.r_[whole, all_sum[b] - all_sum[a]]
+    by_passage = np.argsort(place, kind="stable")
+    item, place = item[by_passage], place[by_passage]
+    begin = np.flatnonzero(np.r_[True, index.item_of[1:] != index.item_of[:-1]])
     found = []
     for k in range(0, len(first), 4096):
-        a, b = first[k : k + 4096], last[k : k + 4096]
+        a, b, c = first[k : k + 4096], last[k : k + 4096], forced[k : k + 4096]
         at = np.minimum(a[:, None] + np.arange(PASSAGE), n - 1)
         rows = index.row[bucket[at]]
         value = np.where((at < b[:, None]) & (rows >= 0), index.weight[bucket[at]], 0).astype(np.float32)
         x = np.zeros((len(a), index.latent.shape[1]), np.float32)
-        for c in range(PASSAGE):
-            x += value[:, c, None] * index.latent[rows[:, c]]
+        for j in range(PASSAGE):
+            x += value[:, j, None] * index.latent[rows[:, j]]
         cosine = (x @ index.passages.T) / np.sqrt(whole[k : k + 4096]).astype(np.float32)[:, None]
-        p, q = np.nonzero(cosine >= COSINE)
+        p, q = np.nonzero((cosine >= COSINE) & ~c[:, None])
         # whole sums each word's square alone; where a word is repeated the norm is larger
-        near, back = np.unique(p, return_inverse=True)
+        near, back = np.unique(np.r_[p, np.flatnonzero(c)], return_inverse=True)
         heavy_near = np.where(at[near] < b[near, None], index.weight[bucket[at[near]]], 0)
         alike = bucket[at[near]][:, :, None] == bucket[at[near]][:, None, :]
         exact = np.einsum("ni,nij,nj->n", heavy_near, alike, heavy_near)
-        true = cosine[p, q] * np.sqrt(whole[k : k + 4096][p] / np.maximum(exact[back], 1e-9))
+        scale = np.sqrt(whole[k : k + 4096][near] / np.maximum(exact, 1e-9))
+        true = cosine[p, q] * scale[back[: len(p)]]
         p, q, true = p[true >= COSINE], q[true >= COSINE], true[true >= COSINE]
         found.append(np.c_[owner[a[p]], index.item_of[q], a[p], true * 1e6].astype(np.int64))
+        p = np.flatnonzero(c)
+        if len(p):
+            lo, hi = np.searchsorted(place, [a[p[0]], a[p[-1]] + 1])
+            best = np.maximum.reduceat(cosine[p], begin, axis=1) * scale[np.searchsorted(near, p), None]
+            true = best[np.searchsorted(a[p], place[lo:hi]), item[lo:hi]]
+            found.append(np.c_[owner[place[lo:hi]], item[lo:hi], place[lo:hi], true * 1e6].astype(np.int64))
     if not found:
         return []
     found = np.concatenate(found)
