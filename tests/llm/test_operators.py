@@ -13,7 +13,7 @@ from tomewright.llm.chat import format_chats
 from tomewright.llm.decontaminate import benchmark_matches, common_subsequence, decontaminate
 from tomewright.llm.language_id import fit_language_model as fit_languages
 from tomewright.llm.language_id import identify_language
-from tomewright.llm.lm_scoring import fit_language_model, score_documents
+from tomewright.llm.lm_scoring import fit_language_model, score_documents, vocabulary
 from tomewright.llm.quality_classifier import classify_quality, fit_quality_index
 from tomewright.llm.quality_rules import keep_by_rules, quality_rules
 from tomewright.llm.warc import lookup_records, read_bundles, read_seek_table, warc_records, warc_round_trip, write_bundles
@@ -251,6 +251,21 @@ def test_lm_scores_rank_ordered_text_first(spark):
     assert score_documents(df.limit(0), *fit_language_model(df.limit(0))).count() == 0
 
 
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    known = sorted({word() for _ in range(700)})
+    texts = [" ".join(rng.choices(known, k=100)) for _ in range(300)]
+    # words that the corpus has often, against random strings of the same length, which it has once
+    real, noise = [" ".join(rng.sample(known, 60)) for _ in range(20)], [" ".join(word() for _ in range(60)) for _ in range(20)]
+    df = docs(spark, [*texts, *real, *noise])
+    table, flat = fit_language_model(df)
+    assert len(table.common) + len(table.words) >= len(known)
+    assert len(vocabulary(df.where("doc_id < 5")).words) < len(table.words)
+    got = {r.doc_id: r.mean_log_prob for r in score_documents(df, table, flat).collect()}
+    assert min(got[300 + i] for i in range(20)) > max(got[320 + i] for i in range(20)) + 1
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 

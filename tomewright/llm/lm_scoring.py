@@ -1,6 +1,8 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides; documents sum its log-probabilities.
 
-Tokens are the corpus's commonest hashed words (counted over all documents) and, for other words, classes of shape.
+Tokens are the corpus's commonest words (counted over all documents) and, for other words, classes of shape. A word of
+a class has its class's probability times its own share of the class, by its count: all words that occur ``LEAST``
+times have their own, so the vocabulary grows with the corpus; the rarer ones share what is left alike.
 The network adds up an embedding of each of the six tokens around a place (one table a place), and a tanh layer
 feeds a softmax over the tokens. It is trained in numpy where the documents lie: each task runs SGD (Adagrad) over
 its share of places in all of its documents, and the models are averaged by weight in a shuffle, twice.
@@ -9,6 +11,7 @@ its share of places in all of its documents, and the models are averaged by weig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm import textnum as tn
-from tomewright.llm.common import only, read_table
+from tomewright.llm.common import drop_table, only, read_table, stage_table
 
-#: Hash buckets of words that are counted; commonest ones that are tokens; shape tokens.
-BUCKETS, COMMON, SHAPES = 1 << 16, 159, 32
+#: Commonest words, which are tokens; shape tokens; least count of a word with a share of its own.
+COMMON, SHAPES, LEAST = 159, 32, 20
 TOKENS = 1 + COMMON + SHAPES  # token 0 stands beyond either end of a text
 SIDE, WIDTH, ROUNDS, PART, BATCH, RATE, SEED = 3, 24, 2, 32, 1024, 0.1, 5
 PLACES = tuple(d for d in range(-SIDE, SIDE + 1) if d)
@@ -30,51 +33,92 @@ _SIGN[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,"]
 _UPPER[65:91] = True
 
 
-def _bucket(w: tn.Words) -> np.ndarray:
-    return (w.hashes >> np.uint64(48)).astype(np.int64)
+class Vocabulary(NamedTuple):
+    """What is sent out beside the network: 12 bytes a word that occurs LEAST times."""
 
+    common: np.ndarray  # hashes of the commonest words, sorted
+    words: np.ndarray  # hashes of the words with a share of their own, sorted
+    share: np.ndarray  # by word: log of its part of its token
+    rest: np.ndarray  # by shape: log of any other word's part
+    by_token: np.ndarray  # occurrences
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Occurrences of hashed words over all documents, by bucket; each task sends one row a bucket that it met."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, w in tn.token_pieces(batch.column(0)):
-                n += np.bincount(_bucket(w), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+def _shapes(w: tn.Words) -> np.ndarray:
+    sums = [np.zeros(len(w.data) + 1, np.int64) for _ in range(2)]
+    for s, mask in zip(sums, (_SIGN, _UPPER), strict=True):
+        np.cumsum(mask[w.data], out=s[1:])
+    sign, upper = ((s[w.ends] - s[w.starts]) > most for s, most in zip(sums, (0, 1), strict=True))
+    return (sign * 2 + upper) * 8 + np.searchsorted([2, 3, 4, 6, 9, 13, 19], w.ends - w.starts)
 
-    rows = only(docs, text_col).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
 
+def _find(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted array, or -1."""
+    if not len(sorted_hashes):
+        return np.full(len(hashes), -1)
+    at = np.searchsorted(sorted_hashes, hashes).clip(max=len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[at] == hashes, at, -1)
 
-def token_table(counts: np.ndarray) -> np.ndarray:
-    """Token of each bucket, 0 for those that go by shape."""
-    best = np.lexsort((np.arange(BUCKETS), -counts))[:COMMON]
-    best = best[counts[best] > 0]
-    table = np.zeros(BUCKETS, np.int64)
-    table[best] = 1 + np.arange(len(best))
-    return table
 
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word, shape, n``: occurrences of every hashed word over all documents."""
 
-def tokens_of(w: tn.Words, table: np.ndarray) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in tn.token_pieces(batch.column(0)):
+                words, at, n = np.unique(w.hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(_shapes(w)[at]), pa.array(n)], names=["word", "shape", "n"])
+
+    kind = "word bigint, shape bigint, n bigint"
+    return only(docs, text_col).mapInArrow(count, kind).groupBy("word", "shape").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """Words that occur LEAST times and the commonest ones reach the driver; of the others, two numbers a shape."""
+    counts = stage_table(word_counts(docs, text_col), "lm-word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
+    kept = counts.where(F.col("n") >= LEAST).toPandas()
+    others = counts.where(F.col("n") < LEAST).groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
+    drop_table(counts)
+    common, n_common = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    words, shape, n = kept["word"].to_numpy(np.int64).view(np.uint64), kept["shape"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+    rest, kinds = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+    rest[others["shape"].to_numpy(np.int64)] = others["n"].to_numpy(np.int64)
+    kinds[others["shape"].to_numpy(np.int64)] = others["kinds"].to_numpy(np.int64)
+    rare = top["n"].to_numpy(np.int64) < LEAST  # of a small corpus
+    np.subtract.at(rest, top["shape"].to_numpy(np.int64)[rare], n_common[rare])
+    np.subtract.at(kinds, top["shape"].to_numpy(np.int64)[rare], 1)
+    own = ~np.isin(words, common)
+    words, shape, n = words[own], shape[own], n[own]
+    total = np.bincount(shape, weights=n, minlength=SHAPES) + rest
+    share = np.log(n / (total[shape] + 1))
+    # one occurrence and one word more: those that the corpus doesn't have
+    left = np.log((rest + 1) / (total + 1) / (kinds + 1))
+    order, by_hash = np.argsort(words), np.argsort(common)
+    by_token = np.zeros(TOKENS)
+    by_token[1 : 1 + len(common)], by_token[1 + COMMON :] = n_common[by_hash], total
+    return Vocabulary(common[by_hash], words[order], share[order].astype(np.float32), left, by_token)
+
+
+def tokens_of(w: tn.Words, table: Vocabulary) -> np.ndarray:
     """Tokens of the texts of a piece, with SIDE tokens 0 before and behind each text's own."""
-    sums = [np.zeros(len(w.data) + 1, np.int64) for _ in range(2)]
-    for s, mask in zip(sums, (_SIGN, _UPPER), strict=True):
-        np.cumsum(mask[w.data], out=s[1:])
-    sign, upper = ((s[w.ends] - s[w.starts]) > most for s, most in zip(sums, (0, 1), strict=True))
-    size = np.searchsorted([2, 3, 4, 6, 9, 13, 19], w.ends - w.starts)
-    shape = (sign * 2 + upper) * 8 + size
-    own = table[_bucket(w)]
-    own = np.where(own > 0, own, 1 + COMMON + shape)
+    own = 1 + _find(table.common, w.hashes)
+    own = np.where(own > 0, own, 1 + COMMON + _shapes(w))
     out = np.zeros(len(own) + SIDE * len(w.first), np.int64)
     out[np.arange(len(own)) + SIDE * (tn.owners(w.first) + 1)] = own
     return out
 
 
+def log_shares(w: tn.Words, own: np.ndarray, table: Vocabulary) -> np.ndarray:
+    """Log of each word's part of its token."""
+    out = np.zeros(len(own))
+    at = np.flatnonzero(own > COMMON)
+    found = _find(table.words, w.hashes[at])
+    known = found >= 0
+    out[at[known]] = table.share[found[known]]
+    out[at[~known]] = table.rest[own[at[~known]] - 1 - COMMON]
+    return out
+
+
 def _unpack(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
     for shape in _SHAPES_OF:
@@ -84,14 +128,11 @@ def _unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def initial_parameters(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+def initial_parameters(table: Vocabulary) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     parts = [rng.normal(0, 0.1, s).astype(np.float32) for s in _SHAPES_OF]
     parts[1][:] = 0
-    by_token = np.bincount(table, weights=counts, minlength=TOKENS)
-    by_token[1 + COMMON :] = by_token[0] / SHAPES
-    by_token[0] = 0
-    parts[3] = np.log((by_token + 1) / (by_token.sum() + TOKENS)).astype(np.float32)
+    parts[3] = np.log((table.by_token + 1) / (table.by_token.sum() + TOKENS)).astype(np.float32)
     return np.concatenate([p.ravel() for p in parts])
 
 
@@ -132,7 +173,7 @@ def train_step(p: list[np.ndarray], seen: list[np.ndarray], tokens: np.ndarray,
         x -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
-def train_round(docs: DataFrame, table: np.ndarray, start: np.ndarray, turn: int, text_col: str = "text") -> np.ndarray:
+def train_round(docs: DataFrame, table: Vocabulary, start: np.ndarray, turn: int, text_col: str = "text") -> np.ndarray:
     """Parameters after each task has trained on one of ``PART`` of the places of all its texts, averaged by places."""
     sent = docs.sparkSession.sparkContext.broadcast((table, start))
 
@@ -171,17 +212,16 @@ def train_round(docs: DataFrame, table: np.ndarray, start: np.ndarray, turn: int
     return np.concatenate(list(rows["sums"]))[: len(start)].astype(np.float32) if len(rows) else start
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Token table and parameters: both of a size that is fixed by the constants above, whatever the corpus."""
-    counts = token_counts(docs, text_col)
-    table = token_table(counts)
-    flat = initial_parameters(counts, table)
+def fit_language_model(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary, which grows with the corpus, and the network's parameters, of a size fixed by the constants above."""
+    table = vocabulary(docs, text_col)
+    flat = initial_parameters(table)
     for turn in range(rounds):
         flat = train_round(docs, table, flat, turn, text_col)
     return table, flat
 
 
-def score_documents(docs: DataFrame, table: np.ndarray, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, table: Vocabulary, flat: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, log_prob, mean_log_prob``: pseudo-log-likelihood of every whole text.
 
     Null and empty texts have no tokens, log-probability 0 and a null mean. Null ids pass through, repeated rows are
@@ -195,7 +235,8 @@ def score_documents(docs: DataFrame, table: np.ndarray, flat: np.ndarray, id_col
         for batch in batches:
             for i, j, w in tn.token_pieces(batch.column(1)):
                 tokens = tokens_of(w, table)
-                each = np.r_[0, np.cumsum(log_probabilities(p, tokens, np.flatnonzero(tokens)))]
+                at = np.flatnonzero(tokens)
+                each = np.r_[0, np.cumsum(log_probabilities(p, tokens, at) + log_shares(w, tokens[at], table))]
                 n, total = np.diff(w.first), each[w.first[1:]] - each[w.first[:-1]]
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(np.where(n > 0, total, 0.0)), mean], names=[id_col, "n_tokens", "log_prob", "mean_log_prob"])
