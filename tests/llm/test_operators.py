@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tomewright.llm import lm_scoring
 from tomewright.llm import textnum as tn
 from tomewright.llm.chat import format_chats
 from tomewright.llm.decontaminate import benchmark_matches, common_subsequence, decontaminate
@@ -266,6 +267,21 @@ def test_lm_vocabulary_grows_with_the_corpus(spark):
     assert min(got[300 + i] for i in range(20)) > max(got[320 + i] for i in range(20)) + 1
 
 
+def test_lm_trains_on_every_place(spark):
+    raw = "one two three four five six seven".encode() * 50
+    w = tn.tokenise(np.frombuffer(raw, np.uint8), np.array([0, 200, 200, len(raw)]))
+    tokens = np.zeros(len(w.hashes) + lm_scoring.SIDE * len(w.first), np.int64)
+    tokens[np.arange(len(w.hashes)) + lm_scoring.SIDE * (tn.owners(w.first) + 1)] = 1
+    for rounds in (1, lm_scoring.ROUNDS, 5):
+        parts = [lm_scoring.places_of_round(w, tokens, turn, rounds) for turn in range(rounds)]
+        assert np.sort(np.concatenate(parts)).tolist() == np.flatnonzero(tokens).tolist()
+    # what follows from what, by one pass over 40,000 places
+    cycle = "one two three four five six seven".split()
+    df = docs(spark, [" ".join(cycle * 20) for _ in range(286)])
+    got = score_documents(df, *fit_language_model(df)).collect()
+    assert min(r.mean_log_prob for r in got) > -0.02
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 

@@ -4,8 +4,8 @@ Tokens are the corpus's commonest words (counted over all documents) and, for ot
 a class has its class's probability times its own share of the class, by its count: all words that occur ``LEAST``
 times have their own, so the vocabulary grows with the corpus; the rarer ones share what is left alike.
 The network adds up an embedding of each of the six tokens around a place (one table a place), and a tanh layer
-feeds a softmax over the tokens. It is trained in numpy where the documents lie: each task runs SGD (Adagrad) over
-its share of places in all of its documents, and the models are averaged by weight in a shuffle, twice.
+feeds a softmax over the tokens. It is trained in numpy where the documents lie: each task runs SGD (Adagrad) over all
+places of its documents, half of them in each of two rounds, after which the models are averaged by weight in a shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tomewright.llm.common import drop_table, only, read_table, stage_table
 #: Commonest words, which are tokens; shape tokens; least count of a word with a share of its own.
 COMMON, SHAPES, LEAST = 159, 32, 20
 TOKENS = 1 + COMMON + SHAPES  # token 0 stands beyond either end of a text
-SIDE, WIDTH, ROUNDS, PART, BATCH, RATE, SEED = 3, 24, 2, 32, 1024, 0.1, 5
+SIDE, WIDTH, ROUNDS, BATCH, RATE, SEED = 3, 24, 2, 1024, 0.1, 5
 PLACES = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 CHUNK = 256
 _SHAPES_OF = ((len(PLACES), TOKENS, WIDTH), (WIDTH,), (WIDTH, TOKENS), (TOKENS,))
@@ -158,23 +158,34 @@ def log_probabilities(p: list[np.ndarray], tokens: np.ndarray, at: np.ndarray) -
 def train_step(p: list[np.ndarray], seen: list[np.ndarray], tokens: np.ndarray, at: np.ndarray) -> None:
     """One Adagrad step on some places."""
     h = _hidden(p, tokens, at)
-    z = h @ p[2] + p[3]
+    z = h @ p[2]
+    z += p[3]
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(at)), tokens[at]] -= 1
-    z /= len(at)
-    inner = (z @ p[2].T) * (1 - h * h)
+    z *= np.float32(1 / len(at)) / z.sum(1, keepdims=True)
+    z[np.arange(len(at)), tokens[at]] -= np.float32(1 / len(at))
+    inner = z @ p[2].T
+    inner *= 1 - h * h
     table = np.zeros_like(p[0])
     for k, d in enumerate(PLACES):
-        np.add.at(table[k], tokens[at + d], inner)
+        near = tokens[at + d].astype(np.uint16)
+        order = np.argsort(near, kind="stable")
+        near = near[order]
+        begin = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+        table[k][near[begin]] = np.add.reduceat(inner[order], begin, axis=0)
     for x, s, g in zip(p, seen, (table, inner.sum(0), h.T @ z, z.sum(0)), strict=True):
         s += g * g
         x -= RATE * g / (np.sqrt(s) + 1e-6)
 
 
-def train_round(docs: DataFrame, table: Vocabulary, start: np.ndarray, turn: int, text_col: str = "text") -> np.ndarray:
-    """Parameters after each task has trained on one of ``PART`` of the places of all its texts, averaged by places."""
+def places_of_round(w: tn.Words, tokens: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that a round trains on: each place has its turn in one of the rounds."""
+    at = np.flatnonzero(tokens)
+    return at[tn.mix(w.hashes + np.uint64(977) * np.arange(len(at), dtype=np.uint64)) % np.uint64(rounds) == turn]
+
+
+def train_round(docs: DataFrame, table: Vocabulary, start: np.ndarray, turn: int, rounds: int, text_col: str = "text") -> np.ndarray:
+    """Parameters after each task has trained on the turn's part of the places of all its texts, averaged by places."""
     sent = docs.sparkSession.sparkContext.broadcast((table, start))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +195,7 @@ def train_round(docs: DataFrame, table: Vocabulary, start: np.ndarray, turn: int
         for batch in batches:
             for _, _, w in tn.token_pieces(batch.column(0)):
                 tokens = tokens_of(w, table)
-                at = np.flatnonzero(tokens)
-                at = at[tn.mix(w.hashes + np.uint64(977) * np.arange(len(at), dtype=np.uint64)) % np.uint64(PART) == turn]
+                at = places_of_round(w, tokens, turn, rounds)
                 for k in range(0, len(at), BATCH):
                     train_step(p, seen, tokens, at[k : k + BATCH])
                 n += len(at)
@@ -217,7 +227,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", rounds: int = RO
     table = vocabulary(docs, text_col)
     flat = initial_parameters(table)
     for turn in range(rounds):
-        flat = train_round(docs, table, flat, turn, text_col)
+        flat = train_round(docs, table, flat, turn, rounds, text_col)
     return table, flat
 
 
