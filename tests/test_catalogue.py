@@ -217,3 +217,36 @@ def test_snapshot_round_trip(spark, tmp_path):
     feeds.write_snapshot(tables, str(tmp_path), "1")
     back = feeds.read_snapshot(spark, str(tmp_path), "1")
     assert {k: sorted(map(tuple, v.collect())) for k, v in back.items()} == {k: sorted(map(tuple, v.collect())) for k, v in tables.items()}
+
+
+BOOK = "id bigint, title string, authors string, isbn string, description string, publisher string, year int, language string, pages int, udc_code string, file_hash string"
+
+
+def test_rematch_equals_brute_force(spark):
+    rng = random.Random(14)
+    base = ["a long tale of the sea", "history of the old world", "on rivers and stones"]
+    rows = []
+    for i in range(60):
+        title = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            title[rng.randrange(len(title))] = rng.choice("abcdxyz")
+        author = rng.choice([None, "", "Ann Bee", " ann bee ", "Cid"])
+        rows.append((i, rng.choice(["".join(title)] * 9 + [None]), author, None, rng.choice([None, "d"]), rng.choice([None, "p"]), rng.choice([None, 0, 1990, 1991]), "en", 3, rng.choice([None, "", *"123456789"]), f"h{i}"))
+    rich = lambda r: sum(str(v or "") not in ("", "0") for v in (r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8]))
+    df = spark.createDataFrame(rows, BOOK).cache()
+    rules = set()
+    for own in rows[::6]:
+        want = []
+        for r in rows:
+            if r[0] == own[0] or not r[1] or not own[1] or SequenceMatcher(None, r[1], own[1]).ratio() < 0.85 or rich(own) > rich(r):
+                continue
+            writer = (own[2] or "").strip().lower()
+            if (own[9] or "") == (r[9] or ""):
+                want.append((3, r[0]))
+            elif writer and own[6] and writer == (r[2] or "").strip().lower() and own[6] == r[6]:
+                want.append((4, r[0]))
+        got = [(r.rule, r.master_id) for r in dedup.rematch_one(df, own[0]).collect()]
+        assert got == sorted(want)[:1]
+        rules |= {rule for rule, _ in got}
+    assert rules >= {3}
+    assert dedup.rematch_one(df, 999).count() == 0

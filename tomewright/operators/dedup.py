@@ -115,17 +115,39 @@ def resolve(books: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return books.select("id").join(losers, "id", "left").select("id", F.col("reason").isNull().cast("int").alias("is_master"), "master_id", F.coalesce("reason", F.lit("survivor")).alias("reason"))
 
 
-def rematch_one(books: DataFrame, file_id: int) -> DataFrame:
+def title_ratio(norm: Column, title: str) -> Column:
+    """Likeness of normalised titles to one; null for a null title."""
+
+    @F.pandas_udf("double")
+    def ratio(norms: pd.Series) -> pd.Series:
+        matcher = SequenceMatcher(None, "", title)
+        out = []
+        for x in norms:
+            if x is None:
+                out.append(None)
+                continue
+            matcher.set_seq1(x)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratio(norm)
+
+
+def rematch_one(books: DataFrame, file_id: int, threshold: float = THRESHOLD) -> DataFrame:
     """What one row duplicates now: the first of hash, isbn, title with category, author with year; least id first.
 
-    The row's keys become literals, so the search is one scan with pushed filters.
+    Titles match from the threshold on, and only with rows that are as rich at least. The row's keys become literals,
+    so the search is one scan; titles are compared where category, or author and year, agree.
     """
-    keys = (F.col("file_hash"), isbn_key(F.col("isbn")), normalize_title(F.col("title")), F.col("udc_code"), F.col("authors"), F.col("year"))
-    own = books.where(F.col("id") == file_id).select(*keys).first() or (None,) * len(keys)
+    keys = (F.col("file_hash"), isbn_key(F.col("isbn")), normalize_title(F.col("title")), F.coalesce("udc_code", F.lit("")), author_key(), F.coalesce("year", F.lit(0)), F.col("richness"))
+    rich = with_richness(books)
+    own = rich.where(F.col("id") == file_id).select(*keys).first() or (None,) * len(keys)
     same = [c == F.lit(v) for c, v in zip(keys, own, strict=True)]
-    title = same[2] & (keys[2] != "")
-    rule = F.when(same[0], 1).when(same[1], 2).when(title & same[3], 3).when(title & same[4] & same[5], 4)
-    others = books.where(F.col("id") != file_id).select(F.lit(file_id).cast("bigint").alias("id"), F.col("id").alias("master_id"), rule.alias("rule"))
+    author = same[4] & same[5] & (keys[4] != "") & (keys[5] != 0)
+    searched = (same[3] | author) & (keys[6] >= F.lit(own[6])) & (keys[2] != "") & F.lit(bool(own[2]))
+    like = title_ratio(F.when(searched, keys[2]), own[2] or "") >= threshold
+    rule = F.when(same[0], 1).when(same[1], 2).when(like & same[3], 3).when(like & author, 4)
+    others = rich.where(F.col("id") != file_id).select(F.lit(file_id).cast("bigint").alias("id"), F.col("id").alias("master_id"), rule.alias("rule"))
     return others.where("rule is not null").orderBy("rule", "master_id").limit(1)
 
 
