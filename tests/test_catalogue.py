@@ -250,3 +250,10 @@ def test_rematch_equals_brute_force(spark):
         rules |= {rule for rule, _ in got}
     assert rules >= {3}
     assert dedup.rematch_one(df, 999).count() == 0
+
+
+@needs_data
+def test_force_keep_returns_every_row(spark):
+    got = registry.QUERIES["ddp10_force_keep"](spark, DATA).toPandas()
+    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert got[got.id % 5 == 0].is_master.all() and not got[got.id % 5 != 0].is_master.all()

@@ -598,7 +598,7 @@ def _(c):
 
 @query("ddp10_force_keep")
 def _(c):
-    return dd.resolve(c.books, keep=c.files.where("id % 5 = 0").select("id")).where("id % 5 = 0")
+    return dd.resolve(c.books, keep=c.files.where("id % 5 = 0").select("id"))
 
 
 # --- classification -------------------------------------------------------------------------------
