@@ -257,3 +257,9 @@ def test_force_keep_returns_every_row(spark):
     got = registry.QUERIES["ddp10_force_keep"](spark, DATA).toPandas()
     assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert got[got.id % 5 == 0].is_master.all() and not got[got.id % 5 != 0].is_master.all()
+
+
+def test_author_year_pass_folds_authors(spark):
+    rows = [(i, "a long tale of the sea", a, None, None, None, y, "en", 3, None, f"h{i}") for i, (a, y) in enumerate([("Ann Bee", 1990), (" ann bee", 1990), ("ANN BEE ", 1991), ("Cid", 1990)])]
+    got = dedup.by_author_year(dedup.with_richness(spark.createDataFrame(rows, BOOK))).collect()
+    assert [(r.id, r.master_id, r.ratio, r.ambiguous) for r in got] == [(1, 0, 1.0, False)]

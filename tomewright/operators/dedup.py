@@ -91,7 +91,7 @@ def by_title(books: DataFrame, **limits: float) -> DataFrame:
 def by_author_year(books: DataFrame, **limits: float) -> DataFrame:
     """Fuzzy titles of one author and year, both given."""
     rows = books.where((author_key() != "") & (F.coalesce("year", F.lit(0)) != 0))
-    return fuzzy_pairs(rows, [F.col("authors"), F.col("year")], False, **limits)
+    return fuzzy_pairs(rows, [author_key(), F.col("year")], False, **limits)
 
 
 def without(books: DataFrame, losers: DataFrame) -> DataFrame:
