@@ -263,3 +263,21 @@ def test_author_year_pass_folds_authors(spark):
     rows = [(i, "a long tale of the sea", a, None, None, None, y, "en", 3, None, f"h{i}") for i, (a, y) in enumerate([("Ann Bee", 1990), (" ann bee", 1990), ("ANN BEE ", 1991), ("Cid", 1990)])]
     got = dedup.by_author_year(dedup.with_richness(spark.createDataFrame(rows, BOOK))).collect()
     assert [(r.id, r.master_id, r.ratio, r.ambiguous) for r in got] == [(1, 0, 1.0, False)]
+
+
+def test_title_duplicates_follow_the_audit(spark):
+    titles = ["A long tale of the grey sea, told anew", "a long tale of the grey sea told anew", "a long tale of the grey sea told anew", "a long tale of the grey sea told anex", None, "", "a long tale of the grey sea told anew and once more", "of a b", "of a b"]
+    rows = [(i, t, f"quiet harvest in the hills {'' if i == 4 else 'x'}") for i, t in enumerate(titles)]
+    df = spark.createDataFrame([*rows, (20, "quiet harvest in the hills x", "z")], "id bigint, title string, filename string")
+    got = {(r.id, r.master_id, r.kind) for r in dedup.title_duplicates(df).collect()}
+    names = {i: (t or f).lower().replace(",", "").strip() for i, t, f in [*rows, (20, "quiet harvest in the hills x", "z")]}
+    split = {i: {w for w in n.split() if len(w) >= 3} for i, n in names.items()}
+    want = set()
+    for i in names:
+        for j in names:
+            if i < j and names[i][:8] == names[j][:8] and split[i] and len(split[i] & split[j]) / len(split[i] | split[j]) >= 0.8 and SequenceMatcher(None, names[i], names[j]).ratio() >= 0.95:
+                want.add((i, j))
+    first = {i: min([m for k, m, kind in got if k == i and kind == "equal"], default=i) for i in names}
+    like = {(m, i) for i, m, kind in got if kind == "similar"}
+    assert {(i, j) for i in names for j in names if i < j and split[i] and (first[i] == first[j] or tuple(sorted((first[i], first[j]))) in like)} == want
+    assert {(1, 0, "equal"), (2, 0, "equal"), (20, 5, "equal")} <= got

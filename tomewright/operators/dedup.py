@@ -170,6 +170,31 @@ def similar_titles(books: DataFrame, jaccard: float = 0.8) -> DataFrame:
     return a.join(b, "block").where("id_a < id_b").withColumn("jaccard", share).where(F.col("jaccard") >= jaccard).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def title_duplicates(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
+    """``id, master_id, kind``: files of like titles (the file's name if there is none), by the audit's two limits.
+
+    A file of an equal title points to the least id of that title (kind ``equal``); of titles that differ, the least
+    ids are paired (``similar``). So every pair of the audit follows, but a group of copies makes no pairs.
+    """
+    name = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("filename"))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3))
+    rows = books.select("id", normalize_title(name).alias("norm")).withColumn("words", words).where(F.size("words") > 0)
+    first = rows.groupBy("norm").agg(F.min("id").alias("master_id"), F.first("words").alias("words"), F.count("*").alias("n"))
+    equal = rows.select("id", "norm").join(first.where("n > 1").select("norm", "master_id"), "norm").where("id <> master_id")
+    block = F.left("norm", F.lit(8)).alias("block")
+    a = first.select(block, F.col("master_id"), F.col("norm").alias("norm_a"), F.col("words").alias("words_a"))
+    b = first.select(block, F.col("master_id").alias("id"), F.col("norm").alias("norm_b"), F.col("words").alias("words_b"))
+    share = F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b"))
+    near = a.join(b, "block").where("master_id < id").where(share >= jaccard)
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, i, j).ratio() for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    near = near.where(ratio("norm_a", "norm_b") >= threshold)
+    return equal.select("id", "master_id", F.lit("equal").alias("kind")).unionByName(near.select("id", "master_id", F.lit("similar").alias("kind")))
+
+
 def first_arrivals(files: DataFrame) -> DataFrame:
     """Arrivals against what came before: reason duplicate_by_hash, duplicate_by_title or null, by id order."""
     title = F.lower("title")

@@ -393,6 +393,11 @@ def _(c):
     return dd.similar_titles(c.books)
 
 
+@query("jn17_title_duplicates")
+def _(c):
+    return dd.title_duplicates(c.books)
+
+
 @query("jn20_orphans_of_masters", f"with {DISK} select path from disk where path not in (select source_path from files) and file_hash in (select file_hash from files where is_master = 1)")
 def _(c):
     return au.orphans(_disk(c), c.files).join(c.files.where("is_master = 1"), "file_hash", "left_semi").select("path")
