@@ -25,11 +25,11 @@ VIEWS = {
     ),
     "metadata": (
         "documents",
-        """doc_id as file_id, trim(substring(split_part(text, chr(10), 1), 1, 80)) as title,
+        """doc_id as file_id, trim(split_part(text, chr(10), 1)) as title,
         case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '' else 'Author ' || cast(doc_id % 7 as string) end as authors,
         case when doc_id % 5 = 0 then ' ' when doc_id % 5 = 1 then null else 'Press ' || cast(doc_id % 3 as string) end as publisher,
         case when doc_id % 6 = 0 then null when doc_id % 6 = 1 then ' 978-' || cast(doc_id % 50 as string) || ' ' else '978' || cast(doc_id % 50 as string) end as isbn,
-        lang as language, substring(text, 1, 400) as description, lang || '; ' || source as subjects,
+        lang as language, text as description, lang || '; ' || source as subjects,
         case when doc_id % 5 = 0 then '000' when doc_id % 5 = 1 then '004' when doc_id % 5 = 2 then '510' when doc_id % 5 = 3 then '820' end as udc_code,
         case when doc_id % 7 = 0 then null when doc_id % 7 = 1 then '' else '/covers/' || cast(doc_id as string) || '.jpg' end as cover_path,
         case when doc_id % 17 = 0 then 'manual' end as enrich_source,
