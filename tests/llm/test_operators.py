@@ -282,6 +282,60 @@ def test_lm_trains_on_every_place(spark):
     assert min(r.mean_log_prob for r in got) > -0.02
 
 
+def test_lm_probabilities_equal_plain_softmax():
+    rng = np.random.default_rng(4)
+    p = [rng.normal(0, 0.4, s).astype(np.float32) for s in lm_scoring._SHAPES_OF]
+    tokens = np.r_[np.zeros(3, int), rng.integers(1, lm_scoring.TOKENS, 40), np.zeros(3, int), [9], np.zeros(3, int)]
+    at = np.flatnonzero(tokens)
+    got = lm_scoring.log_probabilities(p, tokens, at)
+    for k, a in enumerate(at.tolist()):
+        h = np.r_[np.tanh(sum(p[0][i][tokens[a + d]] for i, d in enumerate(lm_scoring.PLACES)))[:-1], 1]
+        group, slot = divmod(int(tokens[a]) - 1, lm_scoring.SLOTS)
+        z, y = (h @ p[1]).astype(float), (h @ p[2][group]).astype(float)
+        assert got[k] == pytest.approx(z[group] - np.log(np.exp(z).sum()) + y[slot] - np.log(np.exp(y).sum()), abs=1e-4)
+    # all tokens' probabilities at a place add up to one
+    where = np.tile(np.r_[tokens[:6], 0], (lm_scoring.TOKENS - 1, 1))
+    where[:, 3] = np.arange(1, lm_scoring.TOKENS)
+    flat = np.hstack([where, np.zeros((len(where), 3), int)]).ravel()
+    assert np.exp(lm_scoring.log_probabilities(p, flat, 3 + 10 * np.arange(len(where)))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_training_follows_the_gradient():
+    rng = np.random.default_rng(8)
+    p = [rng.normal(0, 0.3, s).astype(np.float64) for s in lm_scoring._SHAPES_OF]
+    tokens = np.r_[np.zeros(3, int), rng.integers(1, 400, 30), np.zeros(3, int)]
+    at = np.flatnonzero(tokens)
+    loss = lambda q: -lm_scoring.log_probabilities(q, tokens, at).mean()
+    after = [x.copy() for x in p]
+    lm_scoring.train_step(after, [np.ones_like(x) * 1e6 for x in p], tokens, at)  # a step along the gradient
+    for part in range(len(p)):
+        moved = np.argwhere(after[part] != p[part])
+        for where in map(tuple, moved[rng.integers(0, len(moved), 4)].tolist()):
+            up, down = [x.copy() for x in p], [x.copy() for x in p]
+            up[part][where] += 1e-4
+            down[part][where] -= 1e-4
+            slope = (loss(up) - loss(down)) / 2e-4
+            assert (p[part] - after[part])[where] * 1e3 / lm_scoring.RATE == pytest.approx(slope, rel=0.02, abs=1e-6)
+
+
+def test_lm_scores_hang_on_neither_partitions_nor_the_size_of_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 4000)
+    rng = random.Random(21)
+    words = [f"{rng.choice('abcdefgh') * rng.randint(1, 9)}{i}" for i in range(6000)]
+    some = [rng.choices(words, [1 / (k + 1) for k in range(6000)], k=rng.randint(0, 200)) for _ in range(300)]
+    rows = [(i, " ".join(t), "clash", 1.0) for i, t in enumerate(some)] + [(None, "a b c", "x", 1.0), (7, "a b c", "x", 1.0), (7, "a b c", "x", 1.0), (400, None, "x", 1.0), (401, "", "x", 1.0), (402, "zz " * 60000, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string, log_prob double")
+    key = lambda i: -1 if i is None else i
+    score = lambda part, most: sorted(((key(r.doc_id), r.n_tokens, r.log_prob) for r in score_documents(df.repartition(part), *fit_language_model(df.repartition(part), most_sent=most)).collect()))
+    plain = score(2, lm_scoring.MOST_SENT)
+    assert len(plain) == len(rows) and [(i, n) for i, n, _ in plain] == sorted((key(i), len((t or "").split())) for i, t, *_ in rows)
+    for other in (score(7, lm_scoring.MOST_SENT), score(3, 10)):
+        assert [(a, b) for a, b, _ in other] == [(a, b) for a, b, _ in plain]
+        assert [c for *_, c in other] == pytest.approx([c for *_, c in plain], abs=1e-2, rel=1e-5)
+    alike = [c for d, n, c in plain if d in (-1, 7) and n == 3]
+    assert len(alike) >= 3 and max(alike) - min(alike) < 1e-3
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 

@@ -57,11 +57,12 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; nulls are empty."""
+    """Bytes and offsets of an array of strings or binaries; nulls are empty."""
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
     if texts.null_count:
-        texts = texts.fill_null("")
-    if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"" if binary else "")
+    if texts.type not in (pa.large_string(), pa.large_binary()):
+        texts = texts.cast(pa.large_binary() if binary else pa.large_string())
     n, at = len(texts), texts.offset
     _, offsets, data = texts.buffers()
     if not n:
