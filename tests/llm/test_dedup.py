@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -107,8 +108,8 @@ def test_simhash_components_equal_brute_force(spark):
     assert {d: c for d, (_, c) in got.items()} == plain_components(prints, 3)
 
 
-@pytest.mark.parametrize(("near", "shard"), [(0.0, 16384), (0.9, 16384), (0.9, 300)])
-def test_hamming_links_are_whole(spark, near, shard):
+@pytest.mark.parametrize(("near", "shard", "planned"), [(0.0, 16384, 2048), (0.9, 16384, 2048), (0.9, 300, 2048), (0.9, 16384, 16), (0.9, 30, 64)])
+def test_hamming_links_are_whole(spark, near, shard, planned):
     from tomewright.llm.components import connected_components
     from tomewright.llm.simhash_dedup import hamming_links
 
@@ -121,11 +122,39 @@ def test_hamming_links_are_whole(spark, near, shard):
         prints.append(x)
     prints = sorted(set(prints), key=lambda x: x - (x >> 63 << 64))
     df = spark.createDataFrame([(x - (x >> 63 << 64),) for x in prints], "fp bigint")
-    stars = {r.u: r.v for r in connected_components(hamming_links(df, shard=shard)).collect()}
+    stars = {r.u: r.v for r in connected_components(hamming_links(df, shard=shard, planned=planned)).collect()}
     want = plain_components({x - (x >> 63 << 64): x for x in prints}, 3)
     assert {x: stars.get(x, x) for x in want} == want
 
 
+def test_vantage_points_shard_and_prune():
+    """Pairs near in a half meet in a shard of it, rows grow by a seventh a cut, and trees leave most pairs aside."""
+    from tomewright.llm import simhash_dedup as module
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 6000, dtype=np.uint64)
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(3000)]
+    x[3000:] = x[:3000] ^ np.array(flips, np.uint64)
+    points = module.vantage_points(6)
+    assert all(np.bitwise_count((points[i] ^ points[j]) & m) == 16 for i in range(6) for j in range(i) for m in module.HALVES)
+    met = np.zeros(3000, bool)
+    for mask in module.HALVES:
+        counts = np.array([np.bincount(np.bitwise_count((x ^ v) & mask), minlength=33) for v in points])
+        at, shard = module.shards_of(x, mask, points, module.cuts_at(counts[None])[0], 1)
+        assert len(at) < 1.2**6 * len(x) and np.bincount(shard).max() < len(x) / 10
+        keys = set(zip(at.tolist(), shard.tolist(), strict=True))
+        both = [any((i + 3000, s) in keys for s in shard[at == i].tolist()) for i in range(3000)]
+        close = np.bitwise_count((x[:3000] ^ x[3000:]) & mask) <= 1
+        assert np.array(both)[close].all()
+        met |= close
+        sets = module._Union(len(x))
+        compared = module.vantage_tree(x & mask, np.arange(len(x)), 1, sets)
+        sets.flatten()
+        assert (sets.up[:3000] == sets.up[3000:])[close].all()
+        assert compared < 0.1 * len(x) ** 2
+    assert met.all()
+
+
 def test_simhash_odd_tables(spark):
     assert fingerprint(b"") == 0
     assert simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
