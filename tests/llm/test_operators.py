@@ -201,6 +201,70 @@ def test_decontamination_finds_whole_copies_of_items_that_many_documents_hold(sp
     assert all(r.share == 1 and r.answer for r in got)
 
 
+@pytest.mark.parametrize("around", ["rare", "ordinary"])
+def test_decontamination_finds_whole_items_of_any_length(spark, around):
+    """Items of 6 to 60 words, put whole among words of their own kind or among words that occur once."""
+    rng = random.Random(17)
+    vocabulary = ["the", "of", "and", "in", *[f"v{i}" for i in range(1500)]]
+    say = lambda n: rng.choices(vocabulary, [90, 70, 60, 50, *[1] * 1500], k=n)
+    items = [say(n) for n in range(6, 61, 2) for _ in range(3)]
+    rows, truth = [], set()
+    for k in range(2 * len(items)):
+        d = say(rng.randint(20, 120)) if around == "ordinary" else [f"r{k}_{j}" for j in range(rng.randint(20, 120))]
+        i, at = k % len(items), rng.randrange(len(d) + 1)
+        rows.append((k, " ".join(d[:at] + items[i] + d[at:])))
+        truth.add((k, f"item {i}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(f"item {i}", " ".join(x)) for i, x in enumerate(items)], "item_id string, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in benchmark_matches(df, bench).collect()}
+    assert truth <= set(got) and all(got[x] == 1 for x in truth)
+    # in parts, the same; and every further match is one by the common subsequence
+    assert {(r.doc_id, r.item_id) for r in benchmark_matches(df, bench, part_words=700).collect()} >= truth
+    text = dict(rows)
+    for k, name in set(got) - truth:
+        item, words = items[int(name.split()[1])], text[k].split()
+        number = {x: j for j, x in enumerate(dict.fromkeys([*item, *words]))}
+        assert common_subsequence(np.array([number[x] for x in item]), np.array([number[x] for x in words])) >= 0.5 * len(item)
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices([f"w{i}" for i in range(900)], k=n))
+    item = say(30)
+    rows = [(None, say(80)), (None, f"{say(40)} {item} {say(9)}"), (7, say(60)), (7, f"{item} {say(20)}"), (8, item), (8, item), (9, None), (10, ""), (11, item.upper()), (12, "zz " * 60000 + item), (13, "w1 " * 40000)]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id bigint, text string, cosine double")
+    bench = spark.createDataFrame([("a", item, 1), ("a", item, 1), ("b", item, 1), (None, item, 1), ("c", "", 1), ("d", None, 1)], "item_id string, text string, share int")
+    left = decontaminate(df, bench)
+    assert left.columns == df.columns
+    want = [(i, t) for i, t in rows if not t or item not in t.lower()]
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in left.collect()])) == sorted(map(repr, want))
+    got = sorted((r.doc_id or 0, r.item_id) for r in benchmark_matches(df, bench).collect())
+    assert got == sorted([(i or 0, x) for i, t in rows if t and item in t.lower() for x in ("a", "a", "b")])
+    assert decontaminate(df, bench.limit(0)).count() == len(rows) and decontaminate(df.limit(0), bench).count() == 0
+    parts = decontaminate(df, bench, part_words=40)
+    assert parts.count() == len(want)
+
+
+def test_passage_bound_counts_repeated_words_whole():
+    from tomewright.llm import decontaminate as module
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 60))) for _ in range(30)]
+    raw = "".join(texts).encode()
+    w = tn.tokenise(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]))
+    bucket = module._bucket(w.hashes)
+    row = np.full(module.BUCKETS, -1)
+    known = np.unique(module._bucket(tn.tokenise(np.frombuffer(b"a b c d", np.uint8), np.array([0, 7])).hashes))
+    row[known] = np.arange(len(known))
+    index = module.Index(*[None] * 10)._replace(row=row)
+    at, earlier = module._earlier_equal(w, bucket, index)
+    more = np.zeros(len(bucket))
+    more[at] = 1 + 2 * earlier
+    for a in range(len(bucket) - module.PASSAGE):
+        inside = [b for b in bucket[a : a + module.PASSAGE].tolist() if row[b] >= 0]
+        assert more[a : a + module.PASSAGE].sum() >= sum(n * n for n in Counter(inside).values())
+
+
 LANGUAGES = {"en": "the and thing with was over", "de": "und nicht schön über der größe", "fr": "les été où ça une leçon"}
 
 

@@ -15,16 +15,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or a folder of ours if unset."""
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``. If it is unset, a folder of this machine
+    serves a local session; on a cluster, where it would lose data, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = os.path.join(tempfile.gettempdir(), "tomewright-shared")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    What isn't dropped before goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tomewright/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
@@ -34,9 +39,16 @@ def stage_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     release_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished stages: it does so when the driver collects their handles."""
     gc.collect()
@@ -45,9 +57,8 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a ``stage_table`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._table_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = _file_system(df.sparkSession, df._table_path)
+    fs.delete(at, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 1. Document frequencies of hashed words over the whole corpus give the TF-IDF weights.
 2. Benchmark items are cut into passages; a randomised SVD of their TF-IDF matrix, multiplied in Spark, gives a
-   latent space of fixed rank. Scores are divided by the part of an item that the rank holds. (Fitted on corpus passages, the leading directions are languages and stop words, and
-   passages of a language are all alike.)
+   latent space of fixed rank. Scores are divided by the part of an item that the rank holds. (Fitted on corpus
+   passages, the leading directions are languages and stop words, and passages of a language are all alike.) A
+   benchmark of over ``PART_WORDS`` words is cut into parts by a hash, each with an index of its own, so that no index
+   is larger than one of so many words.
 3. Every passage of every document is scored by cosine: its projection against the items' passages, over its whole
-   TF-IDF norm. A passage whose words of the benchmark's vocabulary weigh too little can't reach the threshold
-   (Cauchy-Schwarz) and isn't projected.
+   TF-IDF norm. The cosine can't exceed the share of the norm that words of the benchmark's vocabulary have
+   (Cauchy-Schwarz); where a bound of that share, which counts a repeated word with its square, is below the
+   threshold, the passage isn't projected.
 4. That norm is of the whole passage, so words beside a short item, or an item whose words are common, can hide a copy.
    Passages are therefore also searched for the rarer half of each item's words, one of which any accepted match has,
    and are candidates if enough of the item's words stand within the item's length, in any order. Only a match that is
@@ -24,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tomewright.llm import textnum as tn
-from tomewright.llm.common import only, read_table
+from tomewright.llm.common import WORD, only, read_table, stage_table
 
 #: Hash buckets of words; latent rank; words of a passage; words from one to the next, in items and in documents.
 BUCKETS, RANK, PASSAGE, ITEM_STRIDE, STRIDE = 1 << 17, 128, 24, 8, 8
 #: Least cosine of a candidate; least share of an item's words in the common subsequence, alone and with the answer.
 COSINE, SEQUENCE, WITH_ANSWER, ANSWER_WORDS = 0.45, 0.7, 0.5, 8
-SEED = 7
+#: Words of a part of the benchmark, about: what the driver holds and executors are sent at once.
+PART_WORDS, SEED = 500_000, 7
 
 
 class Index(NamedTuple):
@@ -44,7 +49,7 @@ class Index(NamedTuple):
     passages: np.ndarray  # benchmark passages x rank, scaled so that a copy of the passage scores 1
     item_of: np.ndarray  # by passage
     items: list[np.ndarray]  # word hashes by item
-    ids: list[int]
+    ids: list
     vocabulary: np.ndarray  # word hashes of all items
     words: list[np.ndarray]  # by item: its words as places in vocabulary
     keys: list[np.ndarray]  # by item: its rarest words, one more than an accepted match can lack
@@ -115,20 +120,31 @@ def randomised_svd(rows: DataFrame, size: int, rank: int, turns: int = 2, seed:
     return x[:, : max(1, rank - 8)]
 
 
-def fit_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Index:
-    """The latent index of a benchmark. The benchmark is the stated query side: it is held whole by each worker."""
-    spark = docs.sparkSession
+def term_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """idf by bucket, of all documents."""
     df = document_frequencies(docs, text_col).toPandas()
     counts = np.zeros(BUCKETS)
     at = df["bucket"].to_numpy()
     counts[at[at >= 0]] = df["df"].to_numpy()[at >= 0]
     total = int(df["df"].to_numpy()[at < 0].sum())
-    weight = np.log((total + 1) / (counts + 0.5)).astype(np.float32).clip(0.01)
+    return np.log((total + 1) / (counts + 0.5)).astype(np.float32).clip(0.01)
 
-    items = [(r[0], r[1]) for r in only(benchmark, item_col, item_text_col).collect() if r[0] is not None]
+
+def benchmark_parts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", most: int = PART_WORDS) -> list[DataFrame]:
+    """The items with an id and a word as relations ``id, text`` of about ``most`` words each."""
+    items = only(benchmark, item_col, text_col).toDF("id", "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    parts = max(1, -(-words // most))
+    part = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(parts))
+    return [items.where(part == k) for k in range(parts)] if parts > 1 else [items]
+
+
+def fit_index(weight: np.ndarray, items: DataFrame) -> Index:
+    """The latent index of a part of the benchmark, ``id, text``. It is held whole by the driver and each worker."""
+    spark, found = items.sparkSession, items.collect()
     hashes, ids = [], []
-    for i, text in sorted(items, key=lambda x: x[0]):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
+    for i, text in sorted(found, key=lambda x: x[0]):
+        raw = np.frombuffer(text.encode(), np.uint8)
         w = tn.tokenise(raw, np.array([0, len(raw)]), lower=True)
         if len(w.hashes):
             hashes.append(w.hashes)
@@ -223,6 +239,21 @@ def _by_keys(w: tn.Words, index: Index, bucket: np.ndarray, owner: np.ndarray) -
     return (np.concatenate(items), np.concatenate(places)) if items else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _earlier_equal(w: tn.Words, bucket: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the benchmark's words, and how many words of the same bucket stand within a passage before each.
+
+    The square of a word that a passage holds m times is m squared: m, and two for each pair.
+    """
+    at = np.flatnonzero(index.row[bucket] >= 0)
+    key = index.row[bucket[at]] * np.int64(len(bucket)) + at
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    out = np.zeros(len(at), np.int64)
+    # across texts, too: that can only raise the bound
+    out[order] = np.arange(len(at)) - np.maximum(np.searchsorted(key, key - PASSAGE + 1), np.searchsorted(key, key - key % len(bucket))) if len(at) else 0
+    return at, out
+
+
 def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, bool]]:
     """(text, item, cosine, share, answer) of the accepted pairs of a piece."""
     n = len(w.hashes)
@@ -231,15 +262,18 @@ def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, boo
     bucket = _bucket(w.hashes)
     heavy = index.weight[bucket].astype(np.float64) ** 2
     known = np.where(index.row[bucket] >= 0, heavy, 0)
-    all_sum, known_sum = np.r_[0, np.cumsum(heavy)], np.r_[0, np.cumsum(known)]
+    at, earlier = _earlier_equal(w, bucket, index)
+    more = np.zeros(n)
+    more[at] = 2 * earlier * heavy[at]
+    all_sum, known_sum, more_sum = (np.r_[0, np.cumsum(x)] for x in (heavy, known, known + more))
     lengths = np.diff(w.first)
     owner, word = tn.owners(w.first), np.arange(n) - np.repeat(w.first[:-1], lengths)
     length = lengths[owner]
     first = np.flatnonzero(((word % STRIDE == 0) & (word + PASSAGE <= length)) | (word == np.maximum(length - PASSAGE, 0)))
     last = np.minimum(first + PASSAGE, first - word[first] + length[first])
-    whole, inside = all_sum[last] - all_sum[first], known_sum[last] - known_sum[first]
-    live = inside >= COSINE**2 * whole
-    first, last, whole, inside = first[live], last[live], whole[live], inside[live]
+    whole, inside, most = all_sum[last] - all_sum[first], known_sum[last] - known_sum[first], more_sum[last] - more_sum[first]
+    live = most >= COSINE**2 * (most + whole - inside) * (1 - 1e-9)
+    first, last, whole = first[live], last[live], whole[live]
     item, place = _by_keys(w, index, bucket, owner)
     # passages of the keys are projected for their cosine, however small
     a = np.unique(place)
@@ -296,40 +330,58 @@ def _search(w: tn.Words, index: Index) -> list[tuple[int, int, float, float, boo
     return [(text, item, cosine, share, answer) for (text, item), (share, cosine, answer) in out.items()]
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS
+) -> DataFrame:
     """``id_col, item_id, cosine, share, answer``: a row for each document and benchmark item found in it.
 
-    Whole texts are searched. Null and empty texts and items match nothing, and so do items with a null id; repeated
-    rows are each searched; an empty table gives an empty result; further columns are dropped. Sent out is the index
-    alone: bounded by 2**17 buckets, the rank, and the benchmark, which is the stated query side.
+    Whole texts are searched. Null and empty texts and items match nothing, and so do items with a null id; ids may be
+    of any type. Repeated rows are each searched and repeated items each found; equal items are all found; an empty
+    table gives an empty result; further columns are dropped. Sent out is the index alone: bounded by 2**17 buckets,
+    the rank, and ``part_words`` words of the benchmark; a larger one is searched part by part.
     """
-    index = fit_index(docs, benchmark, text_col, item_col, item_text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    weight, out = term_weights(docs, text_col), None
+    for items in benchmark_parts(benchmark, item_col, item_text_col, part_words):
+        sent = docs.sparkSession.sparkContext.broadcast(fit_index(weight, items))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, names = sent.value, [id_col, "item_id", "cosine", "share", "answer"]
+            item_type = to_arrow_type(item_kind)
+            for batch in batches:
+                for i, _, w in tn.token_pieces(batch.column(1), lower=True):
+                    text, item, cosine, share, answer = map(list, zip(*got, strict=True)) if (got := _search(w, index)) else ([],) * 5
+                    ids = batch.column(0).take(pa.array([i + t for t in text], pa.int64()))
+                    columns = [ids, pa.array([index.ids[k] for k in item], item_type), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(answer, pa.bool_())], names=names)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        for batch in batches:
-            for i, _, w in tn.token_pieces(batch.column(1), lower=True):
-                got = _search(w, index)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([i + x[0] for x in got], pa.int64())),
-                        pa.array([index.ids[x[1]] for x in got], pa.int64()),
-                        pa.array([x[2] for x in got], pa.float64()),
-                        pa.array([x[3] for x in got], pa.float64()),
-                        pa.array([x[4] for x in got], pa.bool_()),
-                    ],
-                    names=[id_col, "item_id", "cosine", "share", "answer"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return only(docs, id_col, text_col).mapInArrow(search, f"`{id_col}` {kind}, item_id bigint, cosine double, share double, answer boolean")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those in which a benchmark item is found. Rows with a null id are judged together."""
-    hit = benchmark_matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[f"`{id_col}`"].eqNullSafe(hit["_hit"]), "left_anti")
+        schema = f"`{id_col}` {kind.simpleString()}, item_id {item_kind.simpleString()}, cosine double, share double, answer boolean"
+        found = only(docs, id_col, text_col).mapInArrow(search, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found; a pass a part of the benchmark, no join.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids don't matter. Null and empty texts stay;
+    an empty table, or an empty benchmark, takes nothing away.
+    """
+    at, out, weight = docs.columns.index(text_col), docs, term_weights(docs, text_col)
+    for k, items in enumerate(benchmark_parts(benchmark, item_col, item_text_col, part_words)):
+        sent = docs.sparkSession.sparkContext.broadcast(fit_index(weight, items))
+        out = stage_table(out, "clean-documents") if k else out  # so that a worker holds one index
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for batch in batches:
+                for i, j, w in tn.token_pieces(batch.column(at), lower=True):
+                    clean = np.ones(j - i, bool)
+                    clean[[text for text, *_ in _search(w, index)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
