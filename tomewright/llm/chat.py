@@ -54,7 +54,8 @@ def maximal_conversations(hashed: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", span: int = SPAN, part: int = PART) -> DataFrame:
     """Maximal conversations, rendered: ``conv_col, part, turns, copies, rendered``.
 
-    A turn is ``<|role|>``, a line break, its text and a line break; ``part`` turns make a row, so that no conversation
+    A turn is ``<|role|>``, a line break, its text and a line break; ``<|`` in a role or a text reads ``<\\|``, so that no
+    text can pass for a turn. ``part`` turns make a row, so that no conversation
     need fit one row; its parts in order, concatenated, are the whole. ``turns`` are those of the conversation,
     ``copies`` the conversations equal to it. Null roles read ``unknown`` and null texts are empty, but neither equals
     a turn that says so; rows with a null id are one conversation; repeated rows are turns of their own; an empty table
@@ -65,7 +66,8 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     hashed = stage_table(prefix_hashes(turns, span), "turn-hashes")
     kept = maximal_conversations(hashed).withColumnRenamed("conv", "conv2")
     rows = hashed.join(kept, hashed.conv.eqNullSafe(kept.conv2))
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    plain = lambda c, other: F.replace(F.coalesce(c, F.lit(other)), F.lit("<|"), F.lit("<\\|"))
+    line = F.concat(F.lit("<|"), plain("role", "unknown"), F.lit("|>\n"), plain("text", ""), F.lit("\n"))
     groups = rows.groupBy("conv", F.floor((F.col("pos") - 1) / part).alias("part"), "turns", "copies")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x.line)
     return groups.agg(F.array_join(texts, "").alias("rendered")).select(F.col("conv").cast(kind).alias(conv_col), "part", "turns", "copies", "rendered")
@@ -75,12 +77,12 @@ def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
-OP6_SQL = f"""
+OP6_SQL = rf"""
 with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos,
              role, text from conversations),
 c as (select conv_id, list(struct_pack(r := role, t := text) order by pos) as turns from t group by conv_id),
 p as (select distinct turns[1:k] as prefix from c, unnest(range(1, len(turns))) as u(k)),
 m as (select min(conv_id) as conv_id, turns, count(*) as copies from c where turns not in (select prefix from p) group by turns)
 select t.conv_id, (t.pos - 1) // {PART} as part, len(m.turns)::bigint as turns, m.copies,
-  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by pos) as rendered
+  string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '<\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10), '' order by pos) as rendered
 from t join m using (conv_id) group by t.conv_id, (t.pos - 1) // {PART}, m.turns, m.copies"""

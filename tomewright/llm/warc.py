@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import only, read_table, stage_table
@@ -84,20 +84,31 @@ def parse_record(data: bytes, at: int) -> tuple[tuple, int]:
     return row, stop + 8 + len(block)
 
 
+def record_name(page: Column) -> Column:
+    return F.coalesce(F.url_encode(page.cast("string")), F.lit("%"))
+
+
+def page_of(record: Column, kind: str) -> Column:
+    return F.when(record != "%", F.url_decode(record)).cast(kind)
+
+
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``record, url, payload, digest, size, refers_to``: what ``write_bundles`` writes.
 
     Of records with equal payloads of at least ``min_revisit`` bytes the one with the least id is the response that
-    the others revisit. Payloads don't travel for this: digests are grouped (partial sums first), and the join with
-    the few that repeat is one Spark can split where a digest holds many rows.
+    the others revisit. Digests are grouped (partial sums first); the join with those that repeat is one Spark can
+    split where a digest holds many rows. It sends the repeating digests to the pages where they are few; else the
+    payloads travel once.
+
+    A record is named by its id, URL-encoded, so that no character of an id can end a header; a null id is ``%``.
     """
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     base = only(pages, id_col, url_col, html_col).toDF("id", "url", "html").select("id", "url", payload.alias("payload"))
     base = base.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     first = base.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     first = stage_table(first, "first-pages")
-    other = F.when((F.col("size") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
-    return base.join(first, "digest", "left").select(F.col("id").cast("string").alias("record"), "url", F.when(other.isNull(), F.col("payload")).alias("payload"), "digest", "size", other.alias("refers_to"))
+    other = F.when((F.col("size") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("first")), F.url_encode(F.col("first").cast("string")))
+    return base.join(first, "digest", "left").select(record_name(F.col("id")).alias("record"), "url", F.when(other.isNull(), F.col("payload")).alias("payload"), "digest", "size", other.alias("refers_to"))
 
 
 def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -187,12 +198,13 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     A null html is an empty payload, a null url has no URI line. Rows that repeat the least id of a payload are all
     responses; rows with a null id revisit the least id, and are responses if a payload has none but null ids. An
-    empty table writes no bundle and gives an empty result; further columns are not written.
+    empty table writes no bundle and gives an empty result; further columns are not written. Ids may be of any type
+    that a string can be cast to, and hold any character.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     back = read_bundles(write_bundles(warc_records(pages, id_col, url_col, html_col)), payloads=False)
-    name = F.when(F.col("record") != "None", F.col("record")).cast(kind)
-    return back.select(name.alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    own, other = page_of(F.col("record"), kind), page_of(F.col("refers_to"), kind)
+    return back.select(own.alias(id_col), "payload_bytes", "payload_digest", "record_type", other.alias("refers_to"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
