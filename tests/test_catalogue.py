@@ -281,3 +281,35 @@ def test_title_duplicates_follow_the_audit(spark):
     like = {(m, i) for i, m, kind in got if kind == "similar"}
     assert {(i, j) for i in names for j in names if i < j and split[i] and (first[i] == first[j] or tuple(sorted((first[i], first[j]))) in like)} == want
     assert {(1, 0, "equal"), (2, 0, "equal"), (20, 5, "equal")} <= got
+
+
+def test_title_pass_takes_blank_categories_as_one(spark):
+    rows = [(1, "A long tale of the sea", None, None, None, None, None, "en", 3, None, "a"), (2, "A long tale of the sea!", "", None, None, None, None, "en", 3, "", "b"), (3, "A long tale of the seas", " ", None, None, None, None, "en", 3, "5", "c")]
+    got = dedup.by_title(dedup.with_richness(spark.createDataFrame(rows, BOOK))).collect()
+    assert [(r.id, r.master_id, r.ambiguous) for r in got] == [(2, 1, False)]
+
+
+def test_resolution_with_a_block_of_half_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        title = list("the old house by the river and the quiet garden behind it")
+        for _ in range(rng.choice([0, 1, 4, 30])):
+            title[rng.randrange(4, len(title))] = rng.choice("abcdxyz ")
+        hot = i % 2
+        rows.append((i, "".join(title), None if hot else f"writer {i % 5}", None, None, rng.choice([None, "p"]), None if hot else 1990 + i % 2, "en", 3, None if hot else str(i % 3), f"h{i // 3 if i < 12 else i}"))
+    df = spark.createDataFrame(rows, BOOK)
+    got = {r.id: (r.is_master, r.master_id, r.reason) for r in dedup.resolve(df.repartition(3)).collect()}
+    rich = {r[0]: sum(str(v or "") not in ("", "0") for v in (r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8])) for r in rows}
+    norm = {r[0]: " ".join(r[1].split()) for r in rows}
+    lost = {}
+    by = lambda key: [sorted(x for x in norm if x not in lost and key(rows[x]) == k) for k in sorted({key(r) for r in rows if key(r)})]
+    for group in by(lambda r: (r[10],)):
+        best = min(group, key=lambda i: (-rich[i], i))
+        lost |= {i: (best, "duplicate_by_hash") for i in group if i != best}
+    for group in by(lambda r: (r[9] or "", norm[r[0]][:4], (r[2] or ""))):
+        lost |= {a: (b, "duplicate_by_title") for a, b in sequential([(i, norm[i], rich[i]) for i in group], True)}
+    for group in by(lambda r: (r[2], r[6]) if r[2] and r[6] else None):
+        lost |= {a: (b, "duplicate_by_author_year_title") for a, b in sequential([(i, norm[i], rich[i]) for i in group], False)}
+    assert got == {i: (0, *lost[i]) if i in lost else (1, None, "survivor") for i in norm}
+    assert {r for _, r in lost.values()} == {"duplicate_by_hash", "duplicate_by_title", "duplicate_by_author_year_title"}

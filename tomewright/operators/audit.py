@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import clean_filename, extension, folder_tag, from_filename, stem, truthy
-from tomewright.operators.dedup import duplicate_groups, similar_titles
+from tomewright.operators.dedup import duplicate_groups, equal_titles, similar_titles
 
 
 def orphans(listing: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def cover_differences(metadata: DataFrame, covers: DataFrame) -> DataFrame:
 
 
 def audit(books: DataFrame, listing: DataFrame) -> DataFrame:
-    """``finding, id, path, detail``: missing, size_mismatch, metadata_issues, orphan, duplicate and similar rows."""
+    """``finding, id, path, detail``: missing, size_mismatch, metadata_issues, orphan, duplicate, equal_title and similar
+    rows (of titles that differ, by their least ids; the detail is the other one)."""
     disk = listing.select(F.col("path").alias("_path"), F.col("length").alias("_length"))
     seen = books.join(disk, books.source_path == disk["_path"], "left")
     there = F.col("_path").isNotNull()
@@ -45,7 +46,8 @@ def audit(books: DataFrame, listing: DataFrame) -> DataFrame:
     lost = orphans(listing, books).select(F.lit("orphan").alias("finding"), F.lit(None).cast("bigint").alias("id"), "path", F.col("length").cast("string").alias("detail"))
     same = duplicate_groups(books).select(F.lit("duplicate").alias("finding"), F.col("first_id").alias("id"), F.lit("").alias("path"), F.col("n").cast("string").alias("detail"))
     like = similar_titles(books).select(F.lit("similar").alias("finding"), F.col("id_a").alias("id"), F.lit("").alias("path"), F.col("id_b").cast("string").alias("detail"))
-    return rows.unionByName(lost).unionByName(same).unionByName(like)
+    named = equal_titles(books).select(F.lit("equal_title").alias("finding"), "id", F.lit("").alias("path"), F.col("master_id").cast("string").alias("detail"))
+    return rows.unionByName(lost).unionByName(same).unionByName(named).unionByName(like)
 
 
 def audit_counts(found: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def layout_plan(files: DataFrame, listing: DataFrame) -> DataFrame:
     twin = lost.join(masters, "file_hash", "left_semi").select("path", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("dest"))
     moved = lost.join(masters, "file_hash", "left_anti").select("path", F.lit("orphans").alias("target"))
     claims = known.unionByName(moved).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    # a name's claims are numbered in path order; equal names in one folder are few
+    # a name's claims are numbered in path order, which is one task a name
     k = F.row_number().over(Window.partitionBy("target", F.lower("name")).orderBy("path"))
     claims = claims.withColumn("k", k)
     numbered = F.concat(stem(F.col("name")), F.lit(" ("), (F.col("k") - 1).cast("string"), F.lit(")"), extension(F.col("name")))
@@ -152,7 +154,7 @@ def log_of(log: DataFrame, file_id: int) -> DataFrame:
 
 
 def recent_log(log: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
-    """Latest events with their file's name: the join follows the cut where every event has a file row to meet."""
+    """Latest events of known files, with the file's name."""
     met = log.join(files.select(F.col("id").alias("fid"), "filename"), log.file_id == F.col("fid"))
     return met.select("id", "file_id", "filename", "stage", "status").orderBy(F.desc("id")).limit(limit)
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.functions.text import isbn_key, normalize_title, richness
+from tomewright.functions.text import isbn_key, normalize_title, richness, title_similarity
+from tomewright.sources.shared import staged
 
 THRESHOLD, AMBIGUOUS = 0.85, 0.70
 
@@ -60,11 +62,12 @@ def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: fl
     """Greedy fuzzy title matches inside blocks: ``id, master_id, ratio, ambiguous`` (those below the threshold are reports).
 
     Pairs are compared inside a block alone, so blocks run in parallel with the result of the sequential pass. The
-    pass itself depends on its order, so one block is one task; ``blocks_by_size`` shows what that costs.
+    pass itself depends on its order, so one block is one task: its work is its rows times the titles that still stand
+    (rows of one title leave one standing). Rows come with a ``norm`` where the caller has it.
     """
-    rows = books.withColumn("norm", normalize_title(F.col("title"))).where("norm <> ''")
+    rows = books if "norm" in books.columns else books.withColumn("norm", normalize_title(F.col("title")))
     keys = [c.alias(f"b{k}") for k, c in enumerate(block)]
-    rows = rows.select("id", "norm", "richness", *keys)
+    rows = rows.where("norm <> ''").select("id", "norm", "richness", *keys)
     names = [f"b{k}" for k in range(len(block))]
     paired = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(paired, [rows[n].eqNullSafe(paired[n]) for n in names], "left_semi")
@@ -83,9 +86,16 @@ def author_key() -> Column:
     return F.lower(F.trim(F.coalesce("authors", F.lit(""))))
 
 
+def keyed(books: DataFrame) -> DataFrame:
+    """The narrow relation that the passes work on: ``id, richness, file_hash, isbn, norm, udc_code, authors, year``."""
+    rich = books if "richness" in books.columns else with_richness(books)
+    return rich.select("id", "richness", "file_hash", "isbn", normalize_title(F.col("title")).alias("norm"), "udc_code", author_key().alias("authors"), "year")
+
+
 def by_title(books: DataFrame, **limits: float) -> DataFrame:
-    """Fuzzy titles within a category, the first four letters and the author (blank authors agree)."""
-    return fuzzy_pairs(books, [F.col("udc_code"), F.left(normalize_title(F.col("title")), F.lit(4)), author_key()], True, **limits)
+    """Fuzzy titles within a category, the first four letters and the author (blank categories agree, and blank authors)."""
+    norm = F.col("norm") if "norm" in books.columns else normalize_title(F.col("title"))
+    return fuzzy_pairs(books, [F.coalesce("udc_code", F.lit("")), F.left(norm, F.lit(4)), author_key()], True, **limits)
 
 
 def by_author_year(books: DataFrame, **limits: float) -> DataFrame:
@@ -101,18 +111,23 @@ def without(books: DataFrame, losers: DataFrame) -> DataFrame:
 def resolve(books: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """All four passes: ``id, is_master, master_id, reason``; a row out in one pass is unseen by the later ones.
 
-    ``keep`` (a column id) names rows that stay masters whatever matches them.
+    ``keep`` (a column id) names rows that stay masters whatever matches them. Texts and covers are read once: the
+    passes work on a narrow relation, and each writes its losers, so none repeats the ones before it.
     """
-    rich = with_richness(books)
-    free = rich if keep is None else rich.join(keep.select("id"), "id", "left_anti")
-    losers = exact_losers(free, F.col("file_hash"), "duplicate_by_hash")
-    left = without(free, losers)
-    found = exact_losers(left, isbn_key(F.col("isbn")), "duplicate_by_isbn")
-    losers, left = losers.unionByName(found), without(left, found)
-    for search, reason in ((by_title, "duplicate_by_title"), (by_author_year, "duplicate_by_author_year")):
-        found = search(left).where("not ambiguous").select("id", "master_id", F.lit(reason).alias("reason"))
-        losers, left = losers.unionByName(found), without(left, found)
-    return books.select("id").join(losers, "id", "left").select("id", F.col("reason").isNull().cast("int").alias("is_master"), "master_id", F.coalesce("reason", F.lit("survivor")).alias("reason"))
+    rows = staged(keyed(books), "books-keyed")
+    left, losers = rows if keep is None else rows.join(keep.select("id"), "id", "left_anti"), []
+    passes = (
+        ("duplicate_by_hash", lambda left: exact_losers(left, F.col("file_hash"), "")),
+        ("duplicate_by_isbn", lambda left: exact_losers(left, isbn_key(F.col("isbn")), "")),
+        ("duplicate_by_title", lambda left: by_title(left).where("not ambiguous")),
+        ("duplicate_by_author_year_title", lambda left: by_author_year(left).where("not ambiguous")),
+    )
+    for reason, search in passes:
+        losers.append(staged(search(left).select("id", "master_id", F.lit(reason).alias("reason")), reason))
+        left = without(left, losers[-1])
+    found = reduce(DataFrame.unionByName, losers)
+    out = rows.select("id").join(found, "id", "left")
+    return out.select("id", F.col("reason").isNull().cast("int").alias("is_master"), "master_id", F.coalesce("reason", F.lit("survivor")).alias("reason"))
 
 
 def title_ratio(norm: Column, title: str) -> Column:
@@ -156,43 +171,60 @@ def duplicate_groups(books: DataFrame) -> DataFrame:
     return books.where("file_hash is not null").groupBy("file_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
-def similar_titles(books: DataFrame, jaccard: float = 0.8) -> DataFrame:
-    """Pairs with a common eight-letter beginning of the normalised title and like words (length three or more).
+def title_words() -> Column:
+    return F.array_distinct(F.filter(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3))
+
+
+def shelf_titles(books: DataFrame) -> DataFrame:
+    """``id, norm, words``: normalised titles, of the file's name where there is no title; those without a word go."""
+    name = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("filename"))
+    return books.select("id", normalize_title(name).alias("norm")).withColumn("words", title_words()).where(F.size("words") > 0)
+
+
+def title_candidates(books: DataFrame, jaccard: float = 0.8) -> DataFrame:
+    """``id_a, n_a, norm_a, id_b, n_b, norm_b, jaccard``: titles with a common eight-letter beginning and like words
+    (length three or more), each by its least id and the number of its files.
 
-    Equal titles are one representative each, so a group of copies makes no pairs; membership is by ``norm``.
+    Two sets at a Jaccard similarity s share one of the first (1 - s) n + 1 of the words of either in any one order, so
+    titles meet in those: in the order of the corpus's counts, rarest first, so that no common word is a meeting place.
     """
-    words = F.array_distinct(F.filter(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3))
-    rows = books.withColumn("norm", normalize_title(F.col("title"))).where("norm <> ''").groupBy("norm").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    rows = rows.withColumn("words", words).where(F.size("words") > 0).withColumn("block", F.left("norm", F.lit(8)))
-    a = rows.select("block", F.col("id").alias("id_a"), F.col("words").alias("words_a"))
-    b = rows.select("block", F.col("id").alias("id_b"), F.col("words").alias("words_b"))
+    titles = shelf_titles(books).groupBy("norm").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.count("*").alias("n"))
+    titles = titles.withColumn("block", F.left("norm", F.lit(8)))
+    counts = titles.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
+    each = titles.select("norm", F.explode("words").alias("word")).join(counts, "word")
+    ordered = each.groupBy("norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "word"))), lambda x: x["word"]).alias("ordered"))
+    # one word more than the bound asks for, against rounding
+    few = F.least(F.size("words"), F.floor((1 - jaccard) * F.size("words")).cast("int") + 2)
+    met = titles.join(ordered, "norm").select("*", F.explode(F.slice("ordered", F.lit(1), few)).alias("meet")).drop("ordered")
+    a = met.select("block", "meet", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "norm", "words")])
+    b = met.select("block", "meet", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "norm", "words")])
     share = F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b"))
-    return a.join(b, "block").where("id_a < id_b").withColumn("jaccard", share).where(F.col("jaccard") >= jaccard).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    pairs = a.join(b, ["block", "meet"]).where("id_a < id_b").withColumn("jaccard", share).where(F.col("jaccard") >= jaccard)
+    return pairs.select("id_a", "n_a", "norm_a", "id_b", "n_b", "norm_b", F.round("jaccard", 6).alias("jaccard")).distinct()
 
 
-def title_duplicates(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
-    """``id, master_id, kind``: files of like titles (the file's name if there is none), by the audit's two limits.
+def similar_titles(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
+    """``id_a, n_a, id_b, n_b, jaccard, ratio``: titles that differ, like by words and by the ratio of their letters.
 
-    A file of an equal title points to the least id of that title (kind ``equal``); of titles that differ, the least
-    ids are paired (``similar``). So every pair of the audit follows, but a group of copies makes no pairs.
+    A title is its least id and the number of its files; ``equal_titles`` tells the files, so no group of copies makes
+    pairs and no link is lost.
     """
-    name = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("filename"))
-    words = F.array_distinct(F.filter(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= 3))
-    rows = books.select("id", normalize_title(name).alias("norm")).withColumn("words", words).where(F.size("words") > 0)
-    first = rows.groupBy("norm").agg(F.min("id").alias("master_id"), F.first("words").alias("words"), F.count("*").alias("n"))
-    equal = rows.select("id", "norm").join(first.where("n > 1").select("norm", "master_id"), "norm").where("id <> master_id")
-    block = F.left("norm", F.lit(8)).alias("block")
-    a = first.select(block, F.col("master_id"), F.col("norm").alias("norm_a"), F.col("words").alias("words_a"))
-    b = first.select(block, F.col("master_id").alias("id"), F.col("norm").alias("norm_b"), F.col("words").alias("words_b"))
-    share = F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b"))
-    near = a.join(b, "block").where("master_id < id").where(share >= jaccard)
+    pairs = title_candidates(books, jaccard).withColumn("ratio", title_similarity("norm_a", "norm_b")).where(F.col("ratio") >= threshold)
+    return pairs.select("id_a", "n_a", "id_b", "n_b", "jaccard", F.round("ratio", 6).alias("ratio"))
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, i, j).ratio() for i, j in zip(x, y, strict=True)], dtype="float64")
 
-    near = near.where(ratio("norm_a", "norm_b") >= threshold)
-    return equal.select("id", "master_id", F.lit("equal").alias("kind")).unionByName(near.select("id", "master_id", F.lit("similar").alias("kind")))
+def equal_titles(books: DataFrame) -> DataFrame:
+    """``id, master_id``: files of a title that another file of a lesser id has, and the least of these."""
+    rows = shelf_titles(books)
+    first = rows.groupBy("norm").agg(F.min("id").alias("master_id"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(first, "norm").where("id <> master_id").select("id", "master_id")
+
+
+def title_duplicates(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
+    """``id, master_id, kind``: files of like titles, by the audit's two limits: of an equal title (``equal``), by the
+    least id; of titles that differ, the least ids (``similar``)."""
+    near = similar_titles(books, jaccard, threshold).select(F.col("id_b").alias("id"), F.col("id_a").alias("master_id"), F.lit("similar").alias("kind"))
+    return equal_titles(books).select("id", "master_id", F.lit("equal").alias("kind")).unionByName(near)
 
 
 def first_arrivals(files: DataFrame) -> DataFrame:

@@ -381,19 +381,62 @@ def _(c):
     return au.cover_differences(c.metadata, c.files.select(F.concat(F.lit("/covers/"), F.col("id") + 5, F.lit(".jpg")).alias("path")))
 
 
-SIMILAR = f"""with n as (select {NORM} as norm, min(id) as id from books group by 1),
-w as (select id, left(norm, 8) as block, list_distinct(list_filter(regexp_extract_all(norm, '[a-z0-9]+'), lambda x: length(x) >= 3)) as words from n where norm <> '')
-select a.id as id_a, b.id as id_b, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) as jaccard
-from w a join w b on a.block = b.block and a.id < b.id where len(a.words) > 0 and len(b.words) > 0
-and len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= 0.8"""
+#: The ratio of matching letters of pairs ``@cand`` (id_a, id_b, x, y), as ``@ratio``: of a piece of both texts the
+#: longest common run counts (of equal runs the first), then what stands before it and what stands behind. Where y has
+#: 200 letters, those that it holds more often than a hundredth of them and one begin no run, but may extend one.
+RATIO = """@xs as (select id_a, id_b, unnest(range(1, length(x) + 1)) as i, unnest(string_split(x, '')) as ch from @cand),
+@ys as (select id_a, id_b, unnest(range(1, length(y) + 1)) as j, unnest(string_split(y, '')) as ch, length(y) as ny from @cand),
+@yc as (select *, ny >= 200 and count(*) over (partition by id_a, id_b, ch) > ny // 100 + 1 as popular from @ys),
+@eq as (select id_a, id_b, i, j, not popular as rare from @xs join @yc using (id_a, id_b, ch)),
+@run as (select *, i - row_number() over (partition by id_a, id_b, i - j order by i) as island,
+  case when rare then i - row_number() over (partition by id_a, id_b, i - j, rare order by i) end as rare_island from @eq),
+@len as (select id_a, id_b, i, j, max(i) over (partition by id_a, id_b, i - j, island) - i + 1 as fore, i - min(i) over (partition by id_a, id_b, i - j, island) + 1 as back,
+  case when rare then max(i) over (partition by id_a, id_b, i - j, rare_island) - i + 1 end as own from @run),
+@seg as (select id_a, id_b, 1::bigint as alo, length(x)::bigint + 1 as ahi, 1::bigint as blo, length(y)::bigint + 1 as bhi, 0::bigint as k from @cand
+  union all select id_a, id_b, c.alo, c.ahi, c.blo, c.bhi, c.k from (
+    select id_a, id_b, unnest([{'alo': alo, 'ahi': i0, 'blo': blo, 'bhi': j0, 'k': 0::bigint}, {'alo': i1, 'ahi': ahi, 'blo': j1, 'bhi': bhi, 'k': 0::bigint}, {'alo': 0::bigint, 'ahi': 0::bigint, 'blo': 0::bigint, 'bhi': 0::bigint, 'k': i1 - i0}]) as c
+    from (select b.*, bi - least(coalesce(l.back, 0), bi - alo, bj - blo) as i0, bj - least(coalesce(l.back, 0), bi - alo, bj - blo) as j0,
+        bi + bk + least(coalesce(r.fore, 0), ahi - bi - bk, bhi - bj - bk) as i1, bj + bk + least(coalesce(r.fore, 0), ahi - bi - bk, bhi - bj - bk) as j1
+      from (select id_a, id_b, alo, ahi, blo, bhi, coalesce(m.bi, alo) as bi, coalesce(m.bj, blo) as bj, coalesce(m.bk, 0) as bk from (
+          select s.id_a, s.id_b, alo, ahi, blo, bhi, min({'n': -least(own, ahi - i, bhi - j), 'i': i, 'j': j}) filter (own > 0) as best
+          from @seg s left join @len p on p.id_a = s.id_a and p.id_b = s.id_b and i >= alo and i < ahi and j >= blo and j < bhi
+          where s.k = 0 and ahi > alo and bhi > blo group by all) g, lateral (select best.i as bi, best.j as bj, -best.n as bk) m) b
+      left join @len l on l.id_a = b.id_a and l.id_b = b.id_b and l.i = bi - 1 and l.j = bj - 1
+      left join @len r on r.id_a = b.id_a and r.id_b = b.id_b and r.i = bi + bk and r.j = bj + bk)
+    where i1 > i0) where c.k > 0 or (c.ahi > c.alo and c.bhi > c.blo)),
+@ratio as (select id_a, id_b, 2.0 * coalesce(matched, 0) / (length(x) + length(y)) as ratio from @cand left join (select id_a, id_b, sum(k)::double as matched from @seg group by all) using (id_a, id_b))"""
+
+
+def _ratio(prefix: str) -> str:
+    return RATIO.replace("@", prefix)
+
+
+def _shelf(jaccard: float) -> str:
+    """Titles, their pairs alike by words, and the ratios of these."""
+    return f"""shelf0 as (select id, case when coalesce(title, '') <> '' then title else filename end as title from books),
+shelf1 as (select id, {NORM} as norm from shelf0),
+shelf2 as (select *, list_distinct(list_filter(regexp_extract_all(norm, '[a-z0-9]+'), lambda x: length(x) >= 3)) as words from shelf1),
+shelf3 as (select * from shelf2 where len(words) > 0),
+shelf as (select norm, min(id) as id, count(*) as n, any_value(words) as words from shelf3 group by norm),
+t_cand as (select a.id as id_a, a.n as n_a, b.id as id_b, b.n as n_b, a.norm as x, b.norm as y,
+  round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) as jaccard
+  from shelf a join shelf b on left(a.norm, 8) = left(b.norm, 8) and a.id < b.id
+  where len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) >= {jaccard}),
+""" + _ratio("t_")
+
+
+SIMILAR = _shelf(0.8) + """,
+sim as (select id_a, n_a, id_b, n_b, jaccard, round(ratio, 6) as ratio from t_cand join t_ratio using (id_a, id_b) where ratio >= 0.95),
+eqt as (select id, master_id from shelf3 join (select norm, id as master_id from shelf) using (norm) where id <> master_id)
+"""
 
 
-@query("jn17_similar_titles", SIMILAR)
+@query("jn17_similar_titles", "with " + SIMILAR + "select * from sim")
 def _(c):
     return dd.similar_titles(c.books)
 
 
-@query("jn17_title_duplicates")
+@query("jn17_title_duplicates", "with " + SIMILAR + "select id, master_id, 'equal' as kind from eqt union all select id_b, id_a, 'similar' from sim")
 def _(c):
     return dd.title_duplicates(c.books)
 
@@ -546,6 +589,42 @@ def _(c):
 # --- duplicates -----------------------------------------------------------------------------------
 
 
+def _greedy(prefix: str, rows: str, block: str, gate: str = "true") -> str:
+    """``@found`` (id, master_id, ratio, ambiguous): the greedy pass over the blocks of ``rows``, a row a step. The state
+    of a block is the list of rows that stand; ``hits`` has what a row is like among the earlier ones."""
+    return f"""@t as (select id, rich, norm, {block} as block from {rows} where norm <> ''),
+@cand as (select a.id as id_a, b.id as id_b, a.norm as x, b.norm as y, a.rich as rich_a from @t a join @t b on a.block = b.block and a.id < b.id where {gate}),
+{RATIO},
+@like as (select id_b as id, map(list(id_a), list({{'ratio': ratio, 'rich': rich_a}})) as hits from @ratio join @cand using (id_a, id_b) where ratio >= 0.7 group by id_b),
+@turn as (select block, id, rich, hits, row_number() over (partition by block order by id) as k from @t left join @like using (id)),
+@state as (select distinct block, 0::bigint as k, []::bigint[] as standing, []::struct(id bigint, master_id bigint, ratio double, ambiguous boolean)[] as made from @t
+  union all select block, k, case when hit is null then list_append(standing, id) when rich <= hits[hit].rich then standing else list_append(list_filter(standing, lambda s: s <> hit), id) end,
+    list_concat(made, list_transform(list_filter(case when hit is null then standing else standing[1:list_position(standing, hit) - 1] end, lambda s: hits[s].ratio >= 0.7),
+        lambda s: {{'id': id, 'master_id': s, 'ratio': hits[s].ratio, 'ambiguous': true}}),
+      case when hit is null then [] when rich <= hits[hit].rich then [{{'id': id, 'master_id': hit, 'ratio': hits[hit].ratio, 'ambiguous': false}}]
+        else [{{'id': hit, 'master_id': id, 'ratio': hits[hit].ratio, 'ambiguous': false}}] end)
+  from (select s.block, t.k, standing, made, t.id, t.rich, t.hits, list_filter(standing, lambda x: t.hits[x].ratio >= 0.85)[1] as hit from @state s join @turn t on s.block = t.block and t.k = s.k + 1)),
+@last as (select block, max_by(made, k) as made from @state group by block),
+@found as (select f.id, f.master_id, f.ratio, f.ambiguous from (select unnest(made) as f from @last))""".replace("@", prefix)
+
+
+KEYED = f"keyed as (select id, {RICH} as rich, file_hash, {ISBN} as isbn_key, {NORM} as norm, coalesce(udc_code, '') as udc, lower(trim(coalesce(authors, ''))) as author, coalesce(year, 0) as year from books)"
+BY_TITLE = {"block": "{'a': udc, 'b': left(norm, 4), 'c': author}", "gate": "abs(length(b.norm) - length(a.norm)) <= greatest(length(b.norm) // 3, 10)"}
+
+
+def _resolve(rows: str) -> str:
+    """All passes over ``keyed``: each sees the rows that the ones before left."""
+    first = lambda key, rows: f"(select id, master_id from (select id, first_value(id) over (partition by {key} order by rich desc, id) as master_id from {rows} where {key} is not null) where id <> master_id)"
+    rest = lambda rows, gone: f"(select * from {rows} where id not in (select id from {gone}))"
+    return f"""with {KEYED}, r0 as (select * from keyed where {rows}), l1 as {first("file_hash", "r0")}, r1 as {rest("r0", "l1")}, l2 as {first("isbn_key", "r1")}, r2 as {rest("r1", "l2")},
+{_greedy("f3_", "r2", **BY_TITLE)},
+l3 as (select id, master_id from f3_found where not ambiguous), r3 as (select * from r2 where id not in (select id from l3) and author <> '' and year <> 0),
+{_greedy("f4_", "r3", "{'a': author, 'b': year}")},
+lost as (select *, 'duplicate_by_hash' as reason from l1 union all select *, 'duplicate_by_isbn' from l2 union all select *, 'duplicate_by_title' from l3
+  union all select id, master_id, 'duplicate_by_author_year_title' from f4_found where not ambiguous)
+select k.id, case when reason is null then 1 else 0 end as is_master, master_id, coalesce(reason, 'survivor') as reason from keyed k left join lost on k.id = lost.id"""
+
+
 def _exact(key: str, reason: str, rows: str = "books") -> str:
     return f"""select id, master_id, '{reason}' as reason from (select id, first_value(id) over (partition by {key} order by {RICH} desc, id) as master_id from {rows} where {key} is not null) where id <> master_id"""
 
@@ -562,17 +641,20 @@ def _(c):
     return dd.exact_losers(left, tx.isbn_key(F.col("isbn")), "duplicate_by_isbn")
 
 
-@query("ddp3_fuzzy_title")
+@query("ddp3_fuzzy_title", f"with {KEYED}, {_greedy('f_', 'keyed', **BY_TITLE)} select * from f_found")
 def _(c):
     return dd.by_title(dd.with_richness(c.books))
 
 
-@query("ddp4_author_year_title")
+AUTHOR_YEAR = "{'a': author, 'b': year}"
+
+
+@query("ddp4_author_year_title", f"with {KEYED}, given as (select * from keyed where author <> '' and year <> 0), {_greedy('f_', 'given', AUTHOR_YEAR)} select * from f_found")
 def _(c):
     return dd.by_author_year(dd.with_richness(c.books))
 
 
-@query("ddp5_survivors")
+@query("ddp5_survivors", _resolve("true"))
 def _(c):
     return dd.resolve(c.books)
 
@@ -601,7 +683,7 @@ def _(c):
     return ag.groups_of_two(c.quarantined.where("error_code = 'DEDUP_AMBIGUOUS'"), "detail", "file_id")
 
 
-@query("ddp10_force_keep")
+@query("ddp10_force_keep", _resolve("id % 5 <> 0"))
 def _(c):
     return dd.resolve(c.books, keep=c.files.where("id % 5 = 0").select("id"))
 
@@ -685,11 +767,9 @@ def _(c):
     return _names(c).select("p_partkey", "name", tx.clean_filename(F.col("name")).alias("clean"))
 
 
-@query("iex4_title_similarity")
+@query("iex4_title_similarity", "with " + _shelf(0.5) + "select id_a, id_b, round(ratio, 9) as ratio from t_ratio")
 def _(c):
-    rows = dd.similar_titles(c.books, 0.5)
-    a, b = c.books.select(F.col("id").alias("id_a"), tx.normalize_title(F.col("title")).alias("ta")), c.books.select(F.col("id").alias("id_b"), tx.normalize_title(F.col("title")).alias("tb"))
-    return rows.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", tx.title_similarity("ta", "tb").alias("ratio"))
+    return dd.title_candidates(c.books, 0.5).select("id_a", "id_b", F.round(tx.title_similarity("norm_a", "norm_b"), 9).alias("ratio"))
 
 
 @query("iex5_author_title")
@@ -793,19 +873,24 @@ def _(c):
 # --- audits, plans, lookups -----------------------------------------------------------------------
 
 
-@query("aud1_audit_counts", f"with {DISK}, sim as ({SIMILAR.replace('with n as', 'with nn as').replace('from n where', 'from nn where')})" + """
-select finding, count(*) as n from (
-select 'missing' as finding from books where source_path not in (select path from disk)
-union all select 'size_mismatch' from books join disk on path = source_path where length <> file_size
-union all select 'metadata_issues' from books join disk on path = source_path where coalesce(pages, 0) = 0 or trim(coalesce(cover_path, '')) = ''
-union all select 'orphan' from disk where path not in (select source_path from files)
-union all select 'duplicate' from (select 1 from files group by file_hash having count(*) > 1)
-union all select 'similar' from sim) group by 1""")
+AUDIT = f"with {DISK}, {SIMILAR}" + """, found as (
+select 'missing' as finding, id, source_path as path, '' as detail from books where source_path not in (select path from disk)
+union all select 'size_mismatch', id, source_path, file_size || ' ' || length from books join disk on path = source_path where length <> file_size
+union all select 'metadata_issues', id, source_path, concat_ws(',', case when coalesce(pages, 0) = 0 then 'pages' end, case when trim(coalesce(cover_path, '')) = '' then 'cover' end)
+  from books join disk on path = source_path where coalesce(pages, 0) = 0 or trim(coalesce(cover_path, '')) = ''
+union all select 'orphan', null, path, length::varchar from disk where path not in (select source_path from files)
+union all select 'duplicate', min(id), '', count(*)::varchar from files group by file_hash having count(*) > 1
+union all select 'equal_title', id, '', master_id::varchar from eqt
+union all select 'similar', id_a, '', id_b::varchar from sim)
+"""
+
+
+@query("aud1_audit_counts", AUDIT + "select finding, count(*) as n from found group by 1")
 def _(c):
     return au.audit_counts(au.audit(c.books, _disk(c)))
 
 
-@query("aud1_audit_preview")
+@query("aud1_audit_preview", AUDIT + "select * from found qualify row_number() over (partition by finding order by id nulls last, path, detail) <= 20")
 def _(c):
     return au.preview(au.audit(c.books, _disk(c)))
 

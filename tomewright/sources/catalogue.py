@@ -108,4 +108,4 @@ def duck_views() -> str:
     out.append("tags as (select * from custom_tags union all select * from udc_tags)")
     out.append("books as (select files.*, metadata.* exclude (file_id) from files left join metadata on files.id = metadata.file_id)")
     out.append("reader_state as (select book_id, least(arg_max(progress_pct, (updated_at, event_id)), 100.0) as progress_pct, max(updated_at) as updated_at from reader_events group by book_id)")
-    return "with " + ",\n".join(out) + "\n"
+    return "with recursive " + ",\n".join(out) + "\n"
