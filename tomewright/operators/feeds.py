@@ -47,32 +47,87 @@ def cover_type(path: Column) -> Column:
     return _lookup(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([^./]*)$", 1), IMAGE_TYPES, "image/jpeg")
 
 
-def feed_entries(books: DataFrame, base: str = "/opds") -> DataFrame:
-    """``id, title, entry``: an Atom acquisition entry for each book."""
-    authors = F.filter(F.split(F.coalesce("authors", F.lit("")), r"[;&]"), lambda a: F.trim(a) != "")
-    author = F.array_join(F.transform(authors, lambda a: F.concat(F.lit("<author><name>"), xml_escape(F.trim(a)), F.lit("</name></author>"))), "")
-    link = lambda rel, kind, href: F.concat(F.lit(f'<link rel="{rel}" type="'), kind, F.lit('" href="'), href, F.lit('"/>'))
-    name = F.col("id").cast("string")
-    cover = F.when(F.coalesce("cover_path", F.lit("")) != "", link("http://opds-spec.org/image", cover_type(F.col("cover_path")), F.concat(F.lit(f"{base}/cover/"), name))).otherwise("")
-    entry = F.concat(
-        F.lit("<entry><id>urn:book:"), name, F.lit("</id><title>"), xml_escape(F.coalesce("title", "filename")), F.lit("</title>"), author,
-        F.lit("<summary>"), xml_escape(F.left(F.coalesce("description", F.lit("")), F.lit(400))), F.lit("</summary>"), cover,
-        link("http://opds-spec.org/acquisition", book_type(F.col("format")), F.concat(F.lit(f"{base}/download/"), name)), F.lit("</entry>"),
-    )
-    return books.select("id", "title", entry.alias("entry"))
+# Media types and relations of catalogue feeds.
+NAVIGATION = "application/atom+xml;profile=opds-catalog;kind=navigation"
+ACQUISITION = "application/atom+xml;profile=opds-catalog;kind=acquisition"
+SEARCH_TYPE = "application/opensearchdescription+xml"
+ATOM, OPDS, OPENSEARCH = "http://www.w3.org/2005/Atom", "http://opds-spec.org/2010/catalog", "http://a9.com/-/spec/opensearch/1.1/"
+IMAGE, ACQUIRE = "http://opds-spec.org/image", "http://opds-spec.org/acquisition"
+#: Letters of a description that an entry shows.
+SUMMARY = 400
+
 
+def _link(rel: str, kind: Column | str, *href: Column | str) -> Column:
+    """A link whose address is its parts, escaped and put together."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    address = [xml_escape(F.lit(h) if isinstance(h, str) else h) for h in href]
+    return F.concat(F.lit(f'<link rel="{rel}" type="'), kind, F.lit('" href="'), *address, F.lit('"/>'))
 
-def navigation_entries(facets: DataFrame, key: str, label: str, base: str = "/opds") -> DataFrame:
-    """An Atom navigation entry for each facet value."""
-    entry = F.concat(F.lit("<entry><title>"), xml_escape(F.col(label)), F.lit("</title><content>"), F.col("n").cast("string"), F.lit(f'</content><link href="{base}/'), xml_escape(F.col(key)), F.lit('"/></entry>'))
-    return facets.select(key, entry.alias("entry"))
 
+def _element(name: str, text: Column | str, kind: str = "") -> Column:
+    text = F.lit(text) if isinstance(text, str) else text
+    return F.concat(F.lit(f"<{name}{kind}>"), text, F.lit(f"</{name}>"))
 
-def feed(entries: DataFrame, title: str, updated: str, order: str = "id") -> DataFrame:
+
+def feed_entries(books: DataFrame, updated: Column | str, base: str = "/opds") -> DataFrame:
+    """``id, title, entry``: an Atom acquisition entry for each book; only here a description is cut."""
+    name = F.col("id").cast("string")
+    names = F.filter(F.transform(F.split(F.coalesce("authors", F.lit("")), r"[;&]"), lambda a: F.trim(a)), lambda a: a != "")
+    authors = F.array_join(F.transform(names, lambda a: _element("author", _element("name", xml_escape(a)))), "")
+    about = F.left(F.trim(F.coalesce("description", F.lit(""))), F.lit(SUMMARY))
+    subject = F.col("udc_label") if "udc_label" in books.columns else F.col("udc_code")
+    category = F.concat(F.lit('<category term="'), xml_escape(F.col("udc_code")), F.lit('" label="'), xml_escape(subject), F.lit('"/>'))
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), "filename")
+    parts = (
+        _element("id", F.concat(F.lit("urn:book:"), name)),
+        _element("title", xml_escape(title)),
+        _element("updated", updated),
+        authors,
+        F.when(about != "", _element("content", xml_escape(about), ' type="text"')),
+        F.when(F.coalesce("udc_code", F.lit("")) != "", category),
+        F.when(F.coalesce("cover_path", F.lit("")) != "", _link(IMAGE, cover_type(F.col("cover_path")), f"{base}/cover/", name)),
+        _link(ACQUIRE, book_type(F.col("format")), f"{base}/download/", name),
+    )
+    return books.select("id", "title", _element("entry", F.concat(*[F.coalesce(p, F.lit("")) for p in parts])).alias("entry"))
+
+
+def navigation_entries(facets: DataFrame, key: str, label: str, updated: str, base: str = "/opds") -> DataFrame:
+    """An Atom navigation entry for each facet value, with the number of its books."""
+    path = F.concat(F.lit(f"{base}/"), F.url_encode(F.col(key).cast("string")))
+    count = F.concat(F.col("n").cast("string"), F.lit(" books"))
+    parts = (
+        _element("id", F.concat(F.lit("urn:shelf:"), xml_escape(F.col(key)))),
+        _element("title", xml_escape(F.col(label))),
+        _element("updated", updated),
+        _element("content", count, ' type="text"'),
+        _link("subsection", ACQUISITION, path),
+    )
+    return facets.select(key, _element("entry", F.concat(*parts)).alias("entry"))
+
+
+def feed(entries: DataFrame, title: str, updated: str, path: str = "/opds", next_path: str | None = None, order: str = "id", kind: str = ACQUISITION, author: str = "Library", base: str = "/opds") -> DataFrame:
     """One row ``xml``: the document of one page of entries (a page is short; it was cut before)."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "entry"))), lambda e: e.entry), "")
-    head = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>'), xml_escape(F.lit(title)), F.lit(f"</title><updated>{updated}</updated>"))
-    return entries.agg(F.concat(head, body, F.lit("</feed>")).alias("xml"))
+    head = [
+        _element("id", F.concat(F.lit("urn:feed:"), xml_escape(F.lit(path)))),
+        _element("title", xml_escape(F.lit(title))),
+        _element("updated", updated),
+        _element("author", _element("name", xml_escape(F.lit(author)))),
+        _link("self", kind, path),
+        _link("start", NAVIGATION, base),
+        _link("search", SEARCH_TYPE, f"{base}/opensearch.xml"),
+        *([_link("next", kind, next_path)] if next_path else []),
+    ]
+    begin = F.lit(f'<?xml version="1.0" encoding="utf-8"?><feed xmlns="{ATOM}" xmlns:opds="{OPDS}">')
+    return entries.agg(F.concat(begin, *head, body, F.lit("</feed>")).alias("xml"))
+
+
+def search_description(spark: SparkSession, name: str = "Library", base: str = "/opds") -> DataFrame:
+    """One row ``xml``: where and how clients search the catalogue."""
+    address = F.concat(F.lit(f'<Url type="{ACQUISITION}" template="'), xml_escape(F.lit(f"{base}/search?q={{searchTerms}}&start={{startIndex?}}")), F.lit('"/>'))
+    inner = F.concat(_element("ShortName", xml_escape(F.lit(name))), _element("Description", xml_escape(F.lit(f"Search of {name}"))), address)
+    begin, end = F.lit(f'<?xml version="1.0" encoding="utf-8"?><OpenSearchDescription xmlns="{OPENSEARCH}">'), F.lit("</OpenSearchDescription>")
+    return spark.range(1).select(F.concat(begin, inner, end).alias("xml"))
 
 
 def export_rows(books: DataFrame) -> DataFrame:

@@ -115,11 +115,6 @@ def _(c):
     return ag.folder_counts(c.files, "/lib")
 
 
-@query("agg12_index_health", "select count(*) filter (coalesce(title, '') <> '') as titled, count(*) as indexed, count(*) < 0.9 * count(*) filter (coalesce(title, '') <> '') as warn from books")
-def _(c):
-    return ag.index_health(c.books, c.books)
-
-
 @query("agg13_folder_sizes", "select regexp_extract(source_path, '^(.*)/[^/]*$', 1) as folder, sum(file_size)::bigint as bytes, count(*) as files from files group by 1")
 def _(c):
     return ag.folder_sizes(c.files.select(F.col("source_path").alias("path"), F.col("file_size").alias("length")))
@@ -153,9 +148,9 @@ def _(c):
     return se.search(c.books, c.tags, r).select("id", "stage", "format", "year", "file_size")
 
 
-@query("flt1_masters_tag", "select id from books where is_master = 1 and source_group = 'src1' and id in (select file_id from custom_tags where tag = 'good')")
+@query("flt1_masters_tag", "select id from books where is_master = 1 and source_group = 'src0' and id in (select file_id from custom_tags where tag = 'good')")
 def _(c):
-    return se.search(c.books, c.tags, se.SearchRequest(masters=True, source_group="src1", tag="good")).select("id")
+    return se.search(c.books, c.tags, se.SearchRequest(masters=True, source_group="src0", tag="good")).select("id")
 
 
 @query("flt1_untagged_duplicates", "select id from books where is_master = 0 and source_path like '/lib/src2/%' and id not in (select file_id from custom_tags)")
@@ -456,19 +451,17 @@ def _(c):
     return au.backlinks(c.table("conversations").select(F.col("conv_id").alias("book_id"), number.alias("id"), zid(number).alias("zid"), F.concat("text", F.lit(" see "), zid(number - 1)).alias("note")))
 
 
-@query("jn22_cache_lookup", "select id, md5('v2|' || coalesce(isbn, '') || '|' || coalesce(title, '') || '|' || coalesce(authors, '')) as key, case when id % 5 = 0 then 'A' else 'B' end as publisher from books where id % 2 = 0")
+@query("jn22_cache_lookup", """with k as (select id, md5('v2|' || coalesce(isbn, '') || '|' || coalesce(title, '') || '|' || coalesce(authors, '')) as key from books)
+select id, key, case when bool_or(id % 5 = 0) over (partition by key) then 'A' else 'B' end as publisher from k""")
 def _(c):
     from tomewright.sources.files import lookup
 
-    keyed = c.books.where("id % 2 = 0").select("id", tx.cache_key(F.col("isbn"), F.col("title"), F.col("authors")).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("m"), F.max(F.expr("id % 5 = 0")).alias("five"))
+    keyed = c.books.select("id", tx.cache_key(F.col("isbn"), F.col("title"), F.col("authors")).alias("key"))
+    first = keyed.groupBy("key").agg(F.max(F.expr("id % 5 = 0")).alias("five"))
     answers = first.select("key", F.when(F.col("five"), F.lit("A")).otherwise(F.lit(" ")).alias("publisher"))
-    one = c.books.join(keyed.groupBy("key").agg(F.count("*").alias("k")).where("k = 1"), tx.cache_key(F.col("isbn"), F.col("title"), F.col("authors")) == F.col("key"), "left_semi")
-    return lookup(one, answers, first.select("key", F.lit("B").alias("publisher")), ["publisher"])
+    return lookup(c.books, answers, first.select("key", F.lit("B").alias("publisher")), ["publisher"])
 
 
-ORACLE_SQL["jn22_cache_lookup"] += " qualify count(*) over (partition by key) = 1"
-
 # --- merges ---------------------------------------------------------------------------------------
 
 
@@ -497,9 +490,9 @@ def _(c):
     return mg.upsert_metadata(c.metadata, _new_metadata(c)).select("file_id", "title", "authors", "publisher", F.coalesce("year", F.lit(0)).alias("year"))
 
 
-@query("mrg3_fill_empty", "select file_id, case when trim(coalesce(publisher, '')) <> '' then publisher when file_id % 4 = 0 then 'P' end as publisher, case when trim(coalesce(title, '')) <> '' then title when file_id % 4 = 1 then 'New' end as title from metadata where file_id % 4 < 3")
+@query("mrg3_fill_empty", "select file_id, case when trim(coalesce(publisher, '')) <> '' then publisher when file_id % 4 = 0 then 'P' end as publisher, case when trim(coalesce(title, '')) <> '' then title when file_id % 4 = 1 then 'New' end as title from metadata")
 def _(c):
-    return mg.fill_empty(c.metadata.where("file_id % 4 < 3"), _new_metadata(c), ["publisher", "title"]).select("file_id", "publisher", "title")
+    return mg.fill_empty(c.metadata, _new_metadata(c), ["publisher", "title"]).select("file_id", "publisher", "title")
 
 
 @query("mrg4_manual_rows_stay", f"select file_id, {NEW} from metadata where enrich_source is null union all select file_id, title, authors, publisher, coalesce(year, 0) from metadata where enrich_source = 'manual'")
@@ -732,9 +725,9 @@ def _(c):
     return cl.reclassify_stats(cl.reclassify(c.books))
 
 
-@query("cls8_categories", CLASSIFY + "select id, udc_code, weight, rank from every where id % 2 = 0 union all select id, udc_code, 100, 1 from books where id % 2 = 1 and coalesce(udc_code, '000') not in ('', '000')")
+@query("cls8_categories", CLASSIFY + "select id, udc_code, weight, rank from every where id in (select id from books where is_master = 1) union all select id, udc_code, 100, 1 from books where is_master is distinct from 1 and coalesce(udc_code, '000') not in ('', '000')")
 def _(c):
-    return cl.categories_of(c.books, cl.classify(c.books.where("id % 2 = 0")))
+    return cl.categories_of(c.books, cl.classify(c.books.where("is_master = 1")))  # masters are classified, the others keep what they have
 
 
 @query("cls9_set_class", "select file_id, tag, tag_type from tags where not (file_id in (2, 4, 7) and tag_type = 'udc') union all select file_id, '510', 'udc' from metadata where file_id in (2, 4, 7)")
@@ -762,7 +755,20 @@ def _names(c: Catalogue) -> DataFrame:
     return p.select("p_partkey", F.concat(name, F.lit(".pdf")).alias("name"))
 
 
-@query("iex1_clean_filename")
+def _cleaned(name: str) -> str:
+    base = f"regexp_replace({name}, '[.][^.]*$', '')"
+    for pattern in tx.NAME_DELETIONS:
+        base = f"regexp_replace({base}, '{pattern}', '', 'gi')"
+    base = f"regexp_replace(regexp_replace({base}, '\\s+', ' ', 'g'), '^[ ._-]+|[ ._-]+$', '', 'g')"
+    return f"coalesce(nullif({base}, ''), 'untitled') || regexp_extract({name}, '[.][^.]*$')"
+
+
+NAMES = """with nm as (select p_partkey, case p_partkey % 6 when 0 then p_brand || ' Vol. ' || p_size when 1 then p_type || ' #' || p_size when 2 then 'Jane Smith - ' || p_name
+  when 3 then p_name || ' (2016) [scan] 720p' when 4 then '1999 - ' || p_name || ' v1.2 ebook' else p_name || ' - ' || p_size || ' - part two' end || '.pdf' as name from part)
+"""
+
+
+@query("iex1_clean_filename", NAMES + f"select p_partkey, name, {_cleaned('name')} as clean from nm")
 def _(c):
     return _names(c).select("p_partkey", "name", tx.clean_filename(F.col("name")).alias("clean"))
 
@@ -823,6 +829,12 @@ def _(c):
     return _postings(c, True).groupBy("token").agg(F.count_distinct("doc_id").alias("df"))
 
 
+@query("agg12_index_health", _TOKENS + """select titled, indexed, indexed < 0.9 * titled as warn
+from (select count(*) filter (coalesce(title, '') <> '') as titled from books), (select count(distinct doc_id) as indexed from tok)""")
+def _(c):
+    return ag.index_health(c.books, _postings(c).select("doc_id").distinct())
+
+
 def _has(token: str) -> str:
     return f"doc_id in (select doc_id from tok where token {token})"
 
@@ -842,7 +854,8 @@ def _(c):
     return se.match(se.build_index(c.books, ("description",), False), '"of the"', stem=False)
 
 
-@query("fts4_hybrid")
+@query("fts4_hybrid", _TOKENS.replace("'description', unnest(regexp_extract_all(lower(strip_accents(coalesce(description, '')))", "'rest', unnest(regexp_extract_all(lower(strip_accents(concat_ws(' ', description, authors, publisher, isbn)))")
+  + f"select id from books where id in (select doc_id from tok where regexp_matches(token, '^heat(s|e|es|ed|ing|ings)?$')) or ({_like_sql('heated')})")
 def _(c):
     return se.search(c.books, c.tags, se.SearchRequest(text="heated"), se.build_index(c.books)).select("id")
 
@@ -922,7 +935,10 @@ def _(c):
     return au.layout_plan(c.files, _disk(c))
 
 
-@query("aud6_backfill_series")
+@query("aud6_backfill_series", """with n as (select *, 'Saga ' || language || ' Vol. ' || (id % 9) as stem from books where stage in ('cataloged', 'survivor', 'copied')
+  and (coalesce(series, '') = '' or coalesce(series_num, '') = '' or coalesce(volume, '') = '' or coalesce(issue, '') = '') and language is not null),
+p as (select id, series, series_num, volume, issue, 'Saga ' || language as s, (id % 9)::varchar as k from n)
+select id, s as series, k as series_num, k as volume, issue from p where (s, k, k) is distinct from (series, series_num, volume)""")
 def _(c):
     return au.backfill_series(c.books.withColumn("filename", F.concat(F.lit("Saga "), F.col("language"), F.lit(" Vol. "), F.col("id") % 9, F.lit(".pdf"))))
 
@@ -932,9 +948,9 @@ def _(c):
     return au.folder_tags(c.files, c.tags, "/lib")
 
 
-@query("lkp1_tags_of", "select file_id, tag, tag_type from tags where file_id = 2 order by tag_type, score desc, tag")
+@query("lkp1_tags_of", "select file_id, tag, tag_type from tags where file_id = 4 order by tag_type, score desc, tag")
 def _(c):
-    return au.tags_of(c.tags, 2).select("file_id", "tag", "tag_type")
+    return au.tags_of(c.tags, 4).select("file_id", "tag", "tag_type")
 
 
 @query("lkp2_scores_of", CLASSIFY + "select * from every where id = 5 order by rank")
@@ -973,7 +989,8 @@ def _(c):
     return plan.select("id", "src", F.element_at(F.split("src", "/"), -1).alias("dest"))
 
 
-@query("lkp9_status")
+@query("lkp9_status", f"""with k as (select s.stage, count(f.id) as n from {STAGE_LIST} s left join files f using (stage) group by 1)
+select '{{' || string_agg('"' || stage || '":' || n, ',' order by stage) || '}}' as stages, (select count(*) from files) as files, (select max(id) from pipeline_log) as last_event from k""")
 def _(c):
     return au.status(c.files, c.pipeline_log)
 
@@ -981,7 +998,8 @@ def _(c):
 # --- sinks ----------------------------------------------------------------------------------------
 
 
-@query("snk1_copy_plan")
+@query("snk1_copy_plan", """with s as (select id, source_path as src, 'Title ' || (id % 20) || '.pdf' as name from files where stage = 'survivor')
+select id, src, case when id = min(id) over (partition by lower(name)) then name else regexp_replace(name, '[.]pdf$', '') || '_' || id || '.pdf' end as dest from s""")
 def _(c):
     return au.copy_plan(c.files.where("stage = 'survivor'").withColumn("filename", F.concat(F.lit("Title "), F.col("id") % 20, F.lit(" [x].pdf"))))
 
@@ -999,22 +1017,65 @@ def _(c):
     return fd.export_rows(c.books)
 
 
-@query("snk4_feed_entries")
+def _xml(text: str) -> str:
+    out = rf"regexp_replace(coalesce({text}::varchar, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')"
+    for a, b in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ('"', "&quot;"), ("''", "&apos;")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+UPDATED = "2025-01-01T00:00:00Z"
+ENTRY = f"""'<entry><id>urn:book:' || id || '</id><title>' || {_xml("coalesce(nullif(trim(title), ''), filename)")} || '</title><updated>{UPDATED}</updated>'
+  || array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(coalesce(authors, ''), '[;&]'), lambda a: trim(a)), lambda a: a <> ''), lambda a: '<author><name>' || {_xml("a")} || '</name></author>'), '')
+  || case when trim(coalesce(description, '')) <> '' then '<content type="text">' || {_xml("left(trim(description, ' '), 400)")} || '</content>' else '' end
+  || case when coalesce(udc_code, '') <> '' then '<category term="' || {_xml("udc_code")} || '" label="' || {_xml("udc_code")} || '"/>' else '' end
+  || case when coalesce(cover_path, '') <> '' then '<link rel="{fd.IMAGE}" type="image/jpeg" href="/opds/cover/' || id || '"/>' else '' end
+  || '<link rel="{fd.ACQUIRE}" type="' || case format when 'epub' then 'application/epub+zip' when 'pdf' then 'application/pdf' when 'mobi' then 'application/x-mobipocket-ebook' else 'application/vnd.comicbook+zip' end
+  || '" href="/opds/download/' || id || '"/></entry>'"""
+
+
+@query("snk4_feed_entries", f"select id, title, {ENTRY} as entry from books where stage in ('cataloged', 'copied', 'survivor')")
 def _(c):
-    return fd.feed_entries(c.books.where(F.col("stage").isin(*se.VISIBLE)))
+    return fd.feed_entries(c.books.where(F.col("stage").isin(*se.VISIBLE)), UPDATED)
 
 
-@query("snk4_navigation", "select udc_code, '<entry><title>' || udc_code || '</title><content>' || count(*) || '</content><link href=\"/opds/' || udc_code || '\"/></entry>' as entry from books where udc_code is not null group by 1")
+@query("snk4_navigation", f"""select udc_code, '<entry><id>urn:shelf:' || udc_code || '</id><title>' || udc_code || '</title><updated>{UPDATED}</updated><content type="text">' || count(*) || ' books</content>'
+|| '<link rel="subsection" type="{fd.ACQUISITION}" href="/opds/' || udc_code || '"/></entry>' as entry from books where udc_code is not null group by 1""")
 def _(c):
-    return fd.navigation_entries(ag.category_facets(c.books, None), "udc_code", "udc_code")
+    return fd.navigation_entries(ag.category_facets(c.books, None), "udc_code", "udc_code", UPDATED)
 
 
-@query("snk4_feed")
+@query("snk4_feed", f"""select '<?xml version="1.0" encoding="utf-8"?><feed xmlns="{fd.ATOM}" xmlns:opds="{fd.OPDS}"><id>urn:feed:/opds/all</id><title>Books</title><updated>{UPDATED}</updated>'
+|| '<author><name>Library</name></author><link rel="self" type="{fd.ACQUISITION}" href="/opds/all"/><link rel="start" type="{fd.NAVIGATION}" href="/opds"/>'
+|| '<link rel="search" type="{fd.SEARCH_TYPE}" href="/opds/opensearch.xml"/><link rel="next" type="{fd.ACQUISITION}" href="/opds/all?page=2"/>'
+|| string_agg({ENTRY}, '' order by id) || '</feed>' as xml from (select * from books order by id limit 20)""")
 def _(c):
-    return fd.feed(fd.feed_entries(c.books.orderBy("id").limit(20)), "Books", "2025-01-01T00:00:00Z")
+    return fd.feed(fd.feed_entries(c.books.orderBy("id").limit(20), UPDATED), "Books", UPDATED, "/opds/all", "/opds/all?page=2")
+
+
+@query("snk4_search_description", f"""select '<?xml version="1.0" encoding="utf-8"?><OpenSearchDescription xmlns="{fd.OPENSEARCH}"><ShortName>Library</ShortName><Description>Search of Library</Description>'
+|| '<Url type="{fd.ACQUISITION}" template="/opds/search?q={{searchTerms}}&amp;start={{startIndex?}}"/></OpenSearchDescription>' as xml""")
+def _(c):
+    return fd.search_description(c.spark)
+
+
+@query("snk9_settings", "select 'overrides' as part, 2 as n, '50' as page_size union all select 'settings', 15, '50' union all select 'imported', 3, '99'")
+def _(c):
+    from tomewright.sources.config import exported, imported, resolved
+
+    overrides = c.spark.createDataFrame([("log_days", "30"), ("page_size", "50")], "name string, value string")
+    out = exported(resolved(c.spark, overrides, {}), overrides)
+    parts = out.select(F.from_json("json", "overrides map<string, string>, settings map<string, string>").alias("j")).select("j.*")
+    sizes = parts.select(F.explode(F.map_from_arrays(F.array(F.lit("overrides"), F.lit("settings")), F.array("overrides", "settings"))).alias("part", "m"))
+    other = c.spark.createDataFrame([("page_size", "99"), ("enrich", "yes")], "name string, value string")
+    back = imported(overrides, exported(resolved(c.spark, other, {}), other)).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    every = sizes.unionByName(back.select(F.lit("imported").alias("part"), "m"))
+    return every.select("part", F.size("m").alias("n"), F.col("m")["page_size"].alias("page_size"))
 
 
-@query("snk5_notes_markdown")
+@query("snk5_notes_markdown", """select conv_id as book_id, turn as created_at, case when turn % 3 = 0 then '> ' || text || chr(10) || '  Location: Page ' || (turn + 1)
+when turn % 3 = 1 then '**Note:** ' || text || chr(10) || '  Tags: #' || role
+else '**Bookmark:** ' || left(text, 20) || ' (12%)' || chr(10) || '  Location: Page 5' end as line from conversations""")
 def _(c):
     t = c.table("conversations")
     none = F.lit(None).cast("string")

@@ -37,19 +37,40 @@ def parse(kind: str, text: str) -> object:
     return {"int": int, "float": float, "str": str}[kind](text)
 
 
-def load(overrides: dict[str, str] | None = None, env: dict[str, str] | None = None) -> Settings:
-    """Settings from defaults, ``TOMEWRIGHT_<NAME>`` variables and overrides, the last the strongest."""
+PREFIX = "TOMEWRIGHT_"
+
+
+def load(overrides: dict[str, str] | None = None, env: dict[str, str] | None = None, machine: dict[str, str] | None = None) -> Settings:
+    """Settings from defaults, a file of the machine, ``TOMEWRIGHT_<NAME>`` variables and overrides, the last the strongest."""
     env = os.environ if env is None else env
     chosen = {}
     for f in fields(Settings):
-        for text in (env.get(f"TOMEWRIGHT_{f.name.upper()}"), (overrides or {}).get(f.name)):
+        for text in ((machine or {}).get(f.name), env.get(PREFIX + f.name.upper()), (overrides or {}).get(f.name)):
             if text is not None:
-                chosen[f.name] = parse(f.type, text)
+                chosen[f.name] = parse(f.type, str(text))
     return Settings(**chosen)
 
 
-def resolved(spark: SparkSession, overrides: DataFrame) -> DataFrame:
-    """``name, value, origin`` of every setting, from a table ``name, value`` of overrides."""
-    known = spark.createDataFrame([(f.name, str(f.default)) for f in fields(Settings)], "name string, preset string")
-    given = overrides.select("name", F.col("value").alias("given"))
-    return known.join(given, "name", "left").select("name", F.coalesce("given", "preset").alias("value"), F.when(F.col("given").isNotNull(), "override").otherwise("default").alias("origin"))
+def resolved(spark: SparkSession, overrides: DataFrame, env: dict[str, str] | None = None, machine: dict[str, str] | None = None) -> DataFrame:
+    """``name, value, origin`` of every setting; origins are override, environment, machine and default."""
+    env = os.environ if env is None else env
+    rows = [(f.name, str(f.default), (machine or {}).get(f.name), env.get(PREFIX + f.name.upper())) for f in fields(Settings)]
+    known = spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], "name string, preset string, machine string, environment string")
+    met = known.join(overrides.select("name", F.col("value").alias("override")), "name", "left")
+    origin = F.when(F.col("override").isNotNull(), "override").when(F.col("environment").isNotNull(), "environment").when(F.col("machine").isNotNull(), "machine").otherwise("default")
+    return met.select("name", F.coalesce("override", "environment", "machine", "preset").alias("value"), origin.alias("origin"))
+
+
+def exported(settings: DataFrame, overrides: DataFrame) -> DataFrame:
+    """One row ``json``: the overrides and the resolved settings, each by name."""
+    entries = lambda df, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(name))
+    both = entries(overrides, "overrides").crossJoin(entries(settings, "settings"))  # a row each
+    return both.select(F.to_json(F.struct("overrides", "settings")).alias("json"))
+
+
+def imported(overrides: DataFrame, documents: DataFrame) -> DataFrame:
+    """Overrides after those of an export (a column ``json``) are put in; names that are no setting are left out."""
+    given = F.from_json("json", "overrides map<string, string>")["overrides"]
+    new = documents.select(F.explode(given).alias("name", "value")).where(F.col("name").isin([f.name for f in fields(Settings)]))
+    kept = overrides.select("name", "value").join(new, "name", "left_anti")
+    return kept.unionByName(new)
