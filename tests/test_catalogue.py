@@ -313,3 +313,33 @@ def test_resolution_with_a_block_of_half_of_all_rows(spark):
         lost |= {a: (b, "duplicate_by_author_year_title") for a, b in sequential([(i, norm[i], rich[i]) for i in group], False)}
     assert got == {i: (0, *lost[i]) if i in lost else (1, None, "survivor") for i in norm}
     assert {r for _, r in lost.values()} == {"duplicate_by_hash", "duplicate_by_title", "duplicate_by_author_year_title"}
+
+
+def test_unique_names_pass_over_taken_numbers(spark):
+    arrivals = spark.createDataFrame([(1, "f.pdf"), (2, "f.pdf"), (3, "f.pdf"), (4, "f_2.pdf"), (5, "g"), (6, "g"), (7, "new.txt")], "id bigint, filename string")
+    taken = spark.createDataFrame([("f.pdf",), ("f.pdf",), ("f_1.pdf",), ("g_1",)], "filename string")
+    got = {r.id: r.filename for r in files.unique_names(arrivals, taken).collect()}
+    assert got == {1: "f_3.pdf", 2: "f_4.pdf", 3: "f_5.pdf", 4: "f_2.pdf", 5: "g", 6: "g_2", 7: "new.txt"}
+
+
+def test_settings_by_origin(spark):
+    overrides = spark.createDataFrame([("log_days", "30")], "name string, value string")
+    env, machine = {"TOMEWRIGHT_LOG_DAYS": "5", "TOMEWRIGHT_PAGE_SIZE": "9"}, {"page_size": "8", "enrich": "yes"}
+    got = {r.name: (r.value, r.origin) for r in config.resolved(spark, overrides, env, machine).collect()}
+    assert len(got) == 15 and (got["log_days"], got["page_size"], got["enrich"]) == (("30", "override"), ("9", "environment"), ("yes", "machine"))
+    settings = config.load({"log_days": "30"}, env, machine)
+    assert (settings.log_days, settings.page_size, settings.enrich) == (30, 9, True)
+
+
+def test_feed_is_wellformed(spark):
+    from xml.etree import ElementTree
+
+    books = spark.createDataFrame([(1, 'A <b> & "c"', None, " x", None, "820", "pdf", "f.pdf"), (2, None, "Ann; Bo & Cy", None, "/c/2.png", None, "zzz", "g.zzz")], "id bigint, title string, authors string, description string, cover_path string, udc_code string, format string, filename string")
+    root = ElementTree.fromstring(feeds.feed(feeds.feed_entries(books, "2025-01-01T00:00:00Z"), "All & more", "2025-01-01T00:00:00Z", next_path="/opds?a=1&b=2").first().xml.encode())
+    at = "{http://www.w3.org/2005/Atom}"
+    assert [root.find(at + k) is not None for k in ("id", "title", "updated", "author")] == [True] * 4
+    assert [x.attrib["rel"] for x in root.findall(at + "link")] == ["self", "start", "search", "next"] and root.findall(at + "link")[3].attrib["href"] == "/opds?a=1&b=2"
+    one, two = root.findall(at + "entry")
+    assert one.find(at + "title").text == 'A <b> & "c"' and one.find(at + "category").attrib["term"] == "820"
+    assert [a.find(at + "name").text for a in two.findall(at + "author")] == ["Ann", "Bo", "Cy"] and two.find(at + "title").text == "g.zzz"
+    assert ElementTree.fromstring(feeds.search_description(spark).first().xml.encode()).find("{http://a9.com/-/spec/opensearch/1.1/}Url") is not None

@@ -803,11 +803,6 @@ def _(c):
     return c.files.select("id", tx.folder_tag(F.col("source_path"), "/lib/").alias("tag"))
 
 
-@query("iex12_precedence", "select id, coalesce(nullif(title, ''), regexp_replace(filename, '\\.[^.]*$', '')) as title, coalesce(year, 1900) as year from books")
-def _(c):
-    return c.books.select("id", F.coalesce(F.nullif("title", F.lit("")), tx.stem(F.col("filename"))).alias("title"), F.coalesce("year", F.lit(1900)).alias("year"))
-
-
 # --- full-text search -----------------------------------------------------------------------------
 
 _TOKENS = r"""with tok as (select id as doc_id, 'title' as field, unnest(regexp_extract_all(lower(strip_accents(coalesce(title, ''))), '[\p{L}\p{N}]+')) as token from books where coalesce(title, '') <> '' or coalesce(authors, '') <> ''
@@ -1097,6 +1092,98 @@ def _(c):
 # --- sources and streams --------------------------------------------------------------------------
 
 
+def _tree(c: Catalogue) -> str:
+    from tomewright.plans.shelf import write_tree
+
+    return write_tree(c.spark, c.table("nation"))
+
+
+#: The files of the tree, with what is known of each from the nation it was made of.
+TREE = """with n as (select n_nationkey as k, n_regionkey as r, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as name,
+  (['epub', 'pdf', 'cbz', 'mobi', 'fb2'])[n_nationkey % 5 + 1] as format from nation),
+tree as (select r::varchar as source_group, k || '.' || format as filename, format, k, name from n
+  union all select * from (values ('0', 'broken.epub', 'epub', null, null), ('0', 'comic.cbr', 'cbr', null, null), ('1', 'scan.djvu', 'djvu', null, null)))
+"""
+
+
+def _listed(c: Catalogue, content: bool = False) -> DataFrame:
+    from tomewright.sources.files import listing
+
+    path = _tree(c)
+    return listing(c.spark, [f"{path}/{k}" for k in range(5)], content=content)
+
+
+@query("src1_listing", TREE + "select source_group, filename, format from tree")
+def _(c):
+    return _listed(c).select("source_group", "filename", "format")
+
+
+@query("src2_scan_formats", TREE + "select source_group, filename from tree where format in ('pdf', 'cbz')")
+def _(c):
+    from tomewright.sources.files import listing
+
+    path = _tree(c)
+    return listing(c.spark, [f"{path}/{k}" for k in range(5)], ("pdf", "cbz")).select("source_group", "filename")
+
+
+@query("src4_from_paths", "select filename, format, null::varchar as source_group from (values ('broken.epub', 'epub'), ('scan.djvu', 'djvu')) v(filename, format)")
+def _(c):
+    from tomewright.sources.files import from_paths
+
+    path = _tree(c)
+    return from_paths(c.spark, [f"{path}/0/broken.epub", f"{path}/1/scan.djvu"]).select("filename", "format", "source_group")
+
+
+@query("src5_extract", TREE + """select filename, case when format in ('epub', 'pdf') then name when format = 'cbz' then k::varchar end as title,
+case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then '9780' || k end as isbn,
+case when format = 'epub' then 1900 + k end as year, case when format = 'cbz' then k when format = 'pdf' and k > 0 then k end as pages,
+case when format in ('epub', 'pdf') then 's' || k end as subject, case when format = 'cbz' then 'page 1' end as cover,
+case filename when 'broken.epub' then 'EXTRACT_FAIL' when 'comic.cbr' then 'NO_RAR_TOOL' end as error_code from tree""")
+def _(c):
+    from tomewright.sources.files import extract
+
+    rows = extract(_listed(c, content=True)).withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
+    title = F.when(~F.endswith("filename", F.lit(".mobi")), F.col("title"))  # where these hold a title, the tree's have offsets
+    return rows.select("filename", title.alias("title"), "authors", "isbn", "year", "pages", F.col("subjects")[0].alias("subject"), F.col("cover_data").cast("string").alias("cover"), "error_code")
+
+
+@query("src5_extract_large", TREE + "select filename, 'EXTRACT_FAIL' as error_code from tree where format in ('epub', 'cbz') and filename <> 'broken.epub'")
+def _(c):
+    from tomewright.sources.files import extract
+
+    rows = extract(_listed(c, content=True).where("format in ('epub', 'cbz') and filename <> 'broken.epub'"), most_bytes=20)
+    return rows.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "error_code")
+
+
+@query("src11_full_text", TREE + "select filename, case format when 'mobi' then name || ' begins' else name || chr(10) || 'ends here' end as text from tree where format in ('mobi', 'fb2')")
+def _(c):
+    from tomewright.sources.files import full_text
+
+    rows = _listed(c, content=True).where("format in ('mobi', 'fb2')")
+    return rows.select("filename", full_text("content", "format").alias("t")).select("filename", F.col("t.text").alias("text"))
+
+
+@query("iex12_precedence", TREE + """select filename, case when format in ('epub', 'pdf') then name else regexp_replace(filename, '[.][^.]*$', '') end as title,
+case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then 1900 + k end as year from tree where format <> 'mobi'""")
+def _(c):
+    from tomewright.sources.files import catalogued, extract
+
+    listed = _listed(c, content=True).where("format <> 'mobi'")
+    return catalogued(listed, extract(listed)).select("filename", "title", "authors", "year")
+
+
+@query("str1_inbox", TREE + "select source_group as folder, filename, format from tree")
+def _(c):
+    from tomewright.sources.shared import new_path
+
+    path, out = _tree(c), new_path(c.spark, "inbox")
+    take = lambda rows, _: rows.select("path", "format").write.mode("append").parquet(f"{out}/rows")
+    for _ in range(2):  # the second run finds nothing new
+        inbox.watch_inbox(c.spark, path, take, f"{out}/checkpoint", every=None).awaitTermination(120)
+    rows = c.spark.read.schema("path string, format string").parquet(f"{out}/rows").where(~F.col("path").rlike(r"/(\.git|#recycle|%23recycle)/"))
+    return rows.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("filename"), "format")
+
+
 @query("src3_count_files", "select source_group, count(*) as files, sum(file_size)::bigint as bytes from files group by 1")
 def _(c):
     from tomewright.sources.files import count_files

@@ -11,11 +11,11 @@ from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewright.functions.text import cache_key, extract_year, from_filename, stem, truthy
+from tomewright.functions.text import cache_key, extension, extract_year, from_filename, stem, truthy
 
 BOOK_FORMATS = ("epub", "pdf", "mobi", "azw3", "djvu", "cbr", "cbz", "fb2")
 PRUNED = ("@eaDir", "#recycle", "$RECYCLE.BIN", ".git", "node_modules")
@@ -128,7 +128,8 @@ READERS: dict[str, Callable[[bytes, str], dict]] = {"epub": read_epub, "pdf": re
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], dict]] | None = None, most_bytes: int = 1 << 28) -> DataFrame:
     """Metadata of files with content: ``path`` and the fields of EXTRACTED; formats without a reader give none.
 
-    A file that can't be read is a row with an error, never the end of the job; files over ``most_bytes`` aren't loaded.
+    A file that can't be read is a row with an error, never the end of the job. One of over ``most_bytes`` isn't sent to
+    a worker: it is a row with the error ``EXTRACT_FAIL``.
     """
     table = readers or READERS
     fields = [f.split()[0] for f in EXTRACTED.split(", ")]
@@ -151,7 +152,10 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], dict]] |
                 rows.append({"path": path} | row)
             yield pd.DataFrame(rows, columns=["path", *fields]).astype({"pages": "Int32", "year": "Int32"})
 
-    return files.where(F.col("length") <= most_bytes).select("path", "format", "content").mapInPandas(run, f"path string, {EXTRACTED}")
+    found = files.where(F.col("length") <= most_bytes).select("path", "format", "content").mapInPandas(run, f"path string, {EXTRACTED}")
+    reason = F.concat(F.col("length").cast("string"), F.lit(f" bytes, of {most_bytes} at most"))
+    large = files.where(F.col("length") > most_bytes).select("path", reason.alias("error"), F.lit("EXTRACT_FAIL").alias("error_code"))
+    return found.unionByName(large, allowMissingColumns=True)
 
 
 def palmdoc(data: bytes) -> bytes:
@@ -245,12 +249,18 @@ def lookup(books: DataFrame, answers: DataFrame, fallback: DataFrame, columns: l
 
 
 def unique_names(arrivals: DataFrame, taken: DataFrame) -> DataFrame:
-    """Names for uploads: ``_1``, ``_2`` … before the extension where a name is taken or asked for again."""
-    from pyspark.sql import Window
+    """Names for uploads: the one asked for, or with the first free of ``_1``, ``_2`` … before the extension.
 
-    used = taken.groupBy("filename").agg(F.count("*").alias("used"))
-    rows = arrivals.join(used, "filename", "left").withColumn("k", F.row_number().over(Window.partitionBy("filename").orderBy("id")) - 1 + F.coalesce("used", F.lit(0)))
-    from tomewright.functions.text import extension
-
-    name: Column = F.concat(stem(F.col("filename")), F.lit("_"), F.col("k").cast("string"), extension(F.col("filename")))
+    Of equal names the least id comes first. A number is free if no taken name and no other arrival's own name has it.
+    """
+    mark = r"^(.*)_(\d{1,9})(\.[^.]*)?$"
+    own = arrivals.select("filename").unionByName(taken.select("filename"))
+    base = F.concat(F.regexp_extract("filename", mark, 1), F.regexp_extract("filename", mark, 3))
+    numbered = own.where(F.col("filename").rlike(mark)).select(base.alias("filename"), F.regexp_extract("filename", mark, 2).cast("bigint").alias("number"))
+    held = numbered.groupBy("filename").agg(F.array_sort(F.collect_set("number")).alias("held"))
+    used = taken.select("filename").distinct().withColumn("used", F.lit(1))
+    order = F.row_number().over(Window.partitionBy("filename").orderBy("id"))
+    rows = arrivals.join(used, "filename", "left").withColumn("k", (order - 1 + F.coalesce("used", F.lit(0))).cast("bigint")).join(held, "filename", "left")
+    free = F.aggregate(F.coalesce("held", F.array().cast("array<bigint>")), F.col("k"), lambda k, n: F.when((n > 0) & (n <= k), k + 1).otherwise(k))
+    name: Column = F.concat(stem(F.col("filename")), F.lit("_"), free.cast("string"), extension(F.col("filename")))
     return rows.select("id", F.when(F.col("k") == 0, F.col("filename")).otherwise(name).alias("filename"))
