@@ -1163,7 +1163,7 @@ def _(c):
     return rows.select("filename", full_text("content", "format").alias("t")).select("filename", F.col("t.text").alias("text"))
 
 
-@query("iex12_precedence", TREE + """select filename, case when format in ('epub', 'pdf') then name else regexp_replace(filename, '[.][^.]*$', '') end as title,
+@query("iex12_precedence", TREE + """select filename, coalesce(case when format in ('epub', 'pdf') then name end, regexp_replace(filename, '[.][^.]*$', '')) as title,
 case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then 1900 + k end as year from tree where format <> 'mobi'""")
 def _(c):
     from tomewright.sources.files import catalogued, extract
