@@ -70,18 +70,55 @@ def test_scalars(spark):
     assert one(spark, lambda c: tx.folder_tag(c, "/lib"), "/lib/a/b.pdf") == "a"
 
 
-@pytest.mark.parametrize("name", ["Batman (2016) #024", "Saga Vol. 3", "Dune Book II", "X - 06 - Name", "12345 No. 3", "Plain", "A Part 2 Issue 7"])
-def test_series_forms_agree(spark, name):
+SERIES = {
+    "Batman (2016) #024": ("Batman", "024", None, "024"),
+    "Saga Vol. 3": ("Saga", None, "3", None),
+    "Dune Book II": ("Dune", "II", None, None),
+    "X - 06 - Name": ("X", "06", None, None),
+    "12345 No. 3": (None, None, None, None),
+    "Plain": (None, None, None, None),
+    "A Part 2 Issue 7": ("A", "2", None, "7"),
+    "5Issue 3#024": (None, None, None, None),
+}
+
+
+@pytest.mark.parametrize("name", SERIES)
+def test_series_forms(spark, name):
     row = one(spark, tx.parse_series, name)
-    got = row.asDict() if row else dict.fromkeys(("series", "num", "volume", "issue"))
-    assert got == tx.series_parts(name)
-    if name.startswith("Batman"):
-        assert got == {"series": "Batman", "num": "024", "volume": None, "issue": "024"}
-
-
-@pytest.mark.parametrize(("name", "author", "title"), [("Jane Smith - Deep River", "Jane Smith", "Deep River"), ("the deep river - Jane Smith", "Jane Smith", "the deep river"), ("Deep River (Jane Smith)", "Jane Smith", "Deep River"), ("only words here", None, "only words here")])
-def test_author_title(name, author, title):
-    assert tx.split_author_title(name) == (author, title)
+    assert (tuple(row) if row else (None,) * 4) == SERIES[name]
+
+
+SPLITS = {
+    "Jane Smith - Deep River": ("Jane Smith", "Deep River"),
+    "the deep river - Jane Smith": ("Jane Smith", "the deep river"),
+    "Deep River (Jane Smith)": ("Jane Smith", "Deep River"),
+    "Deep River (Jane Smith, #2)": ("Jane Smith", "Deep River"),
+    "Deep River - Smith, Jane": ("Smith, Jane", "Deep River"),
+    "A Long Tale - J. K. Smith": ("J. K. Smith", "A Long Tale"),
+    "Jane Smith_Deep River": ("Jane Smith", "Deep River"),
+    "Jane Smith -Deep river": ("Jane Smith", "Deep river"),
+    "Jane_Smith - 3 words": (None, "Jane_Smith - 3 words"),
+    "1984 - Jane Smith": ("Jane Smith", "1984"),
+    "Modern History - the rest": (None, "Modern History - the rest"),
+    "Dr. Who - x1": ("Dr. Who", "x1"),
+    "J. S - the end": (None, "J. S - the end"),
+    "only words here": (None, "only words here"),
+    "": (None, ""),
+}
+
+
+@pytest.mark.parametrize("name", SPLITS)
+def test_author_title(spark, name):
+    assert tuple(one(spark, tx.author_title, name)) == SPLITS[name]
+
+
+def test_from_filename_asks_the_recogniser_where_no_author_is_found(spark):
+    person = lambda text: F.nullif(F.regexp_extract(text, "Ada [A-Z][a-z]+", 0), F.lit(""))
+    parse = lambda name: tuple(one(spark, lambda c: tx.from_filename(c, person), name))[:2]
+    assert parse("letters of Ada Byron, collected.pdf") == ("Ada Byron", "letters of , collected")
+    assert parse("Jane Smith - Ada Byron.pdf") == ("Jane Smith", "Ada Byron")
+    assert parse("no one.pdf") == (None, "no one")
+    assert one(spark, lambda c: tx.from_filename(c, person), None) is None
 
 
 def sequential(rows, gate, limit=0.85):

@@ -128,7 +128,7 @@ def backfill_series(books: DataFrame) -> DataFrame:
     names = ("series", "series_num", "volume", "issue")
     lacking = " or ".join(f"coalesce({c}, '') = ''" for c in names)
     rows = books.where(F.col("stage").isin("cataloged", "survivor", "copied")).where(lacking)
-    rows = rows.where(~F.col("filename").rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-")).withColumn("p", from_filename("filename"))
+    rows = rows.where(~F.col("filename").rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-")).withColumn("p", from_filename(F.col("filename")))
     rows = rows.where((F.length("p.series") <= 60) & ~F.col("p.series").rlike(r"(?i)www\.|https?:|\.com\b"))
     parsed = {"series": "p.series", "series_num": "p.num", "volume": "p.volume", "issue": "p.issue"}
     rows = rows.select("id", *[F.coalesce(parsed[c], c).alias(c) for c in names], F.struct(*names).alias("old"))

@@ -778,12 +778,64 @@ def _(c):
     return dd.title_candidates(c.books, 0.5).select("id_a", "id_b", F.round(tx.title_similarity("norm_a", "norm_b"), 9).alias("ratio"))
 
 
-@query("iex5_author_title")
+def _re2(pattern: str) -> str:
+    """A pattern of the engine as DuckDB reads it: ``U`` has another meaning there, and classes other names."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("IsUppercase", "Lu").replace("'", "''")
+
+
+def _extracted(text: str, pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract({text}, '{pattern}', {group}), '')"
+
+
+def _removed(text: str, *patterns: str) -> str:
+    for pattern in patterns:
+        text = f"regexp_replace({text}, '{_re2(pattern)}', '', 'g')"
+    return text
+
+
+def _is_name(text: str) -> str:
+    words = f"trim(replace({text}, '_', ' '))"
+    like = lambda p: f"regexp_matches({words}, '{_re2(p)}')"
+    return f"({like(tx.NAME_SHAPE)} and not {like(tx.NAME_NEVER)} and ({like(tx.NAME_HONOURED)} or not {like(tx.NAME_TOO_SHORT)} and not {like('(?i)' + tx.FILE_SUFFIX)}))"
+
+
+def _split_names(source: str) -> str:
+    """CTEs ``sp(p_partkey, author, title)`` from a relation with p_partkey and n: rows by dash and direction, scored, and
+    the other two forms where none is left."""
+    halves = " union all ".join(
+        f"select p_partkey, n, {k} as place, regexp_extract(n, '^(.*?){_re2(dash)}(.*)$', 1) as l, regexp_extract(n, '^(.*?){_re2(dash)}(.*)$', 2) as r from {source}" for k, dash in enumerate(tx.DASHES)
+    )
+    score = " + ".join(f"case when regexp_matches(author, '{_re2(p)}') then {w} else 0 end" for p, w in tx.AUTHOR_SIGNALS)
+    inside = f"trim(regexp_replace(trim(regexp_extract(n, '{_re2(tx.IN_PARENTHESES)}', 1)), ',\\s*#?\\d+.*', ''))"
+    first, rest = "trim(split_part(n, '_', 1))", "trim(substring(n, instr(n, '_') + 1))"
+    joined = f"instr(n, '_') > 0 and length({first}) > 1 and length({rest}) > 1 and length(string_split_regex({first}, '\\s+')) <= 4 and {_is_name(first)}"
+    return rf"""hv as ({halves}),
+dv as (select p_partkey, place, true as lefty, trim(l) as author, trim(r) as title from hv where length(l) > 1 and length(r) > 1 and not regexp_matches(n, '^\d') and not regexp_matches(trim(l), '{tx.FILE_SUFFIX}')
+  union all select p_partkey, place, false, trim(r), trim(l) from hv where length(l) > 1 and length(r) > 1),
+sv as (select *, {score} + lefty::int as score from dv where {_is_name("author")}),
+bv as (select * from sv where score >= 0 qualify row_number() over (partition by p_partkey order by score desc, lefty, case when lefty then place else -place end) = 1),
+sp as (select o.p_partkey, case when b.p_partkey is not null then b.author when {_is_name(inside)} then {inside} when {joined} then {first} end as author,
+  case when b.p_partkey is not null then b.title when {_is_name(inside)} then trim({_removed("n", tx.IN_PARENTHESES)}) when {joined} then {rest} else n end as title
+  from {source} o left join bv b on o.p_partkey = b.p_partkey)"""
+
+
+_BASES = NAMES + ", bs as (select p_partkey, regexp_replace(name, '[.][^.]*$', '') as n from nm), "
+_SERIES_CUTS = (r"[-–—]\s*[0-9]+\s*[-–—].*$", r"(?i)(?:#|No\.?|Issue)\s*\.?[0-9]+.*$", r"(?i)\b(Book|Part)\s*([0-9IVX]+).*$", r"(?i)\bVol(?:ume)?\.?\s*\.?[0-9]+.*$")
+_SERIES = rf"""mk as (select p_partkey, n, {_extracted("n", r"(?i)\bVol(?:ume)?\.?\s*\.?([0-9]+)")} as volume, {_extracted("n", r"(?i)\bIssue\s*\.?([0-9]+)")} as named,
+  {_extracted("n", r"(?i)(?:#|No\.?)\s*\.?([0-9]+)")} as mark, {_extracted("n", r"(?i)\bBook\s*([0-9IVX]+)")} as book, {_extracted("n", r"(?i)\bPart\s*([0-9IVX]+)")} as part, {_extracted("n", r"[-–—]\s*([0-9]+)\s*[-–—]")} as dash from bs),
+nu as (select *, coalesce(mark, book, part, dash) as num, coalesce(named, case when book is null and part is null and not regexp_matches(n, '(?i)\bVol\b') then mark end) as issue from mk),
+fr as (select *, case when num is not null then {_removed("n", *_SERIES_CUTS)} when volume is not null then {_removed("n", _SERIES_CUTS[3])} end as front from nu),
+se as (select *, nullif({_removed("front", r"\(\s*\d{4}\s*\)", tx.EDGES)}, '') as series from fr),
+sr as (select p_partkey, case when ok then series end as series, case when ok then num end as num, case when ok then volume end as volume, case when ok then issue end as issue
+  from (select *, series is null or regexp_matches(series, '[A-Za-z]') as ok from se))"""
+
+
+@query("iex5_author_title", _BASES + _split_names("bs") + " select p_partkey, author, title from sp")
 def _(c):
     return _names(c).select("p_partkey", tx.author_title(tx.stem(F.col("name"))).alias("p")).select("p_partkey", "p.author", "p.title")
 
 
-@query("iex8_series")
+@query("iex8_series", _BASES + _SERIES + " select p_partkey, series, num, volume, issue from sr")
 def _(c):
     return _names(c).select("p_partkey", tx.parse_series(tx.stem(F.col("name"))).alias("s")).select("p_partkey", "s.*")
 
@@ -793,9 +845,16 @@ def _(c):
     return c.table("part").select("p_partkey", tx.strip_trailing_year(F.concat("p_name", F.lit(" x"))).alias("plain"), tx.strip_trailing_year(F.concat("p_name", F.lit(" - 2003"))).alias("cut"))
 
 
-@query("iex10_from_filename")
+_MARK = _re2(tx.SERIES_MARK)
+_FROM_NAME = _BASES + _SERIES + rf""", pl as (select p_partkey, case when regexp_matches(n, '{_MARK}') then trim(regexp_replace(n, '{_MARK}', '', 'g')) else n end as m from bs),
+py as (select p_partkey, coalesce({_extracted("m", r"^(.*?)\s+[-–—]\s+\d{4}$")}, {_extracted("m", r"^(.*?)\s+(?:1[89]\d{2}|20[0-2]\d)$")}, m) as n from pl), {_split_names("py")}
+select b.p_partkey, sp.author, sp.title, cast({_extracted("b.n", tx.YEAR)} as int) as year, sr.series, coalesce({_extracted("b.n", _MARK)}, {_extracted("b.n", _MARK, 2)}, sr.num) as num, sr.volume, sr.issue
+from bs b join sp on sp.p_partkey = b.p_partkey join sr on sr.p_partkey = b.p_partkey"""
+
+
+@query("iex10_from_filename", _FROM_NAME)
 def _(c):
-    return _names(c).select("p_partkey", tx.from_filename("name").alias("f")).select("p_partkey", "f.*")
+    return _names(c).select("p_partkey", tx.from_filename(F.col("name")).alias("f")).select("p_partkey", "f.*")
 
 
 @query("iex11_folder_tag", "select id, split_part(substring(source_path, 6), '/', 1) as tag from files")

@@ -225,7 +225,7 @@ def catalogued(files: DataFrame, found: DataFrame) -> DataFrame:
 
     A title that is only the file's stem gives way to the one parsed from the name.
     """
-    joined = files.join(found, "path", "left").withColumn("named", from_filename("filename"))
+    joined = files.join(found, "path", "left").withColumn("named", from_filename(F.col("filename")))
     filled = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
     embedded = F.when(~F.coalesce("title_is_stem", F.lit(True)), F.col("title"))
     rest = [c for c in files.columns if c != "content"] + ["publisher", "isbn", "language", "pages", "description", "subjects", "error", "error_code"]
