@@ -146,6 +146,26 @@ def test_greedy_block_equals_sequential_rule(gate):
     assert list(zip(got["id"], got["master_id"], strict=True)) == sequential(rows, gate)
 
 
+def test_blocks_stream_over_many_batches(spark):
+    """A block that holds most rows, and small ones beside it, read 16 rows at a time: the pass over each block whole."""
+    rng = random.Random(2)
+    title = lambda: "".join(c if rng.random() > 0.08 else rng.choice("xyz ") for c in "abcdefgh ijkl mnop qr")
+    rows = [(i, title(), rng.randint(1, 3), "hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])) for i in range(300)]
+    books = spark.createDataFrame(rows, "id bigint, norm string, richness int, block string").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = dedup.fuzzy_pairs(books, [F.col("block")], True).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for block in ("hot", "a", "b", None):
+        part = pd.DataFrame([r[:3] for r in rows if r[3] == block], columns=["id", "norm", "richness"])
+        want += dedup.greedy_block(part, dedup.THRESHOLD, dedup.AMBIGUOUS, True).itertuples(index=False, name=None)
+    assert len(want) > 100
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 @needs_data
 def test_resolution_keeps_every_row_once(spark):
     books = catalogue.Catalogue(spark, DATA).books

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,40 +32,50 @@ def exact_losers(books: DataFrame, key: Column, reason: str) -> DataFrame:
     return rows.join(best, "key").where("id <> master_id").select("id", "master_id", F.lit(reason).alias("reason"))
 
 
-def greedy_block(rows: pd.DataFrame, threshold: float, ambiguous: float, gate: bool) -> pd.DataFrame:
-    """One block in id order: each row against the earlier rows still standing; the first hit decides."""
-    standing: list[tuple[int, str, int]] = []
-    out = []
-    for i, title, rich in rows.sort_values("id")[["id", "norm", "richness"]].itertuples(index=False):
+class Standing:
+    """The titles of one block that stand so far. Rows come in id order; the first hit decides, so a hit's keeper stands."""
+
+    def __init__(self, threshold: float, ambiguous: float, gate: bool):
+        self.threshold, self.ambiguous, self.gate = threshold, ambiguous, gate
+        self.rows: list[tuple[int, str, int]] = []
+
+    def add(self, i: int, title: str, rich: int) -> Iterator[tuple[int, int, float, bool]]:
+        """``id, master_id, ratio, ambiguous`` of one more row: its reports and at most one loss."""
         matcher = SequenceMatcher(None, "", title)
-        for k, (j, other, other_rich) in enumerate(standing):
-            if gate and abs(len(title) - len(other)) > max(len(title) // 3, 10):
+        for k, (j, other, other_rich) in enumerate(self.rows):
+            if self.gate and abs(len(title) - len(other)) > max(len(title) // 3, 10):
                 continue
             matcher.set_seq1(other)
-            if matcher.real_quick_ratio() < ambiguous or matcher.quick_ratio() < ambiguous:
+            if matcher.real_quick_ratio() < self.ambiguous or matcher.quick_ratio() < self.ambiguous:
                 continue
             ratio = matcher.ratio()
-            if ratio >= threshold:
+            if ratio >= self.threshold:
                 if rich <= other_rich:
-                    out.append((i, j, ratio, False))
-                    break
-                out.append((j, i, ratio, False))
-                standing.pop(k)
-                standing.append((i, title, rich))
-                break
-            if ratio >= ambiguous:
-                out.append((i, j, ratio, True))
-        else:
-            standing.append((i, title, rich))
-    return pd.DataFrame(out, columns=["id", "master_id", "ratio", "ambiguous"])
+                    yield i, j, ratio, False
+                else:
+                    yield j, i, ratio, False
+                    self.rows.pop(k)
+                    self.rows.append((i, title, rich))
+                return
+            if ratio >= self.ambiguous:
+                yield i, j, ratio, True
+        self.rows.append((i, title, rich))
+
+
+def greedy_block(rows: pd.DataFrame, threshold: float, ambiguous: float, gate: bool) -> pd.DataFrame:
+    """One block in id order: each row against the earlier rows still standing; the first hit decides."""
+    standing = Standing(threshold, ambiguous, gate)
+    hits = [hit for row in rows.sort_values("id")[["id", "norm", "richness"]].itertuples(index=False) for hit in standing.add(*row)]
+    return pd.DataFrame(hits, columns=["id", "master_id", "ratio", "ambiguous"])
 
 
 def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: float = THRESHOLD, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """Greedy fuzzy title matches inside blocks: ``id, master_id, ratio, ambiguous`` (those below the threshold are reports).
 
     Pairs are compared inside a block alone, so blocks run in parallel with the result of the sequential pass. The
-    pass itself depends on its order, so one block is one task: its work is its rows times the titles that still stand
-    (rows of one title leave one standing). Rows come with a ``norm`` where the caller has it.
+    pass itself depends on its order, so one block is one task: its work is its rows times the titles that still stand.
+    Rows stream through it as Spark has sorted them (a sort spills to disk), so that it holds these titles and one Arrow
+    batch, however many rows the block has. Rows come with a ``norm`` where the caller has it.
     """
     rows = books if "norm" in books.columns else books.withColumn("norm", normalize_title(F.col("title")))
     keys = [c.alias(f"b{k}") for k, c in enumerate(block)]
@@ -72,10 +84,20 @@ def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: fl
     paired = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(paired, [rows[n].eqNullSafe(paired[n]) for n in names], "left_semi")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return greedy_block(part, threshold, ambiguous, gate)
-
-    return rows.groupBy(*names).applyInPandas(run, "id bigint, master_id bigint, ratio double, ambiguous boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, standing = None, Standing(threshold, ambiguous, gate)
+        for batch in batches:
+            hits = []
+            for i, title, rich, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    key, standing = at, Standing(threshold, ambiguous, gate)
+                hits += standing.add(i, title, rich)
+            columns = list(zip(*hits, strict=True)) if hits else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "master_id", "ratio", "ambiguous"])
+
+    ordered = rows.repartition(*names).sortWithinPartitions(*names, "id").select("id", "norm", "richness", *names)
+    return ordered.mapInArrow(run, "id bigint, master_id bigint, ratio double, ambiguous boolean")
 
 
 def blocks_by_size(books: DataFrame, block: list[Column]) -> DataFrame:
