@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tomewright.llm.chat import OP6_SQL, op6_format_chats
 from tomewright.llm.decontaminate import op9_decontaminate
+from tomewright.llm.hard_negatives import OP11_SQL, op11_hard_negatives
+from tomewright.llm.hash_ring import op13_hash_ring
 from tomewright.llm.language_id import op3_language_id
 from tomewright.llm.lm_scoring import op7_lm_scoring
 from tomewright.llm.mixing import op8_mix_sources
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_hash_ring": op13_hash_ring,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op6_format_chats": OP6_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
