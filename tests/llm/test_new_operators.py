@@ -1,5 +1,6 @@
 """Sharding, hard negatives and turn reassembly against plain definitions, over odd tables."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tomewright.llm import hard_negatives as hn
 from tomewright.llm import hash_ring
 from tomewright.llm.hash_ring import assign_shards, place_points, ring_nodes
+from tomewright.llm.turn_reassembly import reassemble_conversations, turn_batches
 
 DOCS = "doc_id bigint, text string, size string, shard string, h string"
 
@@ -115,3 +117,69 @@ def test_products_are_exact_beyond_doubles():
     assert hn.products(a, b[:1]).tolist() == [[2**54 + 3]]
     assert hn.products(a, b).tolist() == [[2**54 + 3, hn.MOST]]
     assert hn.products(np.zeros((2, 3)), np.zeros((0, 0))).shape == (2, 0)
+
+
+def brute_reassembly(rows, batches, silent):
+    """Conversation by conversation, batch by batch; rows are (batch, conv, turn, role, payload)."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out = []
+    for conv in {r[1] for r in rows if r[2] is not None}:
+        own = [r for r in rows if r[1] == conv and r[2] is not None]
+        first = nxt = min(r[2] for r in own)
+        kept, last, closed = {}, None, False
+
+        def close(at):
+            left = sorted(t for t in kept if t >= nxt)
+            breaks = sum(t - 1 in kept and kept[t - 1][0] == kept[t][0] for t in kept)
+            out.append(("close", conv, -1, at, sha(",".join(map(str, left))), max(kept) - first + 1 - len(kept), breaks))
+
+        for b in range(batches):
+            now = {}
+            for _, _, turn, role, payload in sorted((r for r in own if r[0] == b), key=lambda r: (r[4].encode(), r[3].encode()), reverse=True):
+                now[turn] = (role, payload)
+            if closed:
+                out += [("reject", conv, t, b, sha(p), None, None) for t, (_, p) in now.items()]
+                continue
+            if now:
+                last = b
+            for t, x in now.items():
+                kept.setdefault(t, x)
+            while nxt in kept:
+                out.append(("release", conv, nxt, b, sha(kept[nxt][1]), None, None))
+                nxt += 1
+            if last is not None and b - last >= silent:
+                closed = True
+                close(b)
+        if not closed and last is not None:
+            close(batches)
+    return sorted(out, key=str)
+
+
+def test_turn_reassembly_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for conv in range(14):
+        start = rng.choice([0, 0, 3, -5, 10**12])
+        turns = [start + k for k in range(rng.randint(1, 12)) if k == 0 or rng.random() < 0.85]
+        times = sorted(rng.sample(range(7), rng.randint(1, 4)))
+        for t in turns:
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                role = rng.choice(["user", "assistant", ""])
+                rows.append((rng.choice(times), str(conv), t, role, f"{role}|{rng.choice('aéz')}"))
+    rows += [(2, "5", None, "user", "user|x"), (0, "null", 4, "a|b", "a|b|c"), (0, "null", 4, "a", "a|b|c"), (0, "null", 4, "a", "a|b|c")]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "batch int, conv string, turn long, role string, payload string, first string, span string, digest string")
+    want = brute_reassembly(rows, 7, 2)
+    assert {r[0] for r in want} == {"release", "reject", "close"} and any(r[5] for r in want) and any(r[6] for r in want)
+    for bits in (12, 1):  # of two turns a span, most conversations have many
+        got = reassemble_conversations(df, 7, bits).select("event", "conv", "turn", "batch", "digest", "n_missing", "n_breaks").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_turn_batches_take_odd_rows_and_no_rows(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, batch string, payload string"
+    rows = [(1, 0, None, None, "x", "y"), (1, None, "user", "t", "x", "y"), (None, 3, "user", "é" * 100_000, "x", "y"), (1, 1, "user", "", "x", "y")]
+    got = turn_batches(spark.createDataFrame(rows, schema)).collect()
+    assert {(r.conv, r.turn) for r in got} == {("1", 0), ("1", 1), ("null", 3)} and all(0 <= r.batch < 10 for r in got)
+    assert {r.payload for r in got if r.turn == 0} <= {"|", "user|"}
+    empty = turn_batches(spark.createDataFrame([], schema))
+    assert reassemble_conversations(empty, 1).count() == 0

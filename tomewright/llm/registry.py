@@ -17,6 +17,7 @@ from tomewright.llm.quality_classifier import op2_quality_classifier
 from tomewright.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tomewright.llm.simhash_dedup import op10_simhash_dedup
 from tomewright.llm.substring_dedup import OP5_SQL, op5_substring_dedup
+from tomewright.llm.turn_reassembly import OP12_SQL, op12_turn_reassembly
 from tomewright.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_turn_reassembly": op12_turn_reassembly,
     "op13_hash_ring": op13_hash_ring,
 }
 
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op6_format_chats": OP6_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_turn_reassembly": OP12_SQL,
 }
