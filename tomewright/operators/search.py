@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field, fields
-from functools import reduce
+from dataclasses import dataclass, fields
+from functools import cache, reduce
+from typing import TYPE_CHECKING
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tomewright.functions.text import leading_int
 
+if TYPE_CHECKING:
+    from tomewright.operators.textindex import Postings
+
 SEARCHED = ("title", "authors", "publisher", "isbn", "description", "subjects", "series", "filename")
 SORTS = {"id": "id", "title": "title", "authors": "authors", "year": "year", "filename": "filename", "size": "file_size", "format": "format", "stage": "stage", "publisher": "publisher", "pages": "pages"}
 VISIBLE = ("cataloged", "copied", "survivor")
@@ -42,7 +44,6 @@ class SearchRequest:
     descending: bool = True
     limit: int = 50
     offset: int = 0
-    extra: dict = field(default_factory=dict)
 
 
 def facet_predicate(r: SearchRequest) -> Column:
@@ -100,8 +101,6 @@ def page(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 def page_with_next(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page that reads one row more, to tell whether another follows: column ``has_next``."""
     rows = df.orderBy(*order).offset(offset).limit(limit + 1)
-    from pyspark.sql import Window
-
     whole = Window.partitionBy()
     numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("has_next", F.count("*").over(whole) > limit)
     return numbered.where(F.col("_n") <= limit).drop("_n")
@@ -113,30 +112,34 @@ INDEXED = ("title", "authors", "description", "publisher", "isbn")
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without diacritics of the Latin script."""
-    plain, marked = _diacritics()
+    """Lower-cased runs of letters and digits without the diacritics of the Latin script, composed or combining."""
+    marked, plain = _diacritics()
     return F.regexp_extract_all(F.translate(F.lower(text), marked, plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+@cache
 def _diacritics() -> tuple[str, str]:
-    pairs = [(unicodedata.normalize("NFD", c)[0], c) for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Marked letters and combining marks; plain letters for the former, nothing for the latter."""
+    latin = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and unicodedata.normalize("NFD", c) != c]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(latin) + marks, "".join(unicodedata.normalize("NFD", c)[0] for c in latin)
 
 
-_VOWEL = "[aeiou]"
+def _form(word: str) -> str:
+    """``v`` or ``c`` for each letter; a y behind a consonant is a vowel."""
+    return "".join("v" if c in "aeiou" or c == "y" and i and word[i - 1] not in "aeiou" else "c" for i, c in enumerate(word))
 
 
 def _measure(word: str) -> int:
-    form = "".join("v" if c in "aeiou" or c == "y" and i and word[i - 1] not in "aeiou" else "c" for i, c in enumerate(word))
-    return len(re.findall("v+c+", form))
+    return len(re.findall("v+c+", _form(word)))
 
 
 def _has_vowel(word: str) -> bool:
-    return any(c in "aeiou" or c == "y" and i for i, c in enumerate(word))
+    return "v" in _form(word)
 
 
 def _short_end(word: str) -> bool:
-    return bool(re.search(r"[^aeiou][aeiouy][^aeiouwxy]$", word))
+    return _form(word).endswith("cvc") and word[-1] not in "wxy"
 
 
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -187,21 +190,6 @@ def porter_stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return pd.Series([known.setdefault(w, porter_stem(w)) if w is not None else None for w in words], dtype="object")
-
-
-def build_index(books: DataFrame, columns: tuple[str, ...] = INDEXED, stem: bool = True) -> DataFrame:
-    """Postings ``token, field, doc_id, pos`` of the rows that have a title or authors."""
-    rows = books.where("coalesce(title, '') <> '' or coalesce(authors, '') <> ''")
-    texts = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in columns])
-    each = rows.select(F.col("id").alias("doc_id"), F.explode(texts).alias("f"))
-    out = each.select("doc_id", "f.field", F.posexplode(tokens(F.col("f.text"))).alias("pos", "token"))
-    return out.withColumn("token", stemmed("token")) if stem else out
-
-
 def _parse(query: str) -> list | None:
     """Query tree of AND (implicit), OR, NOT, "phrase", prefix* and column:term; None if it can't be read."""
     parts = re.findall(r'"[^"]*"|\(|\)|[^\s()"]+', query)
@@ -248,7 +236,7 @@ def _parse(query: str) -> list | None:
         if word.startswith('"'):
             return ("phrase", _plain_tokens(word[1:-1]))
         prefix = word.endswith("*")
-        if not re.fullmatch(r"\w+", word.rstrip("*") if prefix else word) or word in ("AND", "OR", "NOT"):
+        if not re.fullmatch(r"[\w\x80-\U0010ffff]+", word.rstrip("*") if prefix else word) or word in ("AND", "OR", "NOT"):
             raise ValueError(query)
         return ("prefix" if prefix else "word", _plain_tokens(word))
 
@@ -260,44 +248,44 @@ def _parse(query: str) -> list | None:
 
 
 def _plain_tokens(text: str) -> list[str]:
-    plain, marked = _diacritics()
-    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(marked, plain)))
+    marked, plain = _diacritics()
+    table = dict(zip(map(ord, marked), plain)) | {ord(c): None for c in marked[len(plain) :]}
+    return re.findall(r"[^\W_]+", text.lower().translate(table))
 
 
-def match(postings: DataFrame, query: str, stem: bool = True) -> DataFrame | None:
+def match(postings: Postings, query: str) -> DataFrame | None:
     """Documents (``doc_id``, distinct) that match a query by set algebra over postings; None for a bad query."""
     tree = _parse(query)
-    if tree is None:
-        return None
-    cut = porter_stem if stem else (lambda w: w)
-
-    def found(node: tuple, rows: DataFrame) -> DataFrame:
-        kind = node[0]
-        if kind == "in":
-            return found(node[2], rows.where(F.col("field") == node[1]))
-        if kind in ("word", "prefix", "phrase"):
-            words = node[1]
-            if not words:
-                return rows.select("doc_id").limit(0)
-            if kind == "prefix":
-                return rows.where(F.col("token").startswith(words[0])).select("doc_id").distinct()
-            hit = rows.where(F.col("token") == cut(words[0])).select("doc_id", "field", "pos")
-            for k, w in enumerate(words[1:], 1):
-                after = rows.where(F.col("token") == cut(w)).select("doc_id", "field", (F.col("pos") - k).alias("pos"))
-                hit = hit.join(after, ["doc_id", "field", "pos"], "left_semi")
-            return hit.select("doc_id").distinct()
-        a, b = found(node[1], rows), found(node[2], rows)
-        if kind == "or":
-            return a.union(b).distinct()
-        return a.join(b, "doc_id", "left_semi" if kind == "and" else "left_anti")
-
-    return found(tree, postings)
-
-
-def search(books: DataFrame, tags: DataFrame, request: SearchRequest, postings: DataFrame | None = None) -> DataFrame:
+    return None if tree is None else _found(tree, postings, None)
+
+
+def _found(node: tuple, postings: Postings, field: str | None) -> DataFrame:
+    kind, ids = node[0], lambda rows: rows.select("doc_id").distinct()
+    if kind == "in":
+        return _found(node[2], postings, node[1])
+    if kind == "prefix" and node[1]:
+        return ids(postings.beginning(node[1][0], field))
+    if kind in ("word", "phrase", "prefix"):
+        # a query without a word finds nothing
+        hit, *after = [postings.word(w, field) for w in node[1]] or [postings.word("", field)]
+        if not after:
+            return ids(hit)
+        spread = lambda rows, k: rows.select("doc_id", "field", F.explode(F.transform("pos", lambda p: p - k)).alias("at"))
+        hit = spread(hit, 0)
+        for k, rows in enumerate(after, 1):
+            hit = hit.join(spread(rows, k), ["doc_id", "field", "at"], "left_semi")
+        return ids(hit)
+    a, b = _found(node[1], postings, field), _found(node[2], postings, field)
+    if kind == "or":
+        return a.union(b).distinct()
+    return a.join(b, "doc_id", "left_semi" if kind == "and" else "left_anti")
+
+
+def search(books: DataFrame, tags: DataFrame, request: SearchRequest, postings: Postings | None = None) -> DataFrame:
     """All rows of a search, unordered: facets and (full-text match or substrings in every term).
 
-    No join fans out, so nothing has to be made distinct: tags are semi- and anti-joins.
+    No join fans out, so nothing has to be made distinct: tags are semi- and anti-joins. Where the postings' index has
+    grams that the terms tell, only its candidates and matches are read for substrings, else all books are.
     """
     rows = books.where(facet_predicate(request))
     custom = tags.where("tag_type = 'custom'").select(F.col("file_id").alias("id"), "tag")
@@ -305,21 +293,22 @@ def search(books: DataFrame, tags: DataFrame, request: SearchRequest, postings:
         rows = rows.join(custom.where(F.col("tag") == request.tag), "id", "left_semi")
     if request.untagged:
         rows = rows.join(custom, "id", "left_anti")
-    if request.text.strip():
-        hits = match(postings, request.text) if postings is not None else None
-        flagged = with_tag_list(rows, tags)
-        wanted = like_predicate(request.text, tags="tag_list")
-        if hits is not None:
-            flagged = flagged.join(hits.select(F.col("doc_id").alias("id"), F.lit(True).alias("hit")), "id", "left")
-            wanted = wanted | F.coalesce("hit", F.lit(False))
-            flagged = flagged.where(wanted).drop("hit")
-        else:
-            flagged = flagged.where(wanted)
-        rows = flagged.drop("tag_list")
-    return rows
-
-
-def search_page(books: DataFrame, tags: DataFrame, request: SearchRequest, postings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    if not request.text.strip():
+        return rows
+    hits = match(postings, request.text) if postings is not None else None
+    hits = hits.select(F.col("doc_id").alias("id")) if hits is not None else None
+    near = getattr(postings, "candidates", lambda text: None)(request.text)
+    if near is not None:
+        near = near.select(F.col("doc_id").alias("id"))
+        rows = rows.join(near if hits is None else near.union(hits), "id", "left_semi")
+    wanted, flagged = like_predicate(request.text, tags="tag_list"), with_tag_list(rows, tags)
+    if hits is not None:
+        flagged = flagged.join(hits.withColumn("hit", F.lit(True)), "id", "left")
+        wanted = F.coalesce("hit", F.lit(False)) | wanted
+    return flagged.where(wanted).drop("tag_list", "hit")
+
+
+def search_page(books: DataFrame, tags: DataFrame, request: SearchRequest, postings: Postings | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of the page in order, a row with the total)."""
     found = search(books, tags, request, postings)
     return page(found.orderBy(*order_by(request)), request.limit, request.offset), found.agg(F.count("*").alias("total"))

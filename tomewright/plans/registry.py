@@ -15,7 +15,9 @@ from tomewright.operators import dedup as dd
 from tomewright.operators import feeds as fd
 from tomewright.operators import merge as mg
 from tomewright.operators import search as se
+from tomewright.operators import textindex as ti
 from tomewright.sources.catalogue import Catalogue, duck_views
+from tomewright.sources.shared import new_path
 from tomewright.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +170,11 @@ def _(c):
     return se.search(c.books, c.tags, se.SearchRequest(text='en "src1"')).select("id", "title")
 
 
+@query("flt2_kept_grams", f"select id, title from books where {_like_sql('%tion', 'src1_')}")
+def _(c):
+    return se.search(c.books, c.tags, se.SearchRequest(text="%tion src1_"), _index(c, True)).select("id", "title")
+
+
 @query("flt3_book_list", "select id, title, stage from books where stage = 'copied' and is_master = 1 and (title ilike '%the%' or authors ilike '%the%' or filename ilike '%the%')")
 def _(c):
     return c.books.where(se.facet_predicate(se.SearchRequest(stage="copied", masters=True)) & se.like_predicate("the", ("title", "authors", "filename"))).select("id", "title", "stage")
@@ -272,7 +279,7 @@ def _(c):
     return dd.with_richness(c.books).groupBy("file_hash").agg(F.max_by("id", F.struct("richness", -F.col("id"))).alias("id"))
 
 
-@query("srt9_natural_order", r"select filename, array_to_string(list_transform(regexp_extract_all(filename, '(\d+|\D+)'), lambda p: case when regexp_matches(p, '^\d') then lpad(p, 12, '0') else lower(p) end), '') as key from files")
+@query("srt9_natural_order", r"select filename, array_to_string(list_transform(regexp_extract_all(filename, '(\d+|\D+)'), lambda p: case when regexp_matches(p, '^\d') then lpad(len(len(ltrim(p[:-2], '0') || right(p, 1))::varchar)::varchar, 2, '0') || len(ltrim(p[:-2], '0') || right(p, 1)) || ltrim(p[:-2], '0') || right(p, 1) else lower(p) end), '') as key from files")
 def _(c):
     return c.files.select("filename", tx.natural_key(F.col("filename")).alias("key"))
 
@@ -869,24 +876,76 @@ union all select id, 'description', unnest(regexp_extract_all(lower(strip_accent
 """
 
 
-def _postings(c: Catalogue, stem: bool = False) -> DataFrame:
-    return se.build_index(c.books, ("title", "description"), stem)
+_KEPT: dict[tuple, ti.TextIndex] = {}
+
+
+def _index(c: Catalogue, grams: bool = False) -> ti.TextIndex:
+    """The catalogue's index: written once a session and folder, as long as the folder's files stay the same."""
+    sources = [c.table(t) for t in ("documents", "labels")]
+    files = [(f, c.spark.sparkContext.applicationId) for df in sources for f in df.inputFiles()]
+    stamps = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_size"), F.col("_metadata.file_modification_time"))
+    seen = tuple(str(df.select(F.hash(stamps).alias("h")).distinct().agg(F.sum("h")).first()[0]) for df in sources)
+    key = (tuple(files), seen, grams)
+    if key not in _KEPT:
+        kept = ti.TextIndex.create(c.spark, new_path(c.spark, "text-index"), grams=grams)
+        _KEPT[key] = kept.add(se.with_tag_list(c.books, c.tags), "tag_list") if grams else kept.add(c.books)
+    return _KEPT[key]
+
+
+def _stem_sql(word: str = "token") -> str:
+    """The published stemmer as SQL over words of a relation ``words``: one step a relation, longest ending first. ``Y`` is
+    a y that counts as a consonant: the first letter, or one behind a vowel."""
+    vowel, other = "[aeiouy]", "[^aeiouy]"
+    some, more = f"^{other}*{vowel}+{other}", f"^{other}*{vowel}+{other}+{vowel}+{other}"
+    one = f"^{other}*{vowel}+{other}+{vowel}*$"
+    has = lambda x: f"regexp_matches({x}, '{vowel}')"
+    short = lambda x: f"regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouwxyY]$')"
+
+    def endings(table: dict[str, str], test: str, extra: dict[str, str] | None = None) -> str:
+        out = "case"
+        for end in sorted(table, key=len, reverse=True):
+            base = f"left(s, length(s) - {len(end)})"
+            also = f" and {(extra or {})[end].format(base)}" if end in (extra or {}) else ""
+            out += f" when ends_with(s, '{end}') then case when regexp_matches({base}, '{test}'){also} then {base} || '{table[end]}' else s end"
+        return out + " else s end"
+
+    mended = """case when regexp_matches(b, '(at|bl|iz)$') then b || 'e' when regexp_matches(b, '(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy|YY|yY|Yy)$') then left(b, length(b) - 1)
+      when regexp_matches(b, '{one}') and {short} then b || 'e' else b end""".format(one=one, short=short("b"))
+    cut = lambda n: f"left(s, length(s) - {n})"
+    steps = [
+        "case when ends_with(s, 'sses') then left(s, length(s) - 2) when ends_with(s, 'ies') then left(s, length(s) - 2) when ends_with(s, 'ss') then s when ends_with(s, 's') then left(s, length(s) - 1) else s end",
+        f"""case when ends_with(s, 'eed') then case when regexp_matches({cut(3)}, '{some}') then {cut(1)} else s end
+          when ends_with(s, 'ed') and {has(cut(2))} then (select {mended} from (select {cut(2)} as b))
+          when ends_with(s, 'ing') and {has(cut(3))} then (select {mended} from (select {cut(3)} as b)) else s end""",
+        f"case when lower(right(s, 1)) = 'y' and {has(cut(1))} then {cut(1)} || 'i' else s end",
+        endings(se._STEP2, some),
+        endings(se._STEP3, some),
+        endings(dict.fromkeys(se._STEP4, ""), more, {"ion": "regexp_matches({0}, '[st]$')"}),
+        f"case when ends_with(s, 'e') and (regexp_matches({cut(1)}, '{more}') or regexp_matches({cut(1)}, '{one}') and not {short(cut(1))}) then {cut(1)} else s end",
+        f"case when ends_with(s, 'll') and regexp_matches(s, '{more}') then {cut(1)} else s end",
+    ]
+    out = f"stem0 as (select {word} as word, regexp_replace({word}, '(^|[aeiou])y', '\\1Y', 'g') as s from words where regexp_full_match({word}, '[a-z]{{3,}}'))"
+    for k, step in enumerate(steps):
+        out += f",\nstem{k + 1} as (select word, {step} as s from stem{k})"
+    return out + f",\nstems as (select word, lower(s) as stem from stem{len(steps)} union all select {word}, {word} from words where not regexp_full_match({word}, '[a-z]{{3,}}'))"
 
 
 @query("fts1_index", _TOKENS + "select token, field, count(*) as tf, count(distinct doc_id) as df from tok group by all")
 def _(c):
-    return _postings(c).groupBy("token", "field").agg(F.count("*").alias("tf"), F.count_distinct("doc_id").alias("df"))
+    rows = _index(c).live().where(F.col("field").isin("title", "description"))
+    return rows.groupBy("token", "field").agg(F.sum(F.size("pos")).alias("tf"), F.count_distinct("doc_id").alias("df"))
 
 
-@query("fts2_stemmed_index")
+@query("fts2_stemmed_index", _TOKENS + ", words as (select distinct token from tok), " + _stem_sql() + " select stem as token, count(distinct doc_id) as df from tok join stems on word = token group by 1")
 def _(c):
-    return _postings(c, True).groupBy("token").agg(F.count_distinct("doc_id").alias("df"))
+    rows = _index(c).live().where(F.col("field").isin("title", "description"))
+    return rows.groupBy(F.col("stem").alias("token")).agg(F.count_distinct("doc_id").alias("df"))
 
 
 @query("agg12_index_health", _TOKENS + """select titled, indexed, indexed < 0.9 * titled as warn
 from (select count(*) filter (coalesce(title, '') <> '') as titled from books), (select count(distinct doc_id) as indexed from tok)""")
 def _(c):
-    return ag.index_health(c.books, _postings(c).select("doc_id").distinct())
+    return ag.index_health(c.books, _index(c).live().where(F.col("field").isin("title", "description")).select("doc_id").distinct())
 
 
 def _has(token: str) -> str:
@@ -895,23 +954,23 @@ def _has(token: str) -> str:
 
 @query("fts3_boolean", _TOKENS + f"select distinct doc_id from tok where {_has("= 'the'")} and ({_has("= 'was'")} or {_has("like 'ent%'")}) and not {_has("= 'from'")}")
 def _(c):
-    return se.match(_postings(c), "the (was OR ent*) NOT from", stem=False)
+    return se.match(_index(c).unstemmed(), "the (was OR ent*) NOT from")
 
 
 @query("fts3_column", _TOKENS + "select distinct doc_id from tok where field = 'title' and token = 'in'")
 def _(c):
-    return se.match(_postings(c), "title:in", stem=False)
+    return se.match(_index(c).unstemmed(), "title:in")
 
 
 @query("fts3_phrase", "select id as doc_id from books where regexp_matches(lower(strip_accents(description)), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') and (coalesce(title, '') <> '' or coalesce(authors, '') <> '')")
 def _(c):
-    return se.match(se.build_index(c.books, ("description",), False), '"of the"', stem=False)
+    return se.match(_index(c).unstemmed(), 'description:"of the"')
 
 
 @query("fts4_hybrid", _TOKENS.replace("'description', unnest(regexp_extract_all(lower(strip_accents(coalesce(description, '')))", "'rest', unnest(regexp_extract_all(lower(strip_accents(concat_ws(' ', description, authors, publisher, isbn)))")
   + f"select id from books where id in (select doc_id from tok where regexp_matches(token, '^heat(s|e|es|ed|ing|ings)?$')) or ({_like_sql('heated')})")
 def _(c):
-    return se.search(c.books, c.tags, se.SearchRequest(text="heated"), se.build_index(c.books)).select("id")
+    return se.search(c.books, c.tags, se.SearchRequest(text="heated"), _index(c)).select("id")
 
 
 @query("fts5_page_and_total", f"select id, count(*) over () as total from books where {_like_sql('tion')} order by id desc limit 20")
