@@ -112,26 +112,35 @@ INDEXED = ("title", "authors", "description", "publisher", "isbn")
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without the diacritics of the Latin script, composed or combining."""
-    marked, plain = _diacritics()
-    return F.regexp_extract_all(F.translate(F.lower(text), marked, plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, with the combining marks behind them; ``folded`` takes marks away."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36f}]*"), F.lit(0))
 
 
 @cache
-def _diacritics() -> tuple[str, str]:
-    """Marked letters and combining marks; plain letters for the former, nothing for the latter."""
-    latin = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and unicodedata.normalize("NFD", c) != c]
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    return "".join(latin) + marks, "".join(unicodedata.normalize("NFD", c)[0] for c in latin)
+def _plain_letters() -> dict[int, str]:
+    """Letters of the Latin script with marks to those without, and combining marks to nothing."""
+    latin = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c) != c]
+    return {ord(c): unicodedata.normalize("NFD", c)[0] for c in latin} | dict.fromkeys(range(0x300, 0x370), "")
+
+
+def folded(word: str) -> str:
+    """A word without the diacritics of the Latin script, composed or combining."""
+    return word if word.isascii() else word.translate(_plain_letters())
+
+
+_KINDS = str.maketrans(dict.fromkeys("aeiou", "v") | dict.fromkeys("bcdfghjklmnpqrstvwxz", "c"))
 
 
 def _form(word: str) -> str:
     """``v`` or ``c`` for each letter; a y behind a consonant is a vowel."""
-    return "".join("v" if c in "aeiou" or c == "y" and i and word[i - 1] not in "aeiou" else "c" for i, c in enumerate(word))
+    form = word.translate(_KINDS)
+    while (at := form.find("y")) >= 0:
+        form = form[:at] + ("v" if at and word[at - 1] not in "aeiou" else "c") + form[at + 1 :]
+    return form
 
 
 def _measure(word: str) -> int:
-    return len(re.findall("v+c+", _form(word)))
+    return _form(word).count("vc")
 
 
 def _has_vowel(word: str) -> bool:
@@ -147,6 +156,9 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
+_STEP2_ENDS, _STEP3_ENDS, _STEP4_ENDS = (tuple(sorted(t, key=len, reverse=True)) for t in (_STEP2, _STEP3, _STEP4))
+
+
 def porter_stem(word: str) -> str:
     """Porter's published suffix-stripping algorithm (1980)."""
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
@@ -171,13 +183,13 @@ def porter_stem(word: str) -> str:
                 break
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end in sorted(table, key=len, reverse=True):
+    for table, ends in ((_STEP2, _STEP2_ENDS), (_STEP3, _STEP3_ENDS)):
+        for end in ends if word.endswith(ends) else ():
             if word.endswith(end):
                 if _measure(word[: -len(end)]) > 0:
                     word = word[: -len(end)] + table[end]
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in _STEP4_ENDS if word.endswith(_STEP4_ENDS) else ():
         if word.endswith(end):
             base = word[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
@@ -248,9 +260,7 @@ def _parse(query: str) -> list | None:
 
 
 def _plain_tokens(text: str) -> list[str]:
-    marked, plain = _diacritics()
-    table = dict(zip(map(ord, marked), plain)) | {ord(c): None for c in marked[len(plain) :]}
-    return re.findall(r"[^\W_]+", text.lower().translate(table))
+    return re.findall(r"[^\W_]+", folded(text.lower()))
 
 
 def match(postings: Postings, query: str) -> DataFrame | None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.operators.search import INDEXED, SEARCHED, porter_stem, tokens
+from tomewright.operators.search import INDEXED, SEARCHED, folded, porter_stem, tokens
 
 GRAMS = "gram long, doc_id long"
 POSTINGS = "stem string, token string, field string, doc_id long, pos array<int>"
@@ -38,7 +38,7 @@ def bucket_of(stem: Column, buckets: int) -> Column:
 def grouped_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of doc_id, field, tokens to postings: each distinct word of a field once, with its places in order.
 
-    Words are numbered a batch at a time, so only distinct ones are stemmed.
+    Words are numbered a batch at a time, so only distinct ones lose their marks and are stemmed.
     """
     for batch in batches:
         ids, fields, lists = batch.columns
@@ -47,8 +47,8 @@ def grouped_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         sizes = np.diff(offsets)
         row = np.repeat(np.arange(len(sizes)), sizes)
         place = (np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)).astype(np.int32)
-        kinds = words.dictionary
-        code = words.indices.to_numpy()
+        plain = pa.array([folded(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        kinds, code = plain.dictionary, plain.indices.to_numpy()[words.indices.to_numpy()]
         key = row * max(1, len(kinds)) + code
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else np.zeros(0, np.int64)
