@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tomewright.functions import text as tx
-from tomewright.operators import classify, dedup, feeds, search
+from tomewright.operators import dedup, feeds, search
 from tomewright.plans import registry
 from tomewright.sources import catalogue, config, files
 from tomewright.streaming import inbox
@@ -178,15 +178,6 @@ def test_resolution_keeps_every_row_once(spark):
     assert again.count() == 0
 
 
-def test_weights_sum_to_100():
-    import re as _re
-
-    compiled = [(str(k), str(k), [(_re.compile(w), 1.0)]) for k, w in enumerate("abc")]
-    assert [r[3] for r in classify.score_texts([("a b c", 1.0)], compiled)] == [34, 33, 33]
-    assert classify.score_texts([], compiled) == [("000", "Generalities", 0.0, 100)]
-    assert classify.score_texts([("жизнь", 3.0)], compiled)[0][0] == "891"
-
-
 @pytest.mark.parametrize(("word", "stem"), [("running", "run"), ("runs", "run"), ("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("agreed", "agre"), ("happy", "happi"), ("controll", "control"), ("rate", "rate"), ("lyoned", "lyon"), ("enjoyed", "enjoi"), ("filing", "file")])
 def test_porter(word, stem):
     assert search.porter_stem(word) == stem

@@ -714,12 +714,50 @@ def _(c):
     return cl.classify(c.books)
 
 
-@query("cls5_scripts", "select * from (values ('жизнь', '891'), ('λόγος', '880'), ('日本語', '895'), ('zzz', '000')) v(title, udc_code)")
+_LEARNED = r"""learned_words as (select id, subjects as code, unnest(list_distinct(regexp_extract_all(lower(description), '\p{L}{3,}'))) as word from books where subjects is not null),
+sizes as (select subjects as code, count(*) as size, (sum(count(*)) over ())::bigint as total from books where subjects is not null group by 1),
+counts as (select code, word, count(*) as books from learned_words group by all),
+seen as (select word, sum(books)::bigint as seen from counts group by 1),
+learned as (select code, word as pattern, books, round((books * total)::double / (seen * size)::double, 4) as weight,
+    row_number() over (partition by code order by books * total - seen * size desc, word) as rank
+  from counts join seen using (word) join sizes using (code) where books >= 5 and books * total > seen * size qualify rank <= 25)
+"""
+
+
+def _learned(c: Catalogue) -> DataFrame:
+    return cl.learned_taxonomy(c.books, F.col("subjects"), F.col("description"))
+
+
+@query("cls1_learned_taxonomy", f"with {_LEARNED} select code, pattern, books, weight, rank::int as rank from learned")
+def _(c):
+    return _learned(c)
+
+
+@query("cls3_learned_scores", f"with {_LEARNED}" + rf""", s0 as ({_SIGNALS} union all select id, lower(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '[_\-+]+', ' ', 'g')), {cl.SIGNALS["filename"]} from books),
+lw as (select id, m, unnest(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'))) as word from s0),
+h as (select id, code, round(sum(weight * m), 6) as score from lw join learned on word = pattern group by all),
+r as (select *, row_number() over (partition by id order by score desc, code) as rank from h)
+select id, code as udc_code, rank::int as rank, score from r where rank <= 5
+union all select id, '000', 1, 0.0 from books where id not in (select id from h)""")
+def _(c):
+    scores = cl.classify(c.books, cl.taxonomy_of(_learned(c)))
+    return scores.select("id", "udc_code", "rank", "score")
+
+
+_ALPHABETS = ("абвгдежзиклмнопрстуфхцчшщэ", "αβγδεζηθικλμνξοπρστυφχψως", "日月火水木金土山川田人口目耳手足力刀心文学本村町空雨雪")
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("cls5_scripts", "select p_partkey, case p_partkey % 4 when 0 then '891' when 1 then '880' when 2 then '895' else '000' end as udc_code from part")
 def _(c):
-    rows = c.spark.createDataFrame(list(enumerate(("жизнь", "λόγος", "日本語", "zzz"))), "id bigint, title string")
+    # titles in other scripts: the parts' names, letter for letter
+    kind, name = F.col("p_partkey") % 4, F.col("p_name")
+    title = F.when(kind == 3, F.col("p_partkey").cast("string"))
+    for k, letters in enumerate(_ALPHABETS):
+        title = title.when(kind == k, F.translate(F.lower(name), _LATIN, letters))
     blank = {k: F.lit(None).cast("string") for k in cl.SIGNALS if k != "title"}
-    found = cl.classify(rows.withColumns(blank))
-    return found.join(rows, "id").select("title", "udc_code")
+    rows = c.table("part").select(F.col("p_partkey").alias("id"), title.alias("title")).withColumns(blank)
+    return cl.classify(rows).select(F.col("id").alias("p_partkey"), "udc_code")
 
 
 @query("cls6_primary", CLASSIFY + "select id, udc_code, udc_label from every where rank = 1")
