@@ -10,8 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomewright.llm import hard_negatives as hn
-from tomewright.llm import hash_ring
+from tomewright.llm import hash_ring, language_id, quality_classifier
+from tomewright.llm.features import row_key, sample_per_class
 from tomewright.llm.hash_ring import assign_shards, place_points, ring_nodes
+from tomewright.llm.language_id import fit_language_model, identify_language
+from tomewright.llm.quality_classifier import fit_quality_index
 from tomewright.llm.turn_reassembly import reassemble_conversations, turn_batches
 
 DOCS = "doc_id bigint, text string, size string, shard string, h string"
@@ -183,3 +186,89 @@ def test_turn_batches_take_odd_rows_and_no_rows(spark):
     assert {r.payload for r in got if r.turn == 0} <= {"|", "user|"}
     empty = turn_batches(spark.createDataFrame([], schema))
     assert reassemble_conversations(empty, 1).count() == 0
+
+
+def test_samples_are_bounded_in_rows_and_learn_every_language(spark):
+    rows = [(1, "hot", f"der die das {i}", "x") for i in range(3000)] + [(2, "hot", "the same", "x")] * 3000
+    rows += [(1, "rare", f"el la los {i}", "x") for i in range(40)] + [(None, "none", f"le la les {i}", "x") for i in range(40)]
+    rows += [(10 + i, f"l{i}", f"abc{i}", "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string, key string").repartition(5)
+    model = fit_language_model(df)
+    assert {"hot", "rare", "none", "l0", "l299"} <= set(model.languages) and len(model.languages) == 303
+    keyed = df.select("lang", row_key("doc_id", "text").alias("key"))
+    counts = {r.lang: r["count"] for r in sample_per_class(keyed, "lang", "key", 100, 10**6).distinct().groupBy("lang").count().collect()}
+    assert 60 < counts["hot"] < 140 and counts["rare"] == counts["none"] == 40
+    few = sample_per_class(keyed, "lang", "key", 100, 606).distinct().groupBy("lang").count()
+    assert few.agg(F.sum("count")).first()[0] < 800
+    labels = df.select("doc_id", F.lit(1).alias("quality")).distinct().union(spark.createDataFrame([(10, 0), (11, 0)], "doc_id bigint, quality int"))
+    index = fit_quality_index(df, labels)
+    assert len(index.vectors) < 1.2 * quality_classifier.PER_CLASS
+
+
+def plain_averages(text):
+    """Bucket shares of a text's byte n-grams, by the definition."""
+    raw = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    counts = np.zeros(1 << language_id.BITS)
+    for size in language_id.SIZES:
+        for k in range(len(raw) - size + 1):
+            code = 0
+            for c in raw[k : k + size]:
+                code = (code * 257 + c) % 2**32
+            counts[(code + size) * 2654435761 % 2**32 >> (32 - language_id.BITS)] += 1
+    return counts / max(1, counts.sum())
+
+
+def test_language_scores_equal_plain_averages_and_softmax(spark):
+    rng = random.Random(9)
+    words = {"aa": ["der", "die", "Das", "und"], "bb": ["the", "of", "AND", "été"], "cc": ["los", "que"]}
+    rows = [(i, lang, " ".join(rng.choices(words[lang], k=rng.randint(1, 20))), "x") for i, lang in enumerate(rng.choices(list(words), k=300))]
+    odd = [(900, None, None, "x"), (901, None, "", "x"), (902, None, "12 !", "x"), (903, None, "über die " * 50_000, "x"), (None, None, "the\tof", "x")] + [(904, None, "que", "x")] * 1500
+    schema = "doc_id bigint, lang string, text string, score string"
+    model = fit_language_model(spark.createDataFrame(rows, schema))
+    for r in identify_language(spark.createDataFrame(rows[:40] + odd, schema), model).distinct().collect():
+        text = {x[0]: x[2] for x in rows + odd}[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+            continue
+        z = (plain_averages(text) @ model.embedding.astype(float) @ model.weight.astype(float) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[p.argmax()] and abs(r.score - p.max()) < 1e-3
+        assert r.accepted == (r.score >= model.threshold)
+
+
+def test_language_training_follows_the_gradient(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((30, 64)).astype(np.float32)
+    x /= x.sum(1, keepdims=True)
+    y = rng.integers(0, 3, 30)
+    monkeypatch.setattr(language_id, "EPOCHS", 2)
+    got = language_id.train(x, y, ["a", "b", "c"])
+    draw = np.random.default_rng(language_id.SEED)
+    order = draw.permutation(30)
+    fit = order[6:]
+    e = draw.normal(0, 0.1, (64, language_id.WIDTH)).astype(np.float32).astype(float)
+    w, b = draw.normal(0, 0.1, (language_id.WIDTH, 3)).astype(np.float32).astype(float), np.zeros(3)
+
+    def loss(e, w, b, rows):
+        z = x[rows].astype(float) @ e @ w + b
+        return np.mean([np.log(np.exp(z[i]).sum()) - z[i, y[r]] for i, r in enumerate(rows)])
+
+    def slope(at, rows):
+        out = [np.zeros_like(p) for p in at]
+        for p, g in zip(at, out):
+            for k in np.ndindex(p.shape):
+                p[k] += 1e-5
+                high = loss(*at, rows)
+                p[k] -= 2e-5
+                g[k] = (high - loss(*at, rows)) / 2e-5
+                p[k] += 1e-5
+        return out
+
+    for epoch in range(2):
+        rate = language_id.RATE * (1 - epoch / 2)
+        fit = draw.permutation(fit)
+        for k in range(0, len(fit), language_id.BATCH):
+            ge, gw, gb = slope([e, w, b], fit[k : k + language_id.BATCH])
+            e, w, b = e - 10 * rate * ge, w - 0.1 * rate * gw, b - 0.1 * rate * gb
+    for mine, plain in ((got.embedding, e), (got.weight, w), (got.bias, b)):
+        assert np.allclose(mine, plain, atol=2e-3)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm import textnum as tn
+from tomewright.llm.common import stage_table
 
 _MULTIPLIER = np.uint32(2654435761)
 
@@ -30,12 +31,20 @@ def subword_counts(data: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...],
     return out.reshape(n, 1 << bits)
 
 
-def sample_per_class(rows: DataFrame, class_col: str, id_col: str, most: int, classes: int = 256) -> DataFrame:
-    """About ``most`` rows of each of the ``classes`` commonest classes, by a hash of the id; twice that at the utmost.
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's number for drawing: rows of one id and different texts differ, equal rows don't."""
+    return F.xxhash64(id_col, text_col, F.lit(99))
 
-    ``rows`` has small columns only. The same rows give the same sample, whatever their partitions.
-    """
-    rows = rows.where(F.col(class_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = rows.groupBy(class_col).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), class_col).limit(classes)
-    draw = F.pmod(F.xxhash64(id_col, F.lit(99)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return rows.join(F.broadcast(sizes), class_col).where(draw * F.col("_n") < most).drop("_n").limit(2 * most * classes)
+
+def sample_per_class(rows: DataFrame, class_col: str, key_col: str, most: int, total: int) -> DataFrame:
+    """The rows of about ``most`` keys of each class, of fewer where there are so many classes that all together would
+    pass ``total``. Drawn by the key, so the same rows give the same sample whatever their partitions; classes are
+    counted in keys, so repeated rows neither crowd others out nor add up."""
+    rows = rows.where(F.col(class_col).isNotNull())
+    sizes = stage_table(rows.groupBy(class_col).agg(F.approx_count_distinct(key_col, 0.01).alias("_n")), "class-sizes")
+    classes = sizes.count()
+    most = min(most, max(1, total // max(1, classes)))
+    # of more classes than rows may be drawn, a part
+    sizes = sizes.where(F.pmod(F.xxhash64(class_col), F.lit(1 << 20)) < F.lit(min(1.0, total / max(1, classes)) * (1 << 20)))
+    draw = F.pmod(F.col(key_col), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    return rows.join(sizes, class_col).where(draw * F.col("_n") < most).drop("_n")

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tomewright.llm import textnum as tn
 from tomewright.llm.common import crc_mod, only, read_table
-from tomewright.llm.features import sample_per_class, subword_counts
+from tomewright.llm.features import row_key, sample_per_class, subword_counts
 
 #: log2 of subword buckets, byte n-gram sizes, embedding width, and rows of a language that the model is fitted on.
 BITS, SIZES, WIDTH, PER_LANGUAGE = 11, (2, 3), 16, 600
+#: Rows of the sample of all languages; texts whose dense counts a task holds at a time.
+ROWS, TEXTS = 20_000, 1024
 EPOCHS, BATCH, RATE, SEED = 40, 64, 8.0, 13
 #: Accuracy on calibration rows that accepted predictions must reach.
 ACCEPT_ACCURACY = 0.995
@@ -73,20 +75,20 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = SEED)
 
 
 def fit_language_model(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Model from texts with a known language: at most about ``PER_LANGUAGE`` rows of each of 256 languages."""
-    rows = only(rows, id_col, lang_col, text_col).toDF("id", "lang", "text")
-    # a bounded sample: at most 256 x 2 x PER_LANGUAGE ids
-    chosen = sample_per_class(rows.select("id", "lang"), "lang", "id", PER_LANGUAGE).select("id").distinct()
+    """Model from different texts with a known language: about ``PER_LANGUAGE`` of each, of fewer where there are so many
+    languages that they would pass ``ROWS``."""
+    rows = only(rows, id_col, lang_col, text_col).toDF("id", "lang", "text").withColumn("key", row_key("id", "text"))
+    chosen = sample_per_class(rows, "lang", "key", PER_LANGUAGE, ROWS).groupBy("lang", "key").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = tn.buffers(batch.column(1))
-            for i, j in tn.pieces(data, bounds):
+            for i, j in tn.pieces(data, bounds, texts=TEXTS):
                 x = subword_counts(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], SIZES, BITS, True)
                 x = [row.tobytes() for row in _averages(x)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    sample = rows.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "id", "left_semi").select("lang", "text").mapInArrow(count, "lang string, x binary").toPandas()
+    sample = chosen.select("lang", "text").mapInArrow(count, "lang string, x binary").toPandas()
     if not len(sample):
         return None
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), -1)
@@ -112,7 +114,7 @@ def identify_language(docs: DataFrame, model: Model | None, id_col: str = "doc_i
         for batch in batches:
             data, bounds = tn.buffers(batch.column(1))
             letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in tn.pieces(data, bounds):
+            for i, j in tn.pieces(data, bounds, texts=TEXTS):
                 best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
                 known = letter[i:j] & (m is not None)
                 if m is not None:

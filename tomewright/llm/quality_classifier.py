@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tomewright.llm import textnum as tn
 from tomewright.llm.common import crc_mod, only, read_table
-from tomewright.llm.features import sample_per_class, subword_counts
+from tomewright.llm.features import row_key, sample_per_class, subword_counts
 
 #: log2 of byte trigram buckets, latent rank, neighbours, power of the similarity in a vote, labelled rows of a class.
 BITS, RANK, NEIGHBOURS, POWER, PER_CLASS = 10, 48, 15, 4, 1500
@@ -102,7 +102,9 @@ def fit_quality_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     df, total = term_frequencies(docs, text_col)
     weight = np.log((total + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
     rows = only(labels, id_col, label_col).toDF("id", "label").where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
-    chosen = sample_per_class(rows, "label", "id", PER_CLASS, 2)  # bounded: at most 4 x PER_CLASS ids
+    keyed = only(docs, id_col, text_col).toDF("id", "text").withColumn("key", row_key("id", "text"))
+    # about PER_CLASS keys of either label, whatever their ids
+    chosen = sample_per_class(keyed.select("id", "key").join(rows, "id"), "label", "key", PER_CLASS, 2 * PER_CLASS).select("label", "key").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def fit_quality_index(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                 rows = [r.tobytes() for r in _vectors(x, weight)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], names=["label", "x"])
 
-    texts = only(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id").select(F.col("label").cast("int"), "text")
+    texts = keyed.join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("label").cast("int").alias("label"), F.first("text").alias("text")).select("label", "text")
     sample = texts.mapInArrow(count, "label int, x binary").toPandas().sort_values(["label", "x"])
     if not len(sample):
         return None

@@ -72,13 +72,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(data: np.ndarray, bounds: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes each."""
+def pieces(data: np.ndarray, bounds: np.ndarray, most: int = PIECE_BYTES, texts: int = 1 << 40) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes, and of at most ``texts`` texts, each."""
     i, n = 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = j
+        yield i, min(j, n, i + texts)
+        i = min(j, i + texts)
 
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
