@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import clean_filename, extension, folder_tag, from_filename, stem, truthy
-from tomewright.operators.dedup import duplicate_groups, equal_titles, similar_titles
+from tomewright.operators.dedup import duplicate_groups, equal_titles, shelf_titles, similar_titles
+from tomewright.operators.ordering import numbered
+
+
+#: What a file can tell of a book.
+REEXTRACTED = ("title", "authors", "publisher", "isbn", "language", "pages", "year", "description")
 
 
 def orphans(listing: DataFrame, files: DataFrame) -> DataFrame:
@@ -45,8 +50,9 @@ def audit(books: DataFrame, listing: DataFrame) -> DataFrame:
     rows = seen.select("id", F.col("source_path").alias("path"), F.explode(findings).alias("f")).select("f.finding", "id", "path", "f.detail")
     lost = orphans(listing, books).select(F.lit("orphan").alias("finding"), F.lit(None).cast("bigint").alias("id"), "path", F.col("length").cast("string").alias("detail"))
     same = duplicate_groups(books).select(F.lit("duplicate").alias("finding"), F.col("first_id").alias("id"), F.lit("").alias("path"), F.col("n").cast("string").alias("detail"))
-    like = similar_titles(books).select(F.lit("similar").alias("finding"), F.col("id_a").alias("id"), F.lit("").alias("path"), F.col("id_b").cast("string").alias("detail"))
-    named = equal_titles(books).select(F.lit("equal_title").alias("finding"), "id", F.lit("").alias("path"), F.col("master_id").cast("string").alias("detail"))
+    titles = shelf_titles(books)
+    like = similar_titles(titles).select(F.lit("similar").alias("finding"), F.col("id_a").alias("id"), F.lit("").alias("path"), F.col("id_b").cast("string").alias("detail"))
+    named = equal_titles(titles).select(F.lit("equal_title").alias("finding"), "id", F.lit("").alias("path"), F.col("master_id").cast("string").alias("detail"))
     return rows.unionByName(lost).unionByName(same).unionByName(named).unionByName(like)
 
 
@@ -98,11 +104,18 @@ def copy_plan(survivors: DataFrame) -> DataFrame:
     return rows.select("id", "src", F.when(F.col("id") == F.col("first"), F.col("name")).otherwise(tagged).alias("dest"))
 
 
-def move_plan(files: DataFrame, root: str) -> DataFrame:
-    """Originals to ``processed/`` once copied, else to ``archive/``, below which paths stay relative to the root."""
+def move_plan(files: DataFrame, root: str, taken: DataFrame | None = None) -> DataFrame:
+    """Originals to ``processed/`` once copied, else to ``archive/``, below which paths stay relative to the root. Where
+    ``taken`` (a column dest) has that path already, the name gets ``_id``."""
     inside = files.where(F.col("source_path").startswith(root.rstrip("/") + "/"))
     target = F.when(F.col("stage") == "copied", "processed").otherwise("archive")
-    return inside.select("id", F.col("source_path").alias("src"), F.concat(target, F.lit("/"), F.substring("source_path", len(root.rstrip("/")) + 2, 1 << 20)).alias("dest"))
+    plan = inside.select("id", F.col("source_path").alias("src"), F.concat(target, F.lit("/"), F.substring("source_path", len(root.rstrip("/")) + 2, 1 << 20)).alias("dest"))
+    if taken is None:
+        return plan
+    held = taken.select("dest", F.lit(True).alias("_held")).distinct()
+    name = F.regexp_extract("dest", r"([^/]*)$", 1)
+    other = F.concat(F.regexp_replace("dest", r"[^/]*$", ""), stem(name), F.lit("_"), F.col("id").cast("string"), extension(name))
+    return plan.join(held, "dest", "left").select("id", "src", F.when(F.col("_held"), other).otherwise(F.col("dest")).alias("dest"))
 
 
 def layout_plan(files: DataFrame, listing: DataFrame) -> DataFrame:
@@ -115,14 +128,52 @@ def layout_plan(files: DataFrame, listing: DataFrame) -> DataFrame:
     twin = lost.join(masters, "file_hash", "left_semi").select("path", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("dest"))
     moved = lost.join(masters, "file_hash", "left_anti").select("path", F.lit("orphans").alias("target"))
     claims = known.unionByName(moved).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
-    # a name's claims are numbered in path order, which is one task a name
-    k = F.row_number().over(Window.partitionBy("target", F.lower("name")).orderBy("path"))
-    claims = claims.withColumn("k", k)
-    numbered = F.concat(stem(F.col("name")), F.lit(" ("), (F.col("k") - 1).cast("string"), F.lit(")"), extension(F.col("name")))
-    dest = F.concat("target", F.lit("/"), F.when(F.col("k") == 1, F.col("name")).otherwise(numbered))
+    claims = numbered(claims.withColumn("low", F.lower("name")), ["target", "low"], [F.col("path")])
+    later = F.concat(stem(F.col("name")), F.lit(" ("), (F.col("k") - 1).cast("string"), F.lit(")"), extension(F.col("name")))
+    dest = F.concat("target", F.lit("/"), F.when(F.col("k") == 1, F.col("name")).otherwise(later))
     return claims.select("path", F.lit("move").alias("action"), dest.alias("dest")).unionByName(twin)
 
 
+def ancestors(path: Column, root: str) -> Column:
+    """All folders above a path, below the root, the highest first; none for what lies elsewhere."""
+    top = root.rstrip("/") + "/"
+    parts = F.split(F.substring(path, len(top) + 1, 1 << 20), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit(top), F.array_join(F.slice(parts, 1, k), "/")))
+    return F.when(path.startswith(top) & (F.size(parts) > 1), above).otherwise(F.array().cast("array<string>"))
+
+
+def folder_tree(listing: DataFrame, root: str, gone: DataFrame) -> DataFrame:
+    """``folder, depth, files, leaving``: for each folder below the root, how many files lie in it or below it, and how
+    many of these ``gone`` (by path) takes away. A file counts for all folders above it, by partial aggregates."""
+    rows = listing.select("path").join(gone.select("path", F.lit(1).alias("_gone")).distinct(), "path", "left")
+    each = rows.select(F.explode(ancestors(F.col("path"), root)).alias("folder"), "_gone")
+    counts = each.groupBy("folder").agg(F.count("*").alias("files"), F.count("_gone").alias("leaving"))
+    depth = F.size(F.split("folder", "/")) - len(root.rstrip("/").split("/"))
+    return counts.select("folder", depth.alias("depth"), "files", "leaving")
+
+
+def emptied_folders(listing: DataFrame, root: str, gone: DataFrame) -> DataFrame:
+    """``step, folder, depth``: folders that are empty once ``gone`` has left, the deepest first, so that each is empty
+    when its turn comes."""
+    empty = folder_tree(listing, root, gone).where("files = leaving").select("folder", "depth")
+    return numbered(empty.withColumn("_all", F.lit(0)), ["_all"], [F.desc("depth"), F.col("folder")], "step").select("step", "folder", "depth")
+
+
+def remove_folders(spark: SparkSession, steps: DataFrame) -> list[tuple[str, str]]:
+    """Remove the folders of ``emptied_folders`` by depth; what isn't empty after all stays. ``(folder, outcome)``."""
+    jvm, out = spark.sparkContext._jvm, []
+    for r in steps.orderBy("step").toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(r.folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            out.append((r.folder, "absent"))
+        elif len(fs.listStatus(at)):
+            out.append((r.folder, "kept"))
+        else:
+            out.append((r.folder, "removed" if fs.delete(at, False) else "failed"))
+    return out
+
+
 def backfill_series(books: DataFrame) -> DataFrame:
     """``id, series, series_num, volume, issue`` parsed from file names, only where that changes something."""
     names = ("series", "series_num", "volume", "issue")
@@ -142,6 +193,11 @@ def folder_tags(files: DataFrame, tags: DataFrame, root: str) -> DataFrame:
     return new.join(old, ["file_id", "tag"], "left_anti")
 
 
+def without_custom_tags(tags: DataFrame) -> DataFrame:
+    """The tags after ``folder_tags`` is taken back: no custom tag stays."""
+    return tags.where(~F.col("tag_type").eqNullSafe(F.lit("custom")))
+
+
 # --- lookups --------------------------------------------------------------------------------------
 
 
@@ -159,6 +215,21 @@ def recent_log(log: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
     return met.select("id", "file_id", "filename", "stage", "status").orderBy(F.desc("id")).limit(limit)
 
 
+def reextracted(old: DataFrame, found: DataFrame) -> DataFrame:
+    """Metadata of books after their files were read anew: ``old`` (file_id, the metadata, enrich_source) and ``found``
+    (file_id and what ``catalogued`` gives of the file).
+
+    What the file gives replaces what was there, and blanks don't; a book that was corrected by hand keeps its row. A
+    file that couldn't be read changes nothing. ``enrich_source`` tells whether the title is the file's or its name's.
+    """
+    new = found.where("error is null").select("file_id", *[F.col(c).alias(f"_{c}") for c in REEXTRACTED], F.col("title_is_stem").alias("_stem"))
+    by_hand = F.coalesce(F.col("enrich_source") == "manual", F.lit(False))
+    value = lambda c: F.coalesce(F.when(~by_hand & truthy(F.col(f"_{c}").cast("string")), F.col(f"_{c}")), F.col(c)).alias(c)
+    source = F.when(F.col("_stem").isNull() | by_hand, F.col("enrich_source")).when(F.col("_stem"), "filename").otherwise("embedded")
+    rest = [c for c in old.columns if c not in (*REEXTRACTED, "enrich_source")]
+    return old.join(new, "file_id", "left").select(*rest, *map(value, REEXTRACTED), source.alias("enrich_source"))
+
+
 def survivors(files: DataFrame, metadata: DataFrame) -> DataFrame:
     return files.where("stage = 'survivor'").join(metadata, files.id == metadata.file_id).select("id", "filename", "title", "authors")
 

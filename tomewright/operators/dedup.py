@@ -100,10 +100,6 @@ def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: fl
     return ordered.mapInArrow(run, "id bigint, master_id bigint, ratio double, ambiguous boolean")
 
 
-def blocks_by_size(books: DataFrame, block: list[Column]) -> DataFrame:
-    return books.groupBy(*[c.alias(f"b{k}") for k, c in enumerate(block)]).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"))
-
-
 def author_key() -> Column:
     return F.lower(F.trim(F.coalesce("authors", F.lit(""))))
 
@@ -198,30 +194,38 @@ def title_words() -> Column:
 
 
 def shelf_titles(books: DataFrame) -> DataFrame:
-    """``id, norm, words``: normalised titles, of the file's name where there is no title; those without a word go."""
+    """``id, norm, words``, written once: normalised titles, of the file's name where there is no title; those without a
+    word go. What asks for titles takes this relation in the place of books."""
+    if "words" in books.columns:
+        return books
     name = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("filename"))
-    return books.select("id", normalize_title(name).alias("norm")).withColumn("words", title_words()).where(F.size("words") > 0)
+    rows = books.select("id", normalize_title(name).alias("norm")).withColumn("words", title_words())
+    return staged(rows.where(F.size("words") > 0), "shelf-titles")
 
 
-def title_candidates(books: DataFrame, jaccard: float = 0.8) -> DataFrame:
+def title_candidates(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.0) -> DataFrame:
     """``id_a, n_a, norm_a, id_b, n_b, norm_b, jaccard``: titles with a common eight-letter beginning and like words
-    (length three or more), each by its least id and the number of its files.
+    (length three or more), each by its least id and the number of its files; those too unlike in length for the
+    threshold are left out.
 
     Two sets at a Jaccard similarity s share one of the first (1 - s) n + 1 of the words of either in any one order, so
     titles meet in those: in the order of the corpus's counts, rarest first, so that no common word is a meeting place.
     """
     titles = shelf_titles(books).groupBy("norm").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.count("*").alias("n"))
-    titles = titles.withColumn("block", F.left("norm", F.lit(8)))
+    titles = staged(titles.withColumn("block", F.left("norm", F.lit(8))), "title-kinds")
     counts = titles.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
-    each = titles.select("norm", F.explode("words").alias("word")).join(counts, "word")
-    ordered = each.groupBy("norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "word"))), lambda x: x["word"]).alias("ordered"))
+    each = titles.select("id", F.explode("words").alias("word")).join(counts, "word")
+    ordered = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "word"))), lambda x: x["word"]).alias("ordered"))
     # one word more than the bound asks for, against rounding
     few = F.least(F.size("words"), F.floor((1 - jaccard) * F.size("words")).cast("int") + 2)
-    met = titles.join(ordered, "norm").select("*", F.explode(F.slice("ordered", F.lit(1), few)).alias("meet")).drop("ordered")
+    met = titles.join(ordered, "id").select("*", F.explode(F.slice("ordered", F.lit(1), few)).alias("meet")).drop("ordered")
+    met = staged(met, "title-meetings")
     a = met.select("block", "meet", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "norm", "words")])
     b = met.select("block", "meet", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "norm", "words")])
     share = F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b"))
-    pairs = a.join(b, ["block", "meet"]).where("id_a < id_b").withColumn("jaccard", share).where(F.col("jaccard") >= jaccard)
+    long, short = F.greatest(F.length("norm_a"), F.length("norm_b")), F.least(F.length("norm_a"), F.length("norm_b"))
+    near = (F.col("id_a") < F.col("id_b")) & (2 * short >= threshold * (long + short))
+    pairs = a.join(b, ["block", "meet"]).where(near).withColumn("jaccard", share).where(F.col("jaccard") >= jaccard)
     return pairs.select("id_a", "n_a", "norm_a", "id_b", "n_b", "norm_b", F.round("jaccard", 6).alias("jaccard")).distinct()
 
 
@@ -231,7 +235,7 @@ def similar_titles(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.
     A title is its least id and the number of its files; ``equal_titles`` tells the files, so no group of copies makes
     pairs and no link is lost.
     """
-    pairs = title_candidates(books, jaccard).withColumn("ratio", title_similarity("norm_a", "norm_b")).where(F.col("ratio") >= threshold)
+    pairs = title_candidates(books, jaccard, threshold).withColumn("ratio", title_similarity("norm_a", "norm_b")).where(F.col("ratio") >= threshold)
     return pairs.select("id_a", "n_a", "id_b", "n_b", "jaccard", F.round("ratio", 6).alias("ratio"))
 
 
@@ -245,8 +249,9 @@ def equal_titles(books: DataFrame) -> DataFrame:
 def title_duplicates(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
     """``id, master_id, kind``: files of like titles, by the audit's two limits: of an equal title (``equal``), by the
     least id; of titles that differ, the least ids (``similar``)."""
-    near = similar_titles(books, jaccard, threshold).select(F.col("id_b").alias("id"), F.col("id_a").alias("master_id"), F.lit("similar").alias("kind"))
-    return equal_titles(books).select("id", "master_id", F.lit("equal").alias("kind")).unionByName(near)
+    titles = shelf_titles(books)
+    near = similar_titles(titles, jaccard, threshold).select(F.col("id_b").alias("id"), F.col("id_a").alias("master_id"), F.lit("similar").alias("kind"))
+    return equal_titles(titles).select("id", "master_id", F.lit("equal").alias("kind")).unionByName(near)
 
 
 def first_arrivals(files: DataFrame) -> DataFrame:

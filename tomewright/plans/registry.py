@@ -14,6 +14,7 @@ from tomewright.operators import classify as cl
 from tomewright.operators import dedup as dd
 from tomewright.operators import feeds as fd
 from tomewright.operators import merge as mg
+from tomewright.operators import ordering as od
 from tomewright.operators import search as se
 from tomewright.operators import textindex as ti
 from tomewright.sources.catalogue import Catalogue, duck_views
@@ -251,6 +252,11 @@ def _(c):
     return se.page(c.files.select("id").orderBy("id"), 25, 100)
 
 
+@query("srt3_deep_page", "select id, title from books order by title desc nulls last, id limit 25 offset 333")
+def _(c):
+    return od.Pages(c.books.select("id", "title"), [F.desc_nulls_last("title"), F.asc("id")]).page(25, 333)
+
+
 @query("srt4_look_ahead", "select id, true as has_next from files order by id limit 10")
 def _(c):
     return se.page_with_next(c.files.select("id"), [F.asc("id")], 10)
@@ -1022,11 +1028,11 @@ def _(c):
     return se.search_tags(c.files.select("id"), c.tags, "00")
 
 
-@query("fts7_saved_searches", "select name, payload from (values ('a', '{\"q\": 2}'), ('b', '{\"q\": 1}')) v(name, payload)")
+@query("fts7_saved_searches", "select user_id as name, arg_max(event_type, event_id) as payload from events group by 1")
 def _(c):
-    old = c.spark.createDataFrame([("a", '{"q": 0}', 1), ("b", '{"q": 1}', 2)], "name string, payload string, at int")
-    new = c.spark.createDataFrame([("a", '{"q": 2}', 3)], "name string, payload string, at int")
-    return mg.last_write(old.unionByName(new), "name", "at").select("name", "payload")
+    # every event saves its user's search anew: the last one counts
+    rows = c.table("events").select(F.col("user_id").alias("name"), F.col("event_type").alias("payload"), F.col("event_id").alias("at"))
+    return mg.last_write(rows, "name", "at").select("name", "payload")
 
 
 @query("fts8_feed_search", f"select id, count(*) over () > 10 as has_next from books where stage in ('cataloged', 'copied', 'survivor') and {_like_sql('er')} order by lower(title) nulls first, id limit 10")
@@ -1086,6 +1092,32 @@ def _(c):
     return au.layout_plan(c.files, _disk(c))
 
 
+_SHELVES = "shelves as (select '/lib/' || p_brand || '/' || p_type || '/' || (p_partkey % 7) || '/' || p_partkey || '.pdf' as path, p_partkey % 7 = 3 or p_brand like '%1' as gone from part)"
+_FOLDERS = f"with {_SHELVES}, each as (select unnest([array_to_string(string_split(path, '/')[1:k], '/') for k in range(3, 6)]) as folder, gone from shelves), " + """
+tree as (select folder, len(string_split(folder, '/')) - 2 as depth, count(*) as files, count(*) filter (gone) as leaving from each group by 1)"""
+
+
+def _shelves(c: Catalogue) -> tuple[DataFrame, DataFrame]:
+    """A tree of folders by brand, container and number, and what leaves it."""
+    rows = c.table("part").select(
+        F.concat_ws("/", F.lit("/lib"), "p_brand", "p_type", F.col("p_partkey") % 7, F.concat("p_partkey", F.lit(".pdf"))).alias("path"),
+        ((F.col("p_partkey") % 7 == 3) | F.col("p_brand").endswith("1")).alias("gone"),
+    )
+    return rows.select("path"), rows.where("gone")
+
+
+@query("aud5_folder_tree", _FOLDERS + " select folder, depth::int as depth, files, leaving from tree")
+def _(c):
+    listing, gone = _shelves(c)
+    return au.folder_tree(listing, "/lib", gone)
+
+
+@query("snk2_emptied_folders", _FOLDERS + " select row_number() over (order by depth desc, folder) as step, folder, depth::int as depth from tree where files = leaving")
+def _(c):
+    listing, gone = _shelves(c)
+    return au.emptied_folders(listing, "/lib/", gone)
+
+
 @query("aud6_backfill_series", """with n as (select *, 'Saga ' || language || ' Vol. ' || (id % 9) as stem from books where stage in ('cataloged', 'survivor', 'copied')
   and (coalesce(series, '') = '' or coalesce(series_num, '') = '' or coalesce(volume, '') = '' or coalesce(issue, '') = '') and language is not null),
 p as (select id, series, series_num, volume, issue, 'Saga ' || language as s, (id % 9)::varchar as k from n)
@@ -1099,6 +1131,11 @@ def _(c):
     return au.folder_tags(c.files, c.tags, "/lib")
 
 
+@query("aud7_revert_folder_tags", "select file_id, tag, tag_type from tags where tag_type <> 'custom'")
+def _(c):
+    return au.without_custom_tags(c.tags).select("file_id", "tag", "tag_type")
+
+
 @query("lkp1_tags_of", "select file_id, tag, tag_type from tags where file_id = 4 order by tag_type, score desc, tag")
 def _(c):
     return au.tags_of(c.tags, 4).select("file_id", "tag", "tag_type")
@@ -1155,6 +1192,13 @@ def _(c):
     return au.copy_plan(c.files.where("stage = 'survivor'").withColumn("filename", F.concat(F.lit("Title "), F.col("id") % 20, F.lit(" [x].pdf"))))
 
 
+@query("snk2_moves_beside_taken", r"""with m as (select id, source_path as src, case when stage = 'copied' then 'processed/' else 'archive/' end || substring(source_path, 6) as dest from files)
+select id, src, case when id % 3 = 0 then regexp_replace(dest, '(\.[^.]*)$', '_' || id || '\1') else dest end as dest from m""")
+def _(c):
+    taken = au.move_plan(c.files.where("id % 3 = 0"), "/lib")  # moved by an earlier run
+    return au.move_plan(c.files, "/lib", taken)
+
+
 @query("snk2_move_plan", "select id, source_path as src, case when stage = 'copied' then 'processed/' else 'archive/' end || substring(source_path, 6) as dest from files")
 def _(c):
     return au.move_plan(c.files, "/lib")
@@ -1258,7 +1302,7 @@ def _tree(c: Catalogue) -> str:
 TREE = """with n as (select n_nationkey as k, n_regionkey as r, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as name,
   (['epub', 'pdf', 'cbz', 'mobi', 'fb2'])[n_nationkey % 5 + 1] as format from nation),
 tree as (select r::varchar as source_group, k || '.' || format as filename, format, k, name from n
-  union all select * from (values ('0', 'broken.epub', 'epub', null, null), ('0', 'comic.cbr', 'cbr', null, null), ('1', 'scan.djvu', 'djvu', null, null)))
+  union all select r::varchar, k || '.azw3', 'azw3', k, name from n where format = 'mobi' union all select * from (values ('0', 'broken.epub', 'epub', null, null), ('0', 'comic.cbr', 'cbr', null, null), ('1', 'scan.djvu', 'djvu', null, null)))
 """
 
 
@@ -1282,27 +1326,60 @@ def _(c):
     return listing(c.spark, [f"{path}/{k}" for k in range(5)], ("pdf", "cbz")).select("source_group", "filename")
 
 
-@query("src4_from_paths", "select filename, format, null::varchar as source_group from (values ('broken.epub', 'epub'), ('scan.djvu', 'djvu')) v(filename, format)")
+@query("src4_from_paths", TREE + "select filename, format, null::varchar as source_group from tree where format in ('epub', 'pdf') and k is not null")
 def _(c):
     from tomewright.sources.files import from_paths
 
     path = _tree(c)
-    return from_paths(c.spark, [f"{path}/0/broken.epub", f"{path}/1/scan.djvu"]).select("filename", "format", "source_group")
+    nations = c.table("nation").where("n_nationkey % 5 < 2").select("n_regionkey", "n_nationkey").collect()  # ten of 25
+    names = [f"{path}/{r.n_regionkey}/{r.n_nationkey}.{('epub', 'pdf')[r.n_nationkey % 5]}" for r in nations]
+    return from_paths(c.spark, names).select("filename", "format", "source_group")
 
 
-@query("src5_extract", TREE + """select filename, case when format in ('epub', 'pdf') then name when format = 'cbz' then k::varchar end as title,
+@query("lkp7_reextract", TREE + """select k as file_id,
+case when k % 4 = 0 then 'old ' || k when format = 'cbz' then k::varchar else name end as title,
+case when k % 4 = 0 or format = 'cbz' then 'Old Author' when format = 'epub' then 'Writer ' || k || '; Other' else 'Writer ' || k end as authors,
+case when k % 4 = 0 then 'manual' when format = 'cbz' then 'filename' else 'embedded' end as enrich_source from tree where format in ('epub', 'pdf', 'cbz') and k is not null""")
+def _(c):
+    from tomewright.sources.files import catalogued, extract
+
+    listed = _listed(c, content=True).where("format in ('epub', 'pdf', 'cbz') and filename <> 'broken.epub'")
+    found = catalogued(listed, extract(listed)).withColumn("file_id", F.regexp_extract("filename", r"^(\d+)", 1).cast("bigint"))
+    blank = {n: F.lit(None).cast(t) for n, t in (("publisher", "string"), ("isbn", "string"), ("language", "string"), ("pages", "int"), ("year", "int"), ("description", "string"))}
+    key = F.col("n_nationkey")
+    old = c.table("nation").where(key % 5 < 3).select(
+        key.cast("bigint").alias("file_id"), F.concat(F.lit("old "), key).alias("title"), F.lit("Old Author").alias("authors"), F.when(key % 4 == 0, "manual").alias("enrich_source")
+    )
+    return au.reextracted(old.withColumns(blank), found).select("file_id", "title", "authors", "enrich_source")
+
+
+_EXTRACTED = TREE + """select filename, case when format in ('epub', 'pdf', 'azw3') then name when format = 'cbz' then k::varchar end as title,
 case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then '9780' || k end as isbn,
 case when format = 'epub' then 1900 + k end as year, case when format = 'cbz' then k when format = 'pdf' and k > 0 then k end as pages,
 case when format in ('epub', 'pdf') then 's' || k end as subject, case when format = 'cbz' then 'page 1' end as cover,
-case filename when 'broken.epub' then 'EXTRACT_FAIL' when 'comic.cbr' then 'NO_RAR_TOOL' end as error_code from tree""")
-def _(c):
-    from tomewright.sources.files import extract
+case filename when 'broken.epub' then 'EXTRACT_FAIL' when 'comic.cbr' then 'NO_RAR_TOOL' end as error_code from tree"""
 
-    rows = extract(_listed(c, content=True)).withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
+
+def _fields(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("filename", F.regexp_extract("path", "([^/]*)$", 1))
     title = F.when(~F.endswith("filename", F.lit(".mobi")), F.col("title"))  # where these hold a title, the tree's have offsets
     return rows.select("filename", title.alias("title"), "authors", "isbn", "year", "pages", F.col("subjects")[0].alias("subject"), F.col("cover_data").cast("string").alias("cover"), "error_code")
 
 
+@query("src5_extract", _EXTRACTED)
+def _(c):
+    from tomewright.sources.files import extract
+
+    return _fields(extract(_listed(c, content=True)))
+
+
+@query("src5_extract_ranges", _EXTRACTED)
+def _(c):
+    from tomewright.sources.files import extract
+
+    return _fields(extract(_listed(c)))
+
+
 @query("src5_extract_large", TREE + "select filename, 'EXTRACT_FAIL' as error_code from tree where format in ('epub', 'cbz') and filename <> 'broken.epub'")
 def _(c):
     from tomewright.sources.files import extract
@@ -1319,7 +1396,7 @@ def _(c):
     return rows.select("filename", full_text("content", "format").alias("t")).select("filename", F.col("t.text").alias("text"))
 
 
-@query("iex12_precedence", TREE + """select filename, coalesce(case when format in ('epub', 'pdf') then name end, regexp_replace(filename, '[.][^.]*$', '')) as title,
+@query("iex12_precedence", TREE + """select filename, coalesce(case when format in ('epub', 'pdf', 'azw3') then name end, regexp_replace(filename, '[.][^.]*$', '')) as title,
 case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then 1900 + k end as year from tree where format <> 'mobi'""")
 def _(c):
     from tomewright.sources.files import catalogued, extract

@@ -44,6 +44,11 @@ def _mobi(key: int, name: str) -> bytes:
     return bytes(out) + header + text
 
 
+def _azw3(key: int, name: str) -> bytes:
+    """A file with its title in the header: a length of 32, which ends in a space, and the title from the byte behind it."""
+    return bytes(76) + struct.pack(">I", 32) + name.ljust(30).encode() + bytes(16)
+
+
 def _fb2(key: int, name: str) -> bytes:
     return f"<FictionBook><body><p>{name}</p><p>ends  here</p></body></FictionBook>".encode()
 
@@ -58,6 +63,8 @@ def write_tree(spark: SparkSession, nations: DataFrame) -> str:
     for key, name, region in nations.select("n_nationkey", "n_name", "n_regionkey").collect():
         kind = list(MAKERS)[key % len(MAKERS)]
         made[f"{region}/{key}.{kind}"] = MAKERS[kind](key, name.title())
+        if kind == "mobi":
+            made[f"{region}/{key}.azw3"] = _azw3(key, name.title())
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name, data in made.items():

@@ -8,14 +8,18 @@ import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
+from typing import BinaryIO
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.functions.text import cache_key, extension, extract_year, from_filename, stem, truthy
+from tomewright.operators.ordering import numbered
 
 BOOK_FORMATS = ("epub", "pdf", "mobi", "azw3", "djvu", "cbr", "cbz", "fb2")
 PRUNED = ("@eaDir", "#recycle", "$RECYCLE.BIN", ".git", "node_modules")
@@ -56,9 +60,9 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def read_epub(content: bytes, name: str) -> dict:
+def read_epub(source: BinaryIO, name: str) -> dict:
     """Dublin Core of the package document; the identifier that looks like an ISBN, else the last that isn't a URL."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(source) as z:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
         place = next(e.attrib["full-path"] for e in container.iter() if _local(e.tag) == "rootfile")
         package = ElementTree.fromstring(z.read(place))
@@ -89,25 +93,26 @@ def _pdf_text(raw: bytes | None) -> str | None:
     return re.sub(r"[\x00-\x1f\x7f]", "", text).strip() or None
 
 
-def read_pdf(content: bytes, name: str) -> dict:
+def read_pdf(source: BinaryIO, name: str) -> dict:
     """Information entries and page objects in the file's head; the subject is one of the subjects."""
-    head = content[:PDF_HEAD]
+    head = source.read(PDF_HEAD)
     got = {k: (m[1] if (m := re.search(rb"/" + k + rb"\s*\(((?:\\.|[^\\)])*)\)", head)) else None) for k in (b"Title", b"Author", b"Subject")}
     pages = head.count(b"/Type /Page") - head.count(b"/Type /Pages")
     subject = _pdf_text(got[b"Subject"])
     return {"title": _pdf_text(got[b"Title"]), "authors": _pdf_text(got[b"Author"]), "subjects": [subject] if subject else None, "pages": pages if pages > 0 else None}
 
 
-def read_mobi(content: bytes, name: str) -> dict:
+def read_mobi(source: BinaryIO, name: str) -> dict:
     """The name whose length stands at byte 76, from byte 78 on, 256 bytes at most."""
+    content = source.read(334)
     (length,) = struct.unpack(">I", content[76:80]) if len(content) >= 80 else (0,)
     title = content[78 : 78 + min(length, 256)].decode("utf-8", "replace").replace("\x00", "").strip()
     return {"title": title or None}
 
 
-def read_cbz(content: bytes, name: str) -> dict:
+def read_cbz(source: BinaryIO, name: str) -> dict:
     """Number of images, and the first of them in natural order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(source) as z:
         images = sorted((n for n in z.namelist() if n.lower().endswith(IMAGES)), key=_natural)
         return {"pages": len(images), "cover_data": z.read(images[0]) if images else None}
 
@@ -118,18 +123,58 @@ class ExtractError(Exception):
         self.code = code
 
 
-def read_cbr(content: bytes, name: str) -> dict:
+def read_cbr(source: BinaryIO, name: str) -> dict:
     raise ExtractError("NO_RAR_TOOL", "no tool for RAR archives")
 
 
-READERS: dict[str, Callable[[bytes, str], dict]] = {"epub": read_epub, "pdf": read_pdf, "mobi": read_mobi, "azw3": read_mobi, "cbz": read_cbz, "cbr": read_cbr}
+READERS: dict[str, Callable[[BinaryIO, str], dict]] = {"epub": read_epub, "pdf": read_pdf, "mobi": read_mobi, "azw3": read_mobi, "cbz": read_cbz, "cbr": read_cbr}
 
 
-def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], dict]] | None = None, most_bytes: int = 1 << 28) -> DataFrame:
-    """Metadata of files with content: ``path`` and the fields of EXTRACTED; formats without a reader give none.
+class Ranges(io.RawIOBase):
+    """A file that is read from its place in ranges, as they are asked for; ``taken`` counts the bytes."""
 
-    A file that can't be read is a row with an error, never the end of the job. One of over ``most_bytes`` isn't sent to
-    a worker: it is a row with the error ``EXTRACT_FAIL``.
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        plain = path.startswith(("file:", "/"))
+        fs, at = (LocalFileSystem(), re.sub("^file:/+", "/", path)) if plain else FileSystem.from_uri(quote(path, safe=":/"))
+        self._file, self.taken = fs.open_input_file(at), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        got = self._file.read(len(buffer))
+        buffer[: len(got)] = got
+        self.taken += len(got)
+        return len(got)
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self._file.seek(offset, whence)
+        return self._file.tell()
+
+    def tell(self) -> int:
+        return self._file.tell()
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
+
+
+#: Formats whose metadata stand in the first bytes: nothing behind these is sent to a worker.
+HEADS = {"pdf": PDF_HEAD, "mobi": 4096, "azw3": 4096}
+
+
+def extract(files: DataFrame, readers: dict[str, Callable[[BinaryIO, str], dict]] | None = None, most_bytes: int = 1 << 28) -> DataFrame:
+    """Metadata of files: ``path``, the fields of EXTRACTED and ``bytes_read``; formats without a reader give none.
+
+    Without a column ``content`` each file is opened by its path where the task runs, and read in ranges: the head of a
+    PDF or MOBI file, the directory and two members of an archive, whatever the file's size. That asks for paths that
+    Arrow's file systems can open (local and shared folders, HDFS, object stores). With ``content`` Spark has read the
+    files, and those of over ``most_bytes`` are rows with the error ``EXTRACT_FAIL``. A file that can't be read is a row
+    with an error, never the end of the job.
     """
     table = readers or READERS
     fields = [f.split()[0] for f in EXTRACTED.split(", ")]
@@ -138,11 +183,15 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], dict]] |
         for batch in batches:
             rows = []
             for path, fmt, content in zip(batch["path"], batch["format"], batch["content"], strict=True):
-                row = dict.fromkeys(fields)
+                row = dict.fromkeys(fields) | {"bytes_read": 0}
                 name = PurePosixPath(path).stem
                 try:
                     if fmt in table:
-                        row |= table[fmt](bytes(content), name)
+                        with Ranges(path) if content is None else io.BytesIO(content) as source:
+                            try:
+                                row |= table[fmt](source, name)
+                            finally:
+                                row["bytes_read"] = getattr(source, "taken", len(content or b""))
                         row["title_is_stem"] = not row["title"]
                         row["title"] = row["title"] or name
                 except ExtractError as e:
@@ -150,9 +199,15 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], dict]] |
                 except Exception as e:  # noqa: BLE001  any broken file
                     row |= {"error": f"{type(e).__name__}: {e}"[:300], "error_code": "EXTRACT_FAIL"}
                 rows.append({"path": path} | row)
-            yield pd.DataFrame(rows, columns=["path", *fields]).astype({"pages": "Int32", "year": "Int32"})
-
-    found = files.where(F.col("length") <= most_bytes).select("path", "format", "content").mapInPandas(run, f"path string, {EXTRACTED}")
+            yield pd.DataFrame(rows, columns=["path", *fields, "bytes_read"]).astype({"pages": "Int32", "year": "Int32"})
+
+    schema = f"path string, {EXTRACTED}, bytes_read long"
+    if "content" not in files.columns:
+        return files.select("path", "format", F.lit(None).cast("binary").alias("content")).mapInPandas(run, schema)
+    head = F.col("content")
+    for fmt, size in HEADS.items():
+        head = F.when(F.col("format") == fmt, F.substring("content", 1, size)).otherwise(head)
+    found = files.where(F.col("length") <= most_bytes).select("path", "format", head.alias("content")).mapInPandas(run, schema)
     reason = F.concat(F.col("length").cast("string"), F.lit(f" bytes, of {most_bytes} at most"))
     large = files.where(F.col("length") > most_bytes).select("path", reason.alias("error"), F.lit("EXTRACT_FAIL").alias("error_code"))
     return found.unionByName(large, allowMissingColumns=True)
@@ -228,7 +283,7 @@ def catalogued(files: DataFrame, found: DataFrame) -> DataFrame:
     joined = files.join(found, "path", "left").withColumn("named", from_filename(F.col("filename")))
     filled = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
     embedded = F.when(~F.coalesce("title_is_stem", F.lit(True)), F.col("title"))
-    rest = [c for c in files.columns if c != "content"] + ["publisher", "isbn", "language", "pages", "description", "subjects", "error", "error_code"]
+    rest = [c for c in files.columns if c != "content"] + ["publisher", "isbn", "language", "pages", "description", "subjects", "title_is_stem", "error", "error_code"]
     return joined.select(
         *rest, filled(embedded, F.col("named.title"), stem(F.col("filename"))).alias("title"), filled(F.col("authors"), F.col("named.author")).alias("authors"),
         F.coalesce("year", "named.year", extract_year(F.col("filename"))).alias("year"), *[F.col(f"named.{c}").alias(c) for c in ("series", "num", "volume", "issue")],
@@ -256,11 +311,11 @@ def unique_names(arrivals: DataFrame, taken: DataFrame) -> DataFrame:
     mark = r"^(.*)_(\d{1,9})(\.[^.]*)?$"
     own = arrivals.select("filename").unionByName(taken.select("filename"))
     base = F.concat(F.regexp_extract("filename", mark, 1), F.regexp_extract("filename", mark, 3))
-    numbered = own.where(F.col("filename").rlike(mark)).select(base.alias("filename"), F.regexp_extract("filename", mark, 2).cast("bigint").alias("number"))
-    held = numbered.groupBy("filename").agg(F.array_sort(F.collect_set("number")).alias("held"))
+    marked = own.where(F.col("filename").rlike(mark)).select(base.alias("filename"), F.regexp_extract("filename", mark, 2).cast("bigint").alias("number"))
+    held = marked.groupBy("filename").agg(F.array_sort(F.collect_set("number")).alias("held"))
     used = taken.select("filename").distinct().withColumn("used", F.lit(1))
-    order = F.row_number().over(Window.partitionBy("filename").orderBy("id"))
-    rows = arrivals.join(used, "filename", "left").withColumn("k", (order - 1 + F.coalesce("used", F.lit(0))).cast("bigint")).join(held, "filename", "left")
+    rows = numbered(arrivals, ["filename"], [F.col("id")], "k").join(used, "filename", "left")
+    rows = rows.withColumn("k", F.col("k") - 1 + F.coalesce("used", F.lit(0))).join(held, "filename", "left")
     free = F.aggregate(F.coalesce("held", F.array().cast("array<bigint>")), F.col("k"), lambda k, n: F.when((n > 0) & (n <= k), k + 1).otherwise(k))
     name: Column = F.concat(stem(F.col("filename")), F.lit("_"), free.cast("string"), extension(F.col("filename")))
     return rows.select("id", F.when(F.col("k") == 0, F.col("filename")).otherwise(name).alias("filename"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tomewright.sources.files import BOOK_FORMATS
 
@@ -32,20 +35,62 @@ def heartbeats(events: DataFrame) -> DataFrame:
     return events.groupBy("instance_id").agg(F.max_by(rows, F.col("id")).alias("r")).select("instance_id", "r.*")
 
 
-def distinct_events(events: DataFrame, key: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Events once each within a watermark; times without a zone are read as UTC."""
-    stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return stamped.dropDuplicatesWithinWatermark(key)
-
-
-def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return stamped.groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"))
-
-
-def progress(query: StreamingQuery) -> list[dict]:
-    """Batch numbers, rows and durations of the query's latest batches."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
+class ProgressLog(StreamingQueryListener):
+    """What streams and batch stages are doing, in logs of bounded length: the latest messages, and how long the latest
+    stages and phases took. Add it to ``spark.streams`` to hear of every query; batch code tells it of its own stages."""
+
+    def __init__(self, messages: int = 500, stages: int = 50, phases: int = 20, clock: Callable[[], float] = time.time):
+        self.messages, self.stages, self.phases = deque(maxlen=messages), deque(maxlen=stages), deque(maxlen=phases)
+        self.counts: dict[str, int] = {}
+        self.running: dict[str, str] = {}
+        self._clock, self._lock, self._open = clock, threading.Lock(), {}
+
+    def say(self, text: str) -> None:
+        with self._lock:
+            self.messages.append({"time": self._clock(), "text": text})
+
+    def begin(self, kind: str, name: str) -> None:
+        """A stage or a phase begins; the one before it ends."""
+        with self._lock:
+            self._end(kind)
+            self._open[kind] = (name, self._clock())
+
+    def end(self, kind: str) -> None:
+        with self._lock:
+            self._end(kind)
+
+    def _end(self, kind: str) -> None:
+        if kind in self._open:
+            name, began = self._open.pop(kind)
+            (self.stages if kind == "stage" else self.phases).append({"name": name, "seconds": round(self._clock() - began, 3)})
+
+    def snapshot(self, latest: int = 50) -> dict:
+        """Copies of the logs, the latest messages alone; how long what is open has run."""
+        with self._lock:
+            now = self._clock()
+            opened = {kind: {"name": name, "seconds": round(now - began, 3)} for kind, (name, began) in self._open.items()}
+            return {"messages": list(self.messages)[-latest:], "stages": list(self.stages), "phases": list(self.phases), "counts": dict(self.counts), "running": dict(self.running), "open": opened}
+
+    # --- what Spark tells -------------------------------------------------------------------------
+
+    def onQueryStarted(self, event) -> None:
+        with self._lock:
+            self.running[str(event.runId)] = event.name or str(event.id)
+        self.say(f"started {event.name or event.id}")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        name = p.name or str(p.id)
+        with self._lock:
+            self.counts[name] = self.counts.get(name, 0) + p.numInputRows
+            self.stages.append({"name": f"{name} {p.batchId}", "seconds": round(p.durationMs.get("triggerExecution", 0) / 1000, 3)})
+        if p.numInputRows:
+            self.say(f"{name}: batch {p.batchId}, {p.numInputRows} rows")
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            name = self.running.pop(str(event.runId), str(event.id))
+        self.say(f"failed {name}: {event.exception[:300]}" if event.exception else f"ended {name}")
 
 
 def expired(folders: DataFrame, now: str, days: int = 14) -> DataFrame:
