@@ -4,6 +4,7 @@ import random
 import time
 import zipfile
 from collections import Counter
+from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tomewright.operators import audit, search
 from tomewright.operators.ordering import Pages, numbered
 from tomewright.operators.textindex import TextIndex
 from tomewright.sources import files
+from tomewright.streaming import inbox
 from tomewright.streaming.inbox import ProgressLog
 
 
@@ -149,3 +151,55 @@ def test_a_book_extracted_anew_is_found_by_its_new_words(spark, tmp_path):
     hits = lambda i, q: sorted(r.doc_id for r in search.match(i, q).collect())
     assert hits(index, "old") == [1] and hits(after, "old") == [] and hits(after, "fresh") == [1] and hits(after, "hand") == [2]
     assert len(after.segments) == 2 and after.segments[1].dead == 1
+
+
+def test_copies_are_carried_out_once_and_failures_are_rows(spark, tmp_path):
+    src, base = tmp_path / "src", tmp_path / "out é"
+    src.mkdir()
+    for k in range(6):
+        (src / f"{k} ü.bin").write_bytes(random.Random(k).randbytes(1000 + k))
+    rows = [(k, f"file:{src}/{k} ü.bin", f"d{k % 2}/{k}.bin") for k in range(6)] + [(9, f"{src}/none", "x/none"), (10, f"{src}/0 ü.bin", "d0/0.bin")]
+    plan = spark.createDataFrame(rows, "id bigint, src string, dest string")
+    first = audit.carry_out(plan.where("id < 10"), str(base))
+    got = {r.id: (r.outcome, r.bytes) for r in first.collect()}
+    assert got == {k: ("copied", 1000 + k) for k in range(6)} | {9: ("failed", None)}
+    assert all((base / r[2]).read_bytes() == (src / f"{r[0]} ü.bin").read_bytes() for r in rows[:6])
+    stamps = {p: p.stat().st_mtime_ns for p in base.rglob("*.bin")}
+    assert first.count() == first.count() == 7  # looking again copies nothing
+    again = audit.carry_out(plan, str(base))
+    assert {r.outcome for r in again.where("id <> 9").collect()} == {"present"} and again.where("id = 9").first().error
+    assert {p: p.stat().st_mtime_ns for p in base.rglob("*.bin")} == stamps
+    (base / "d0/0.bin").write_bytes(b"cut short")  # as a lost writer without the rename would leave it
+    assert audit.carry_out(plan.where("id = 0"), str(base)).first().outcome == "copied"
+    moved = audit.carry_out(plan.where("id < 6"), str(tmp_path / "moved"), remove=True)
+    assert {r.outcome for r in moved.collect()} == {"moved"} and not list(src.iterdir())
+    assert {r.outcome for r in audit.carry_out(plan.where("id < 6"), str(tmp_path / "moved"), remove=True).collect()} == {"present"}
+    assert not [p for p in tmp_path.rglob("*.part")]
+    assert audit.carry_out(plan.where("false"), str(base)).count() == 0
+
+
+def test_bursts_on_a_stream_are_those_of_the_table(spark, tmp_path):
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+    rows = sorted((start + timedelta(seconds=rng.randrange(20_000)), rng.choice(["a", "b", "c"])) for _ in range(200))
+    rows += [(None, "a"), (rows[-1][0], None)]
+    schema = "ts timestamp, folder string"
+    want = sorted(tuple(r) for r in inbox.bursts(spark.createDataFrame(rows, schema), "folder", "5 minutes").collect())
+    plain = []
+    for folder in "abc":
+        times, run = [t for t, f in rows if f == folder and t], []
+        for t in times:
+            if run and t - run[-1] >= timedelta(minutes=5):
+                plain.append((folder, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+        plain.append((folder, run[0], run[-1], len(run)))
+    assert want == sorted(plain)
+    for k in range(0, len(rows), 45):  # then an event of another folder lets the last runs end
+        spark.createDataFrame(rows[k : k + 45], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = inbox.bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "folder", "5 minutes", late="1 second").writeStream.format("parquet")
+        run.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    spark.createDataFrame([(rows[-1][0] + timedelta(days=1), "end")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run = inbox.bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "folder", "5 minutes", late="1 second").writeStream.format("parquet")
+    run.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("folder <> 'end'").collect()) == want

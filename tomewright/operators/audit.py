@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow.fs import FileType, copy_files
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import clean_filename, extension, folder_tag, from_filename, stem, truthy
 from tomewright.operators.dedup import duplicate_groups, equal_titles, shelf_titles, similar_titles
 from tomewright.operators.ordering import numbered
+from tomewright.sources.shared import file_system, staged
 
 
 #: What a file can tell of a book.
@@ -78,9 +86,16 @@ def reconcile(files: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def diagnostics(spark, files: DataFrame, metadata: DataFrame, indexed: DataFrame, required: dict[str, bool]) -> DataFrame:
-    """``check, value, ok``: required relations, unique ids, metadata without a file, index coverage."""
-    parts = [spark.createDataFrame([(f"relation {k}", float(v), v) for k, v in sorted(required.items())], "check string, value double, ok boolean")]
+def relation_health(relations: dict[str, DataFrame]) -> DataFrame:
+    """``relation, rows, ok``: how many rows each relation has; one without any isn't ok."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows") for name, df in sorted(relations.items())]
+    return reduce(DataFrame.unionByName, counts).withColumn("ok", F.col("rows") > 0)
+
+
+def diagnostics(files: DataFrame, metadata: DataFrame, indexed: DataFrame, required: dict[str, DataFrame]) -> DataFrame:
+    """``check, value, ok``: rows of the required relations, unique ids, metadata without a file, index coverage."""
+    health = relation_health(required)
+    parts = [health.select(F.concat(F.lit("relation "), "relation").alias("check"), F.col("rows").cast("double").alias("value"), "ok")]
     twice = files.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").cast("double").alias("value"))
     parts.append(twice.select(F.lit("repeated ids").alias("check"), "value", (F.col("value") == 0).alias("ok")))
     stray = metadata.join(files, metadata.file_id == files.id, "left_anti").agg(F.count("*").cast("double").alias("value"))
@@ -88,10 +103,7 @@ def diagnostics(spark, files: DataFrame, metadata: DataFrame, indexed: DataFrame
     titled = metadata.where(truthy(F.col("title"))).agg(F.count("*").alias("titled"))
     cover = titled.crossJoin(indexed.agg(F.count("*").alias("indexed"))).select((F.col("indexed") / F.greatest("titled", F.lit(1))).alias("value"))
     parts.append(cover.select(F.lit("index coverage").alias("check"), "value", (F.col("value") >= 0.9).alias("ok")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def copy_plan(survivors: DataFrame) -> DataFrame:
@@ -104,6 +116,49 @@ def copy_plan(survivors: DataFrame) -> DataFrame:
     return rows.select("id", "src", F.when(F.col("id") == F.col("first"), F.col("name")).otherwise(tagged).alias("dest"))
 
 
+def carry_out(plan: DataFrame, base: str, remove: bool = False) -> DataFrame:
+    """``id, src, dest, outcome, bytes, error`` of a plan (id, src, dest below ``base``) once its files are copied, or moved.
+
+    Files are copied where the tasks run, each under a name of the attempt's own and then renamed, so that a repeated or
+    lost attempt leaves no half file; what is there already in the same size is ``present`` and not copied again. A file
+    that can't be copied is a row with its error, never the end of the job. Outcomes are written once, so looking at them
+    does nothing again. Paths have to be such as Arrow's file systems can open.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, src, dest, *copy_file(src, f"{base.rstrip('/')}/{dest}", remove)) for i, src, dest in zip(batch["id"], batch["src"], batch["dest"], strict=True)]
+            yield pd.DataFrame(rows, columns=["id", "src", "dest", "outcome", "bytes", "error"]).astype({"bytes": "Int64"})
+
+    done = plan.select(F.col("id").cast("long").alias("id"), "src", "dest").repartition("dest")
+    return staged(done.mapInPandas(run, "id long, src string, dest string, outcome string, bytes long, error string"), "carried-out")
+
+
+def copy_file(src: str, dest: str, remove: bool) -> tuple[str, int | None, str | None]:
+    """Outcome, bytes and error of one copy or move."""
+    own = f"{dest}.{uuid.uuid4().hex}.part"
+    try:
+        (fs, at), (out, to), (_, part) = map(file_system, (src, dest, own))
+        here, there = fs.get_file_info(at), out.get_file_info(to)
+        if there.type == FileType.File and (here.type != FileType.File or here.size == there.size):
+            outcome = "present"
+        else:
+            out.create_dir(to.rpartition("/")[0], recursive=True)
+            try:
+                copy_files(at, part, source_filesystem=fs, destination_filesystem=out)
+                out.move(part, to)
+            except Exception:
+                if out.get_file_info(part).type == FileType.File:
+                    out.delete_file(part)
+                raise
+            outcome = "moved" if remove else "copied"
+        if remove and here.type == FileType.File and at != to:
+            fs.delete_file(at)
+        return outcome, out.get_file_info(to).size, None
+    except Exception as e:  # noqa: BLE001  any file that can't be copied
+        return "failed", None, f"{type(e).__name__}: {e}"[:300]
+
+
 def move_plan(files: DataFrame, root: str, taken: DataFrame | None = None) -> DataFrame:
     """Originals to ``processed/`` once copied, else to ``archive/``, below which paths stay relative to the root. Where
     ``taken`` (a column dest) has that path already, the name gets ``_id``."""

@@ -18,7 +18,7 @@ from tomewright.operators import ordering as od
 from tomewright.operators import search as se
 from tomewright.operators import textindex as ti
 from tomewright.sources.catalogue import Catalogue, duck_views
-from tomewright.sources.shared import new_path
+from tomewright.sources.shared import new_path, staged
 from tomewright.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1072,14 +1072,22 @@ def _(c):
     return au.reconcile(c.files, _disk(c))
 
 
-@query("aud3_diagnostics", "select 'relation files' as check, 1.0 as value, true as ok union all select 'repeated ids', 0.0, true union all select 'metadata without file', 0.0, true union all select 'index coverage', count(*) / greatest(count(*) filter (trim(coalesce(title, '')) <> ''), 1), true from books")
+_RELATIONS = ("files", "metadata", "tags", "pipeline_log", "quarantined", "reader_state", "reading_list")
+_HEALTH = " union all ".join(f"select '{r}' as relation, count(*) as rows from {r}" for r in _RELATIONS)
+
+
+@query("aud3_diagnostics", f"""select 'relation ' || relation as check, rows::double as value, rows > 0 as ok from ({_HEALTH})
+union all select 'repeated ids', count(*)::double, count(*) = 0 from (select id from files group by id having count(*) > 1)
+union all select 'metadata without file', count(*)::double, count(*) = 0 from metadata where file_id not in (select id from files)
+union all select 'index coverage', value, value >= 0.9 from (select count(*) filter (coalesce(title, '') <> '' or coalesce(authors, '') <> '') / greatest(count(*) filter (trim(coalesce(title, '')) <> ''), 1) as value from books)""")
 def _(c):
-    return au.diagnostics(c.spark, c.files, c.metadata, c.books, {"files": True})
+    indexed = _index(c).live().where(F.col("field").isin("title", "authors")).select("doc_id").distinct()
+    return au.diagnostics(c.files, c.metadata, indexed, {r: getattr(c, r) for r in _RELATIONS})
 
 
-@query("aud4_health", "select 'documents' as relation, count(*) > 0 as ok from documents")
+@query("aud4_health", f"select relation, rows, rows > 0 as ok from ({_HEALTH})")
 def _(c):
-    return c.table("documents").agg((F.count("*") > 0).alias("ok")).select(F.lit("documents").alias("relation"), "ok")
+    return au.relation_health({r: getattr(c, r) for r in _RELATIONS})
 
 
 @query("aud5_layout_plan", rf"""with {DISK}, lost as (select * from disk where path not in (select source_path from files)),
@@ -1254,15 +1262,24 @@ def _(c):
     return fd.search_description(c.spark)
 
 
-@query("snk9_settings", "select 'overrides' as part, 2 as n, '50' as page_size union all select 'settings', 15, '50' union all select 'imported', 3, '99'")
+def _overrides(c: Catalogue) -> DataFrame:
+    """Settings that the events' users have changed: the latest event of two kinds tells the value."""
+    name = F.when(F.col("event_type") == "click", "log_days").when(F.col("event_type") == "view", "page_size")
+    rows = c.table("events").select(name.alias("name"), F.col("event_id").cast("string").alias("value"), "event_id").where("name is not null")
+    return mg.last_write(rows, "name", "event_id").select("name", "value")
+
+
+@query("snk9_settings", """with v as (select max(event_id)::varchar as page_size, min(event_id)::varchar as other from events where event_type = 'view')
+select 'overrides' as part, 2 as n, page_size from v union all select 'settings', 15, page_size from v union all select 'imported', 3, other from v""")
 def _(c):
     from tomewright.sources.config import exported, imported, resolved
 
-    overrides = c.spark.createDataFrame([("log_days", "30"), ("page_size", "50")], "name string, value string")
+    overrides = _overrides(c)
     out = exported(resolved(c.spark, overrides, {}), overrides)
     parts = out.select(F.from_json("json", "overrides map<string, string>, settings map<string, string>").alias("j")).select("j.*")
     sizes = parts.select(F.explode(F.map_from_arrays(F.array(F.lit("overrides"), F.lit("settings")), F.array("overrides", "settings"))).alias("part", "m"))
-    other = c.spark.createDataFrame([("page_size", "99"), ("enrich", "yes")], "name string, value string")
+    first = c.table("events").where("event_type = 'view'").agg(F.min("event_id").cast("string").alias("value")).select(F.lit("page_size").alias("name"), "value")
+    other = first.unionByName(first.select(F.lit("enrich").alias("name"), F.lit("yes").alias("value")))
     back = imported(overrides, exported(resolved(c.spark, other, {}), other)).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
     every = sizes.unionByName(back.select(F.lit("imported").alias("part"), "m"))
     return every.select("part", F.size("m").alias("n"), F.col("m")["page_size"].alias("page_size"))
@@ -1432,11 +1449,34 @@ def _(c):
     return unique_names(rows, rows.limit(0).select("filename"))
 
 
-@query("src14_settings", "select 'log_days' as name, '30' as value, 'override' as origin union all select 'page_size', '50', 'default'")
+@query("src14_settings", """select case event_type when 'click' then 'log_days' else 'page_size' end as name, max(event_id)::varchar as value, 'override' as origin
+from events where event_type in ('click', 'view') group by 1 union all select 'backups_kept', '14', 'default'""")
 def _(c):
     from tomewright.sources.config import resolved
 
-    return resolved(c.spark, c.spark.createDataFrame([("log_days", "30")], "name string, value string")).where("name in ('log_days', 'page_size')")
+    return resolved(c.spark, _overrides(c), {}).where("name in ('log_days', 'page_size', 'backups_kept')")
+
+
+@query("str2_bursts", """with e as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) as gap from events where user_id is not null and ts is not null),
+r as (select user_id, ts, count(*) filter (gap is null or gap >= interval 6 hours) over (partition by user_id order by ts rows unbounded preceding) as run from e)
+select user_id, min(ts)::varchar as first, max(ts)::varchar as last, count(*) as n from r group by user_id, run""")
+def _(c):
+    events = c.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = inbox.bursts(events, "user_id", "6 hours")
+    text = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+    # as short as the other engine writes it
+    return rows.select("user_id", F.regexp_replace(text("first"), r"\.?0+$", "").alias("first"), F.regexp_replace(text("last"), r"\.?0+$", "").alias("last"), "n")
+
+
+@query("snk1_copies_carried_out", TREE + """select filename as dest, round, case round when 1 then 'copied' else 'present' end as outcome
+from tree, (values (1), (2)) r(round) union all select 'none.pdf', round, 'failed' from (values (1), (2)) r(round)""")
+def _(c):
+    folder = new_path(c.spark, "copies")
+    plan = _listed(c).select(F.monotonically_increasing_id().alias("id"), F.col("path").alias("src"), F.col("filename").alias("dest"))
+    lost = c.table("region").limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("/none/none.pdf").alias("src"), F.lit("none.pdf").alias("dest"))
+    plan = staged(plan.unionByName(lost), "copy-plan")
+    rounds = [au.carry_out(plan, folder).select("dest", F.lit(k).alias("round"), "outcome") for k in (1, 2)]
+    return rounds[0].unionByName(rounds[1])
 
 
 @query("str5_heartbeats", "select user_id as instance_id, max(event_id) as id, arg_max(event_type, event_id) as status from events group by 1")

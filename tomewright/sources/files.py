@@ -9,17 +9,16 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from typing import BinaryIO
-from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomewright.functions.text import cache_key, extension, extract_year, from_filename, stem, truthy
 from tomewright.operators.ordering import numbered
+from tomewright.sources.shared import file_system
 
 BOOK_FORMATS = ("epub", "pdf", "mobi", "azw3", "djvu", "cbr", "cbz", "fb2")
 PRUNED = ("@eaDir", "#recycle", "$RECYCLE.BIN", ".git", "node_modules")
@@ -135,8 +134,7 @@ class Ranges(io.RawIOBase):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        plain = path.startswith(("file:", "/"))
-        fs, at = (LocalFileSystem(), re.sub("^file:/+", "/", path)) if plain else FileSystem.from_uri(quote(path, safe=":/"))
+        fs, at = file_system(path)
         self._file, self.taken = fs.open_input_file(at), 0
 
     def readable(self) -> bool:

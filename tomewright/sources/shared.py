@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +37,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.mode("append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(path: str) -> tuple[FileSystem, str]:
+    """The Arrow file system of a path as Spark writes it, and the path in it, where a task opens files by itself."""
+    if path.startswith(("file:", "/")):
+        return LocalFileSystem(), re.sub("^file:/+", "/", path)
+    return FileSystem.from_uri(quote(path, safe=":/"))

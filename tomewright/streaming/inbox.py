@@ -93,6 +93,19 @@ class ProgressLog(StreamingQueryListener):
         self.say(f"failed {name}: {event.exception[:300]}" if event.exception else f"ended {name}")
 
 
+def bursts(events: DataFrame, key: str, quiet: str = "5 minutes", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """``key, first, last, n``: runs of a key's events with no gap as long as ``quiet``: what a watcher handles at once,
+    when the last of them has been quiet for so long.
+
+    The same on a table and on a stream, where a run comes out once the watermark, ``late`` behind the latest event of
+    any key, has passed its end: a last run needs no successor of its own key. State is a run a key. Rows without a key
+    or a time are left out.
+    """
+    stamped = events.withColumn("_at", F.col(time).cast("timestamp")).where(F.col(key).isNotNull() & F.col("_at").isNotNull())
+    runs = stamped.withWatermark("_at", late).groupBy(F.session_window("_at", quiet).alias("run"), key)
+    return runs.agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("n")).select(key, "first", "last", "n")
+
+
 def expired(folders: DataFrame, now: str, days: int = 14) -> DataFrame:
     """Folders that nothing has touched for so many days."""
     return folders.where(F.col("touched_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
