@@ -8,6 +8,7 @@ import zipfile
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -123,29 +124,61 @@ def test_from_filename_asks_the_recogniser_where_no_author_is_found(spark):
     assert one(spark, lambda c: tx.from_filename(c, person), None) is None
 
 
-def sequential(rows, gate, limit=0.85):
-    """The greedy pass as the rule states it: every row against earlier survivors in order."""
+def sequential(rows, gate, threshold=dedup.THRESHOLD, ambiguous=dedup.AMBIGUOUS):
+    """The greedy pass as the rule states it: every row against earlier survivors in order, each compared in full."""
     gone, out = set(), []
     for k, (i, title, rich) in enumerate(rows):
         for j, other, other_rich in rows[:k]:
             if j in gone or gate and (abs(len(title) - len(other)) > max(len(title) // 3, 10)):
                 continue
-            if SequenceMatcher(None, other, title).ratio() >= limit:
+            ratio = SequenceMatcher(None, other, title).ratio()
+            if ratio >= threshold:
                 loser, keeper = (i, j) if rich <= other_rich else (j, i)
                 gone.add(loser)
-                out.append((loser, keeper))
+                out.append((loser, keeper, ratio, False))
                 break
+            if ratio >= ambiguous:
+                out.append((i, j, ratio, True))
     return out
 
 
+def varied_titles(rng, n, letters="abcdefgh ijklmnop"):
+    """Titles of 1 to 200 characters: some near copies of a few, some of their own."""
+    base = ["".join(rng.choices(letters, k=k)) for k in (17, 40, 64, 65, 127, 128, 129, 200)]
+    near = lambda t: "".join(c if rng.random() > rng.choice([0.02, 0.1, 0.2]) else rng.choice("xyzß ж") for c in t)
+    return [near(rng.choice(base)) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.randint(1, 200))) for _ in range(n)]
+
+
 @pytest.mark.parametrize("gate", [True, False])
-def test_greedy_block_equals_sequential_rule(gate):
+def test_standing_titles_equal_sequential_rule(gate):
     rng = random.Random(1)
-    base = ["abcdefgh ijkl mnop", "qrst uvwx yzab", "abcdefgh ijkl mnop qrst"]
-    rows = [(i, "".join(c if rng.random() > 0.06 else rng.choice("xyz ") for c in rng.choice(base)), rng.randint(1, 3)) for i in range(60)]
-    got = dedup.greedy_block(pd.DataFrame(rows, columns=["id", "norm", "richness"]), 0.85, 0.85, gate)
-    assert len(got) > 5
-    assert list(zip(got["id"], got["master_id"], strict=True)) == sequential(rows, gate)
+    rows = [(i, title, rng.randint(1, 3)) for i, title in enumerate(varied_titles(rng, 260))]
+    standing = dedup.Standing(dedup.THRESHOLD, dedup.AMBIGUOUS, gate)
+    got = [hit for row in rows for hit in standing.add(*row)]
+    assert got == sequential(rows, gate) and len(got) > 100 and any(h[3] for h in got)
+
+
+def test_common_lengths_equal_the_plain_table():
+    rng = random.Random(5)
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    for size in (1, 63, 64, 65, 128, 130, 200):
+        one = "".join(rng.choices("abcde", k=size))
+        many = ["".join(rng.choices("abcdef", k=rng.randint(0, 210))) for _ in range(40)] + [one, one[::-1], ""]
+        codes = np.zeros((len(many), 210), np.uint16)
+        for k, t in enumerate(many):
+            codes[k, : len(t)] = dedup.character_kinds(t)
+        places = np.zeros((dedup.KINDS + 1, -(-size // 64)), np.uint64)
+        for place, c in enumerate(dedup.character_kinds(one).tolist()):
+            places[c, place // 64] |= np.uint64(1 << place % 64)
+        assert dedup.common_lengths(codes, places, size).tolist() == [table(t, one) for t in many]
 
 
 def test_blocks_stream_over_many_batches(spark):
@@ -162,8 +195,7 @@ def test_blocks_stream_over_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = []
     for block in ("hot", "a", "b", None):
-        part = pd.DataFrame([r[:3] for r in rows if r[3] == block], columns=["id", "norm", "richness"])
-        want += dedup.greedy_block(part, dedup.THRESHOLD, dedup.AMBIGUOUS, True).itertuples(index=False, name=None)
+        want += sequential([r[:3] for r in rows if r[3] == block], True)
     assert len(want) > 100
     assert sorted(tuple(r) for r in got) == sorted(want)
 
@@ -346,9 +378,9 @@ def test_resolution_with_a_block_of_half_of_all_rows(spark):
         best = min(group, key=lambda i: (-rich[i], i))
         lost |= {i: (best, "duplicate_by_hash") for i in group if i != best}
     for group in by(lambda r: (r[9] or "", norm[r[0]][:4], (r[2] or ""))):
-        lost |= {a: (b, "duplicate_by_title") for a, b in sequential([(i, norm[i], rich[i]) for i in group], True)}
+        lost |= {a: (b, "duplicate_by_title") for a, b, _, report in sequential([(i, norm[i], rich[i]) for i in group], True) if not report}
     for group in by(lambda r: (r[2], r[6]) if r[2] and r[6] else None):
-        lost |= {a: (b, "duplicate_by_author_year_title") for a, b in sequential([(i, norm[i], rich[i]) for i in group], False)}
+        lost |= {a: (b, "duplicate_by_author_year_title") for a, b, _, report in sequential([(i, norm[i], rich[i]) for i in group], False) if not report}
     assert got == {i: (0, *lost[i]) if i in lost else (1, None, "survivor") for i in norm}
     assert {r for _, r in lost.values()} == {"duplicate_by_hash", "duplicate_by_title", "duplicate_by_author_year_title"}
 

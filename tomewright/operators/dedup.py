@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,48 +33,119 @@ def exact_losers(books: DataFrame, key: Column, reason: str) -> DataFrame:
     return rows.join(best, "key").where("id <> master_id").select("id", "master_id", F.lit(reason).alias("reason"))
 
 
+#: Characters are told apart by this remainder of their code points; those that agree in it only widen the bound.
+KINDS = 1021
+
+
+def character_kinds(text: str) -> np.ndarray:
+    """A number from 1 on for each character; equal characters have equal ones."""
+    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % KINDS + 1).astype(np.uint16)
+
+
+def common_lengths(codes: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """Lengths of the longest common subsequences of many texts and one, all at once by bits (Hyyrö 2004).
+
+    ``codes`` has a text a row, as numbers of its characters, 0 behind its end; ``table`` has for each number the places
+    of that character in the one text of ``size`` characters, 64 a word. Row 0 of it is empty.
+    """
+    words = table.shape[1]
+    v = np.full((len(codes), words), ~np.uint64(0))
+    for column in codes.T:
+        m = table[column]
+        u = v & m
+        total = v + u
+        carry = total < u
+        for k in range(1, words):  # what overflows a word goes to the next one
+            add = total[:, k] + carry[:, k - 1]
+            carry[:, k] |= add < total[:, k]
+            total[:, k] = add
+        v = total | (v & ~m)
+    ends = np.array([(1 << max(0, min(64, size - 64 * k))) - 1 for k in range(words)], np.uint64)
+    return np.bitwise_count(~v & ends).sum(axis=1, dtype=np.int64)
+
+
 class Standing:
-    """The titles of one block that stand so far. Rows come in id order; the first hit decides, so a hit's keeper stands."""
+    """The titles of one block that stand so far. Rows come in id order; the first hit decides, so a hit's keeper stands.
+
+    The ratio of two titles is at most twice their longest common subsequence by their lengths together. That bound is
+    found for all standing titles at once, and only those that reach it are compared.
+    """
+
+    #: So few titles are compared without the bound.
+    FEW = 8
 
     def __init__(self, threshold: float, ambiguous: float, gate: bool):
         self.threshold, self.ambiguous, self.gate = threshold, ambiguous, gate
-        self.rows: list[tuple[int, str, int]] = []
+        self.ids: list[int] = []
+        self.titles: list[str] = []
+        self.rich: list[int] = []
+        self.codes, self.sizes, self.stands = np.zeros((16, 32), np.uint16), np.zeros(16, np.int64), np.zeros(16, bool)
 
     def add(self, i: int, title: str, rich: int) -> Iterator[tuple[int, int, float, bool]]:
         """``id, master_id, ratio, ambiguous`` of one more row: its reports and at most one loss."""
         matcher = SequenceMatcher(None, "", title)
-        for k, (j, other, other_rich) in enumerate(self.rows):
-            if self.gate and abs(len(title) - len(other)) > max(len(title) // 3, 10):
-                continue
-            matcher.set_seq1(other)
-            if matcher.real_quick_ratio() < self.ambiguous or matcher.quick_ratio() < self.ambiguous:
-                continue
+        for k in self._near(title):
+            matcher.set_seq1(self.titles[k])
             ratio = matcher.ratio()
             if ratio >= self.threshold:
-                if rich <= other_rich:
-                    yield i, j, ratio, False
+                if rich <= self.rich[k]:
+                    yield i, self.ids[k], ratio, False
                 else:
-                    yield j, i, ratio, False
-                    self.rows.pop(k)
-                    self.rows.append((i, title, rich))
+                    yield self.ids[k], i, ratio, False
+                    self.stands[k] = False
+                    self._append(i, title, rich)
                 return
             if ratio >= self.ambiguous:
-                yield i, j, ratio, True
-        self.rows.append((i, title, rich))
-
-
-def greedy_block(rows: pd.DataFrame, threshold: float, ambiguous: float, gate: bool) -> pd.DataFrame:
-    """One block in id order: each row against the earlier rows still standing; the first hit decides."""
-    standing = Standing(threshold, ambiguous, gate)
-    hits = [hit for row in rows.sort_values("id")[["id", "norm", "richness"]].itertuples(index=False) for hit in standing.add(*row)]
-    return pd.DataFrame(hits, columns=["id", "master_id", "ratio", "ambiguous"])
+                yield i, self.ids[k], ratio, True
+        self._append(i, title, rich)
+
+    def _near(self, title: str) -> list[int]:
+        """The standing titles, oldest first, that may be as like as ``ambiguous``."""
+        n, size = len(self.ids), len(title)
+        sizes = self.sizes[:n]
+        # a hair less, against rounding
+        least = self.ambiguous * (sizes + size) - 1e-6
+        near = self.stands[:n] & (2 * np.minimum(sizes, size) >= least)
+        if self.gate:
+            near &= np.abs(sizes - size) <= max(size // 3, 10)
+        at = np.flatnonzero(near)
+        if len(at) > self.FEW:
+            table = np.zeros((KINDS + 1, -(-size // 64)), np.uint64)
+            for place, c in enumerate(character_kinds(title).tolist()):
+                table[c, place // 64] |= np.uint64(1 << place % 64)
+            common = common_lengths(self.codes[at, : self.sizes[at].max()], table, size)
+            at = at[2 * common >= least[at]]
+        return at.tolist()
+
+    def _append(self, i: int, title: str, rich: int) -> None:
+        n = len(self.ids)
+        if n == len(self.sizes):
+            self._compact()
+            n = len(self.ids)
+        if len(title) > self.codes.shape[1]:
+            self.codes = np.pad(self.codes, ((0, 0), (0, 2 * len(title) - self.codes.shape[1])))
+        self.codes[n] = 0
+        self.codes[n, : len(title)] = character_kinds(title)
+        self.sizes[n], self.stands[n] = len(title), True
+        self.ids.append(i)
+        self.titles.append(title)
+        self.rich.append(rich)
+
+    def _compact(self) -> None:
+        """Leave out what doesn't stand; make room for as many more."""
+        keep = np.flatnonzero(self.stands)
+        self.ids, self.titles, self.rich = ([x[k] for k in keep] for x in (self.ids, self.titles, self.rich))
+        room = max(16, len(keep))
+        self.codes = np.pad(self.codes[keep], ((0, room), (0, 0)))
+        self.sizes, self.stands = np.pad(self.sizes[keep], (0, room)), np.pad(self.stands[keep], (0, room))
 
 
 def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: float = THRESHOLD, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """Greedy fuzzy title matches inside blocks: ``id, master_id, ratio, ambiguous`` (those below the threshold are reports).
 
     Pairs are compared inside a block alone, so blocks run in parallel with the result of the sequential pass. The
-    pass itself depends on its order, so one block is one task: its work is its rows times the titles that still stand.
+    pass itself depends on its order, so one block is one task: its work is its rows times the titles that still stand,
+    for which a bound is found in whole arrays, so that a row costs as little as its like titles.
     Rows stream through it as Spark has sorted them (a sort spills to disk), so that it holds these titles and one Arrow
     batch, however many rows the block has. Rows come with a ``norm`` where the caller has it.
     """
