@@ -19,6 +19,9 @@ from tomewright.operators import search as se
 from tomewright.operators import textindex as ti
 from tomewright.sources.catalogue import Catalogue, duck_views
 from tomewright.sources.shared import new_path, staged
+from tomewright.plans.shelf import write_tree
+from tomewright.sources.config import exported, imported, resolved
+from tomewright.sources.files import catalogued, count_files, extract, from_paths, full_text, listing, lookup, unique_names
 from tomewright.streaming import inbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,8 +470,6 @@ def _(c):
 @query("jn22_cache_lookup", """with k as (select id, md5('v2|' || coalesce(isbn, '') || '|' || coalesce(title, '') || '|' || coalesce(authors, '')) as key from books)
 select id, key, case when bool_or(id % 5 = 0) over (partition by key) then 'A' else 'B' end as publisher from k""")
 def _(c):
-    from tomewright.sources.files import lookup
-
     keyed = c.books.select("id", tx.cache_key(F.col("isbn"), F.col("title"), F.col("authors")).alias("key"))
     first = keyed.groupBy("key").agg(F.max(F.expr("id % 5 = 0")).alias("five"))
     answers = first.select("key", F.when(F.col("five"), F.lit("A")).otherwise(F.lit(" ")).alias("publisher"))
@@ -1272,8 +1273,6 @@ def _overrides(c: Catalogue) -> DataFrame:
 @query("snk9_settings", """with v as (select max(event_id)::varchar as page_size, min(event_id)::varchar as other from events where event_type = 'view')
 select 'overrides' as part, 2 as n, page_size from v union all select 'settings', 15, page_size from v union all select 'imported', 3, other from v""")
 def _(c):
-    from tomewright.sources.config import exported, imported, resolved
-
     overrides = _overrides(c)
     out = exported(resolved(c.spark, overrides, {}), overrides)
     parts = out.select(F.from_json("json", "overrides map<string, string>, settings map<string, string>").alias("j")).select("j.*")
@@ -1310,8 +1309,6 @@ def _(c):
 
 
 def _tree(c: Catalogue) -> str:
-    from tomewright.plans.shelf import write_tree
-
     return write_tree(c.spark, c.table("nation"))
 
 
@@ -1324,8 +1321,6 @@ tree as (select r::varchar as source_group, k || '.' || format as filename, form
 
 
 def _listed(c: Catalogue, content: bool = False) -> DataFrame:
-    from tomewright.sources.files import listing
-
     path = _tree(c)
     return listing(c.spark, [f"{path}/{k}" for k in range(5)], content=content)
 
@@ -1337,16 +1332,12 @@ def _(c):
 
 @query("src2_scan_formats", TREE + "select source_group, filename from tree where format in ('pdf', 'cbz')")
 def _(c):
-    from tomewright.sources.files import listing
-
     path = _tree(c)
     return listing(c.spark, [f"{path}/{k}" for k in range(5)], ("pdf", "cbz")).select("source_group", "filename")
 
 
 @query("src4_from_paths", TREE + "select filename, format, null::varchar as source_group from tree where format in ('epub', 'pdf') and k is not null")
 def _(c):
-    from tomewright.sources.files import from_paths
-
     path = _tree(c)
     nations = c.table("nation").where("n_nationkey % 5 < 2").select("n_regionkey", "n_nationkey").collect()  # ten of 25
     names = [f"{path}/{r.n_regionkey}/{r.n_nationkey}.{('epub', 'pdf')[r.n_nationkey % 5]}" for r in nations]
@@ -1358,8 +1349,6 @@ case when k % 4 = 0 then 'old ' || k when format = 'cbz' then k::varchar else na
 case when k % 4 = 0 or format = 'cbz' then 'Old Author' when format = 'epub' then 'Writer ' || k || '; Other' else 'Writer ' || k end as authors,
 case when k % 4 = 0 then 'manual' when format = 'cbz' then 'filename' else 'embedded' end as enrich_source from tree where format in ('epub', 'pdf', 'cbz') and k is not null""")
 def _(c):
-    from tomewright.sources.files import catalogued, extract
-
     listed = _listed(c, content=True).where("format in ('epub', 'pdf', 'cbz') and filename <> 'broken.epub'")
     found = catalogued(listed, extract(listed)).withColumn("file_id", F.regexp_extract("filename", r"^(\d+)", 1).cast("bigint"))
     blank = {n: F.lit(None).cast(t) for n, t in (("publisher", "string"), ("isbn", "string"), ("language", "string"), ("pages", "int"), ("year", "int"), ("description", "string"))}
@@ -1385,30 +1374,22 @@ def _fields(rows: DataFrame) -> DataFrame:
 
 @query("src5_extract", _EXTRACTED)
 def _(c):
-    from tomewright.sources.files import extract
-
     return _fields(extract(_listed(c, content=True)))
 
 
 @query("src5_extract_ranges", _EXTRACTED)
 def _(c):
-    from tomewright.sources.files import extract
-
     return _fields(extract(_listed(c)))
 
 
 @query("src5_extract_large", TREE + "select filename, 'EXTRACT_FAIL' as error_code from tree where format in ('epub', 'cbz') and filename <> 'broken.epub'")
 def _(c):
-    from tomewright.sources.files import extract
-
     rows = extract(_listed(c, content=True).where("format in ('epub', 'cbz') and filename <> 'broken.epub'"), most_bytes=20)
     return rows.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "error_code")
 
 
 @query("src11_full_text", TREE + "select filename, case format when 'mobi' then name || ' begins' else name || chr(10) || 'ends here' end as text from tree where format in ('mobi', 'fb2')")
 def _(c):
-    from tomewright.sources.files import full_text
-
     rows = _listed(c, content=True).where("format in ('mobi', 'fb2')")
     return rows.select("filename", full_text("content", "format").alias("t")).select("filename", F.col("t.text").alias("text"))
 
@@ -1416,16 +1397,12 @@ def _(c):
 @query("iex12_precedence", TREE + """select filename, coalesce(case when format in ('epub', 'pdf', 'azw3') then name end, regexp_replace(filename, '[.][^.]*$', '')) as title,
 case format when 'epub' then 'Writer ' || k || '; Other' when 'pdf' then 'Writer ' || k end as authors, case when format = 'epub' then 1900 + k end as year from tree where format <> 'mobi'""")
 def _(c):
-    from tomewright.sources.files import catalogued, extract
-
     listed = _listed(c, content=True).where("format <> 'mobi'")
     return catalogued(listed, extract(listed)).select("filename", "title", "authors", "year")
 
 
 @query("str1_inbox", TREE + "select source_group as folder, filename, format from tree")
 def _(c):
-    from tomewright.sources.shared import new_path
-
     path, out = _tree(c), new_path(c.spark, "inbox")
     take = lambda rows, _: rows.select("path", "format").write.mode("append").parquet(f"{out}/rows")
     for _ in range(2):  # the second run finds nothing new
@@ -1436,15 +1413,11 @@ def _(c):
 
 @query("src3_count_files", "select source_group, count(*) as files, sum(file_size)::bigint as bytes from files group by 1")
 def _(c):
-    from tomewright.sources.files import count_files
-
     return count_files(c.files.select("source_group", F.col("file_size").alias("length")))
 
 
 @query("src13_unique_names", "select o_orderkey as id, 'f' || (o_orderkey % 50) || case when k = 1 then '' else '_' || (k - 1) end || '.pdf' as filename from (select *, row_number() over (partition by o_orderkey % 50 order by o_orderkey) as k from orders)")
 def _(c):
-    from tomewright.sources.files import unique_names
-
     rows = c.table("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), F.col("o_orderkey") % 50, F.lit(".pdf")).alias("filename"))
     return unique_names(rows, rows.limit(0).select("filename"))
 
@@ -1452,8 +1425,6 @@ def _(c):
 @query("src14_settings", """select case event_type when 'click' then 'log_days' else 'page_size' end as name, max(event_id)::varchar as value, 'override' as origin
 from events where event_type in ('click', 'view') group by 1 union all select 'backups_kept', '14', 'default'""")
 def _(c):
-    from tomewright.sources.config import resolved
-
     return resolved(c.spark, _overrides(c), {}).where("name in ('log_days', 'page_size', 'backups_kept')")
 
 
