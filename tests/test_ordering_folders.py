@@ -203,3 +203,15 @@ def test_bursts_on_a_stream_are_those_of_the_table(spark, tmp_path):
     run = inbox.bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "folder", "5 minutes", late="1 second").writeStream.format("parquet")
     run.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("folder <> 'end'").collect()) == want
+
+
+def test_reconciliation_by_stage_and_anomalies(spark):
+    rows = [(1, "/a", "copied", 1, None), (2, "/b", "copied", 0, 1), (3, "/c", "arrived", 0, 2), (4, "/d", "arrived", None, None), (5, "/e", None, 0, None)]
+    shelf = spark.createDataFrame(rows, "id bigint, source_path string, stage string, is_master int, master_id bigint")
+    disk = spark.createDataFrame([("/a",), ("/c",), ("/c",), ("/x",)], "path string")
+    got = {r.stage: (r.books, r.masters, r.duplicates, r.no_file) for r in audit.reconcile_stages(shelf, disk).collect()}
+    assert got == {"copied": (2, 1, 1, 1), "arrived": (2, 0, 1, 1), None: (1, 0, 1, 1)}
+    covers = spark.createDataFrame([("/k1",), ("/k9",), ("/k9",)], "path string")
+    named = spark.createDataFrame([(1, "/k1"), (2, "/k2"), (3, " "), (4, None)], "file_id bigint, cover_path string")
+    found = sorted((r.kind, r.id or 0, r.path) for r in audit.anomalies(shelf, named, disk, covers).collect())
+    assert found == [("no_cover", 2, "/k2"), ("no_file", 2, "/b"), ("no_file", 4, "/d"), ("no_file", 5, "/e"), ("no_master", 3, "/c"), ("no_master", 5, "/e"), ("not_in_db", 0, "/x"), ("stray_cover", 0, "/k9")]

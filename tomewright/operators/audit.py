@@ -87,6 +87,31 @@ def reconcile(files: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def reconcile_stages(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """``stage, books, masters, duplicates, no_file``: rows by stage, and how many of them have no file on disk."""
+    rows = files.join(listing.select(F.col("path").alias("_path")).distinct(), F.col("source_path") == F.col("_path"), "left")
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.groupBy("stage").agg(F.count("*").alias("books"), count(F.col("is_master") == 1).alias("masters"), count(F.col("is_master") == 0).alias("duplicates"), count(F.col("_path").isNull()).alias("no_file"))
+
+
+def anomalies(files: DataFrame, metadata: DataFrame, listing: DataFrame, covers: DataFrame) -> DataFrame:
+    """``kind, id, path`` of what doesn't agree: a book without its file, a file without a row, a book without its cover, a
+    cover that no book names, a duplicate whose master is missing or is none."""
+    none, disk = F.lit(None).cast("bigint"), listing.select("path").distinct()
+    named = metadata.where(truthy(F.col("cover_path"))).select("file_id", F.col("cover_path").alias("path"))
+    pictures = covers.select("path").distinct()
+    masters = files.where("is_master = 1").select(F.col("id").alias("master_id"))
+    astray = files.where("is_master = 0").join(masters, "master_id", "left_anti")
+    parts = [
+        missing(files, disk).select(F.lit("no_file").alias("kind"), "id", F.col("source_path").alias("path")),
+        orphans(disk, files).select(F.lit("not_in_db").alias("kind"), none.alias("id"), "path"),
+        named.join(pictures, "path", "left_anti").select(F.lit("no_cover").alias("kind"), F.col("file_id").alias("id"), "path"),
+        pictures.join(named, "path", "left_anti").select(F.lit("stray_cover").alias("kind"), none.alias("id"), "path"),
+        astray.select(F.lit("no_master").alias("kind"), "id", F.col("source_path").alias("path")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def relation_health(relations: dict[str, DataFrame]) -> DataFrame:
     """``relation, rows, ok``: how many rows each relation has; one without any isn't ok."""
     counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows") for name, df in sorted(relations.items())]

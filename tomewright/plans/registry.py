@@ -1073,6 +1073,24 @@ def _(c):
     return au.reconcile(c.files, _disk(c))
 
 
+@query("aud2_stages", f"""with {DISK} select stage, count(*) as books, count(*) filter (is_master = 1) as masters, count(*) filter (is_master = 0) as duplicates,
+count(*) filter (source_path not in (select path from disk)) as no_file from files group by 1""")
+def _(c):
+    return au.reconcile_stages(c.files, _disk(c))
+
+
+@query("aud2_anomalies", f"""with {DISK}, pictures as (select '/covers/' || cast(id + 5 as varchar) || '.jpg' as path from files),
+named as (select file_id, cover_path as path from metadata where trim(coalesce(cover_path, '')) <> '')
+select 'no_file' as kind, id, source_path as path from files where source_path not in (select path from disk)
+union all select 'not_in_db', null, path from disk where path not in (select source_path from files)
+union all select 'no_cover', file_id, path from named where path not in (select path from pictures)
+union all select 'stray_cover', null, path from pictures where path not in (select path from named)
+union all select 'no_master', id, source_path from files where is_master = 0 and coalesce(master_id, -1) not in (select id from files where is_master = 1)""")
+def _(c):
+    covers = c.files.select(F.concat(F.lit("/covers/"), F.col("id") + 5, F.lit(".jpg")).alias("path"))
+    return au.anomalies(c.files, c.metadata, _disk(c), covers)
+
+
 _RELATIONS = ("files", "metadata", "tags", "pipeline_log", "quarantined", "reader_state", "reading_list")
 _HEALTH = " union all ".join(f"select '{r}' as relation, count(*) as rows from {r}" for r in _RELATIONS)
 
