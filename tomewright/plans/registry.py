@@ -1281,6 +1281,20 @@ def _(c):
     return fd.search_description(c.spark)
 
 
+@query("snk6_snapshot", """select 'files' as relation, count(*) as rows, sum(id)::bigint as ids, count(distinct file_hash) as kinds from files
+union all select 'metadata', count(*), sum(file_id)::bigint, count(distinct description) from metadata
+union all select 'tags', count(*), sum(file_id)::bigint, count(distinct tag) from tags""")
+def _(c):
+    path = new_path(c.spark, "snapshots")
+    fd.write_snapshot({"files": c.files, "metadata": c.metadata, "tags": c.tags}, path, "first")
+    back = fd.read_snapshot(c.spark, path, "first")
+    out = None
+    for name, key, kind in (("files", "id", "file_hash"), ("metadata", "file_id", "description"), ("tags", "file_id", "tag")):
+        rows = back[name].agg(F.count("*").alias("rows"), F.sum(key).alias("ids"), F.count_distinct(kind).alias("kinds")).select(F.lit(name).alias("relation"), "rows", "ids", "kinds")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _overrides(c: Catalogue) -> DataFrame:
     """Settings that the events' users have changed: the latest event of two kinds tells the value."""
     name = F.when(F.col("event_type") == "click", "log_days").when(F.col("event_type") == "view", "page_size")
