@@ -5,11 +5,13 @@ import re
 import unicodedata
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tomewright.operators import search
+from tomewright.operators import search, textindex
 from tomewright.operators.textindex import Postings, TextIndex, grams_in, postings_of
 
 BOOK = "id bigint, title string, authors string, publisher string, isbn string, description string, subjects string, series string, filename string, tag_list array<string>"
@@ -121,3 +123,52 @@ def test_substring_candidates_give_the_rows_of_a_scan(spark, tmp_path):
             used += 1
             assert scan <= {r.doc_id for r in near.collect()}, text
     assert used >= 8 and grams_in("r_n") is None and grams_in("of") is None and grams_in("\\%run") is None
+
+
+def test_a_word_is_one_row_for_the_books_of_a_part_and_counts_are_exact(spark, tmp_path):
+    rows = shelf(random.Random(6), range(300))
+    index = TextIndex.create(spark, str(tmp_path / "index"), buckets=4, grams=True).add(spark.createDataFrame(rows, BOOK).coalesce(1), "tag_list")
+    for kind, key in (("postings", ["token", "field"]), ("grams", ["gram"])):
+        kept = spark.read.parquet(f"{index.path}/{index.segments[0].name}/{kind}")
+        assert kept.count() == kept.select(*key).distinct().count() < index.live(kind).count() / 5
+    again = index.add(spark.createDataFrame([(5, "runs run", "x", None, None, "running", None, None, "f", None)], BOOK))
+    for of in (index, again, again.merge()):
+        places_of = {tuple(r) for r in of.live().where("field in ('title', 'description')").select("stem", "token", "field", "doc_id", F.explode("pos")).collect()}
+        tf, df, stems = {}, {}, {}
+        for stem, token, field, i, _ in places_of:
+            tf[token, field] = tf.get((token, field), 0) + 1
+            df.setdefault((token, field), set()).add(i)
+            stems.setdefault(stem, set()).add(i)
+        assert {(r.token, r.field): (r.tf, r.df) for r in of.word_counts(("title", "description")).collect()} == {k: (tf[k], len(df[k])) for k in tf}
+        assert {r.stem: r.df for r in of.stem_counts(("title", "description")).collect()} == {k: len(v) for k, v in stems.items()}
+        assert sorted(r.doc_id for r in of.documents(("title", "description")).collect()) == sorted({p[3] for p in places_of})
+
+
+def test_counts_of_repeated_ids(spark, tmp_path):
+    rows = [(1, "runs run", "x", None, None, "running", None, None, "f", None)] * 2 + [(2, "run", "x", None, None, "", None, None, "f", None)]
+    index = TextIndex.create(spark, str(tmp_path / "index"), buckets=2).add(spark.createDataFrame(rows, BOOK).repartition(3))
+    assert index.segments[0].repeated == 1
+    counts = {(r.token, r.field): (r.tf, r.df) for r in index.word_counts(("title", "description")).collect()}
+    assert counts == {("runs", "title"): (2, 1), ("run", "title"): (3, 2), ("running", "description"): (2, 1)}
+    assert [tuple(r) for r in index.stem_counts(("title", "description")).collect()] == [("run", 2)]
+
+
+def test_pieces_bound_what_is_grouped_at_once(monkeypatch, spark):
+    sizes = [3, 0, 9, 1, 1, 1, 30, 0, 2]
+    cut = list(textindex.pieces(np.array(sizes), 5))
+    assert [s for s, _ in cut] == [0] + [s + n for s, n in cut[:-1]] and sum(n for _, n in cut) == len(sizes)
+    assert all(sum(sizes[s : s + n - 1]) <= 5 for s, n in cut) and list(textindex.pieces(np.array([], np.int64), 5)) == []
+
+    class Task:  # the functions run here
+        @staticmethod
+        def partitionId():
+            return 1
+
+    monkeypatch.setattr(textindex.TaskContext, "get", staticmethod(Task))
+    monkeypatch.setattr(textindex, "PIECE", 10)
+    texts = [["abcabc", "ab"], ["", "xabc"], [None], ["zzzz zzzz zzzz"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "texts"])
+    out = list(textindex.gram_blocks(iter([batch])))
+    got = sorted((g, d) for b in out for g, ds in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for d in ds)
+    want = sorted({(textindex._gram(*map(ord, t[k : k + 3])), i) for i, ts in enumerate(texts) for t in ts if t for k in range(len(t) - 2)})
+    assert got == want and len(out) > 1

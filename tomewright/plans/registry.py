@@ -977,20 +977,18 @@ def _stem_sql(word: str = "token") -> str:
 
 @query("fts1_index", _TOKENS + "select token, field, count(*) as tf, count(distinct doc_id) as df from tok group by all")
 def _(c):
-    rows = _index(c).live().where(F.col("field").isin("title", "description"))
-    return rows.groupBy("token", "field").agg(F.sum(F.size("pos")).alias("tf"), F.count_distinct("doc_id").alias("df"))
+    return _index(c).word_counts(("title", "description"))
 
 
 @query("fts2_stemmed_index", _TOKENS + ", words as (select distinct token from tok), " + _stem_sql() + " select stem as token, count(distinct doc_id) as df from tok join stems on word = token group by 1")
 def _(c):
-    rows = _index(c).live().where(F.col("field").isin("title", "description"))
-    return rows.groupBy(F.col("stem").alias("token")).agg(F.count_distinct("doc_id").alias("df"))
+    return _index(c).stem_counts(("title", "description")).withColumnRenamed("stem", "token")
 
 
 @query("agg12_index_health", _TOKENS + """select titled, indexed, indexed < 0.9 * titled as warn
 from (select count(*) filter (coalesce(title, '') <> '') as titled from books), (select count(distinct doc_id) as indexed from tok)""")
 def _(c):
-    return ag.index_health(c.books, _index(c).live().where(F.col("field").isin("title", "description")).select("doc_id").distinct())
+    return ag.index_health(c.books, _index(c).documents(("title", "description")))
 
 
 def _has(token: str) -> str:
@@ -1100,7 +1098,7 @@ union all select 'repeated ids', count(*)::double, count(*) = 0 from (select id
 union all select 'metadata without file', count(*)::double, count(*) = 0 from metadata where file_id not in (select id from files)
 union all select 'index coverage', value, value >= 0.9 from (select count(*) filter (coalesce(title, '') <> '' or coalesce(authors, '') <> '') / greatest(count(*) filter (trim(coalesce(title, '')) <> ''), 1) as value from books)""")
 def _(c):
-    indexed = _index(c).live().where(F.col("field").isin("title", "authors")).select("doc_id").distinct()
+    indexed = _index(c).documents(("title", "authors"))
     return au.diagnostics(c.files, c.metadata, indexed, {r: getattr(c, r) for r in _RELATIONS})
 
 
