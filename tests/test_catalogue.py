@@ -413,3 +413,29 @@ def test_feed_is_wellformed(spark):
     assert one.find(at + "title").text == 'A <b> & "c"' and one.find(at + "category").attrib["term"] == "820"
     assert [a.find(at + "name").text for a in two.findall(at + "author")] == ["Ann", "Bo", "Cy"] and two.find(at + "title").text == "g.zzz"
     assert ElementTree.fromstring(feeds.search_description(spark).first().xml.encode()).find("{http://a9.com/-/spec/opensearch/1.1/}Url") is not None
+
+
+def test_similar_titles_meet_in_chunks_and_once(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["tale", "river", "night", "winter", "garden", "letter"]
+    rows = [(i, "common beginning " + " ".join(rng.sample(words, 5)) + rng.choice(["", " x", " the end"]), f"f{i}") for i in range(90)]
+    books = spark.createDataFrame(rows, "id bigint, title string, filename string")
+    monkeypatch.setattr(dedup, "MEETING", 7)
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 50)
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(t, i)
+    kinds = sorted((i, t) for t, i in first.items())
+    bag = lambda t: {w for w in t.split() if len(w) >= 3}
+    like = {(a, b): len(bag(x) & bag(y)) / len(bag(x) | bag(y)) for a, x in kinds for b, y in kinds if a < b}
+    for jaccard, threshold in ((0.5, 0.0), (0.8, 0.7)):
+        near = {p: j for p, j in like.items() if j >= jaccard}
+        found = dedup.title_candidates(books, jaccard)
+        assert found.rdd.getNumPartitions() == -(-len(near) // 50)
+        assert sorted((r.id_a, r.id_b, r.jaccard) for r in found.collect()) == sorted((*p, round(j, 6)) for p, j in near.items())
+        ratio = {p: SequenceMatcher(None, rows[p[0]][1], rows[p[1]][1]).ratio() for p in near}
+        want = {p: round(r, 6) for p, r in ratio.items() if r >= threshold}
+        got = dedup.similar_titles(books, jaccard, threshold).collect()
+        assert {(r.id_a, r.id_b): r.ratio for r in got} == want and len(got) == len(want)
+        plan = dedup.similar_titles(books, jaccard, threshold)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ratio(norm_a") < plan.index("Repartition")

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewright.functions.text import isbn_key, normalize_title, richness, title_similarity
+from tomewright.functions.text import isbn_key, normalize_title, richness
 from tomewright.sources.shared import staged
 
 THRESHOLD, AMBIGUOUS = 0.85, 0.70
+#: Titles of a meeting place that are held against as many others in one task; pairs whose letters a task compares.
+MEETING, TASK_PAIRS = 512, 4096
 
 
 def with_richness(books: DataFrame) -> DataFrame:
@@ -290,15 +293,31 @@ def title_candidates(books: DataFrame, jaccard: float = 0.8, threshold: float =
     ordered = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "word"))), lambda x: x["word"]).alias("ordered"))
     # one word more than the bound asks for, against rounding
     few = F.least(F.size("words"), F.floor((1 - jaccard) * F.size("words")).cast("int") + 2)
-    met = titles.join(ordered, "id").select("*", F.explode(F.slice("ordered", F.lit(1), few)).alias("meet")).drop("ordered")
+    met = titles.select("id", "block", "words").join(ordered, "id").select("id", "block", F.slice("ordered", F.lit(1), few).alias("meets"))
+    met = met.select("id", "block", "meets", F.posexplode("meets").alias("k", "meet"))
+    # two titles are a pair at the first place where they meet
+    met = met.select("id", "block", "meet", F.slice("meets", F.lit(1), F.col("k")).alias("before"))
+    place = Window.partitionBy("block", "meet")
+    chunk = lambda k: F.floor((k - 1) / MEETING).cast("int")
+    met = met.withColumns({"chunk": chunk(F.row_number().over(place.orderBy("id"))), "here": F.count("*").over(place)}).where("here > 1")
+    met = met.withColumn("last", chunk(F.col("here"))).drop("here").join(titles.drop("block"), "id")
     met = staged(met, "title-meetings")
-    a = met.select("block", "meet", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "norm", "words")])
-    b = met.select("block", "meet", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "norm", "words")])
+    sides = ("id", "n", "norm", "words", "before")
+    # two chunks meet in a task, so that a place where very many titles meet is the work of many tasks
+    later, earlier = F.explode(F.sequence("chunk", "last")), F.explode(F.sequence(F.lit(0), "chunk"))
+    a = met.select("block", "meet", F.col("chunk").alias("chunk_a"), later.alias("chunk_b"), *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = met.select("block", "meet", earlier.alias("chunk_a"), F.col("chunk").alias("chunk_b"), *[F.col(c).alias(f"{c}_b") for c in sides])
     share = F.size(F.array_intersect("words_a", "words_b")) / F.size(F.array_union("words_a", "words_b"))
     long, short = F.greatest(F.length("norm_a"), F.length("norm_b")), F.least(F.length("norm_a"), F.length("norm_b"))
-    near = (F.col("id_a") < F.col("id_b")) & (2 * short >= threshold * (long + short))
-    pairs = a.join(b, ["block", "meet"]).where(near).withColumn("jaccard", share).where(F.col("jaccard") >= jaccard)
-    return pairs.select("id_a", "n_a", "norm_a", "id_b", "n_b", "norm_b", F.round("jaccard", 6).alias("jaccard")).distinct()
+    near = (F.col("id_a") < F.col("id_b")) & (2 * short >= threshold * (long + short)) & ~F.arrays_overlap("before_a", "before_b")
+    pairs = a.join(b, ["block", "meet", "chunk_a", "chunk_b"]).where(near).withColumn("jaccard", share).where(F.col("jaccard") >= jaccard)
+    return evenly(pairs.select("id_a", "n_a", "norm_a", "id_b", "n_b", "norm_b", F.round("jaccard", 6).alias("jaccard")), "title-pairs")
+
+
+def evenly(pairs: DataFrame, name: str) -> DataFrame:
+    """Pairs written once and dealt to as many tasks as their number asks for: few bytes tell nothing of the work."""
+    kept = staged(pairs, name)
+    return kept.repartition(max(1, -(-kept.count() // TASK_PAIRS)))
 
 
 def similar_titles(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.95) -> DataFrame:
@@ -307,10 +326,32 @@ def similar_titles(books: DataFrame, jaccard: float = 0.8, threshold: float = 0.
     A title is its least id and the number of its files; ``equal_titles`` tells the files, so no group of copies makes
     pairs and no link is lost.
     """
-    pairs = title_candidates(books, jaccard, threshold).withColumn("ratio", title_similarity("norm_a", "norm_b")).where(F.col("ratio") >= threshold)
+    pairs = title_candidates(books, jaccard, threshold).withColumn("ratio", ratio_from(threshold)("norm_a", "norm_b")).where(F.col("ratio") >= threshold)
     return pairs.select("id_a", "n_a", "id_b", "n_b", "jaccard", F.round("ratio", 6).alias("ratio"))
 
 
+def ratio_from(threshold: float) -> Callable[[str, str], Column]:
+    """Ratio of two titles, null if it is below the threshold: compared only where so many of their letters, counted by kind,
+    agree that it may reach it."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher, counts = [], SequenceMatcher(None), lru_cache(4096)(Counter)
+        for x, y in zip(a, b, strict=True):
+            least = threshold * (len(x) + len(y)) - 1e-6  # a hair less, against rounding
+            if 2 * (counts(x) & counts(y)).total() < least:
+                out.append(None)
+                continue
+            if y != matcher.b:
+                matcher.set_seq2(y)
+            matcher.set_seq1(x)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    # else the planner would filter pairs, and so compare them, before they are dealt
+    return ratio.asNondeterministic()
+
+
 def equal_titles(books: DataFrame) -> DataFrame:
     """``id, master_id``: files of a title that another file of a lesser id has, and the least of these."""
     rows = shelf_titles(books)
