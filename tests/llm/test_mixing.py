@@ -100,3 +100,21 @@ def test_permuted_is_a_permutation(spark, n):
 
 def test_mix_of_nothing(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_shards_take_ranges_of_slots_by_drawn_counts(spark):
+    from tomewright.llm.mixing import drawn_counts, mixture_slots, source_targets
+
+    sizes = spark.createDataFrame([(f"s{i % 3}", 500 + 400 * (i % 3)) for i in range(600)], "source string, size bigint")
+    ranges = defaultdict(dict)
+    for r in mixture_slots(source_targets(sizes), shard_slots=128).collect():
+        ranges[r.sid].setdefault(r.shard, []).append(r.slot)
+    for by_shard in ranges.values():
+        at = 0
+        for shard in sorted(by_shard):
+            assert sorted(by_shard[shard]) == list(range(at, at + len(by_shard[shard])))
+            at += len(by_shard[shard])
+    chunks = spark.createDataFrame([(0, 9, 0, 5000, 8, c) for c in (0, 1)], "sid int, blocks long, rest long, slots long, shards long, chunk long")
+    drawn = drawn_counts(chunks, 1).orderBy("shard").collect()
+    assert [r.start for r in drawn] == [sum(r.n for r in drawn[:k]) for k in range(8)] and sum(r.n for r in drawn) == 5000
+    assert len({r.n for r in drawn}) > 3 and max(abs(r.n - 625) for r in drawn) < 130

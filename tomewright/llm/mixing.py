@@ -2,10 +2,10 @@
 
 The words of a source, document after document, are cut into blocks of ``block`` words. A source with a target of t
 words gets t / block slots: slot j of epoch e takes block P(j), where P is a permutation of the source's block numbers
-(swap-or-not: a keyed involution a round, defined on any range). Each slot draws its output shard by hash, so the
-sources' counts in a shard are a multinomial draw, given that each source's total is its target to within a block (a
-draw of each shard by itself would miss the targets by the root of their slots). The draw decides in which shards a
-document's words stand. Blocks and slots meet in a join on (source, block).
+(swap-or-not: a keyed involution a round, defined on any range). How many slots of a source each output shard has is
+drawn first: a count vector by shard, multinomial given that the source's total is its target to within a block (a draw
+of each shard by itself would miss the targets by the root of their slots). The sums of a source's counts are the
+shards' ranges of its slots, whose blocks the permutation tells. Blocks and slots meet in a join on (source, block).
 """
 
 from __future__ import annotations
@@ -59,6 +59,19 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), x.cast("long"), turn)
 
 
+def drawn_counts(chunks: DataFrame, seed: int) -> DataFrame:
+    """``n``, how many of a source's slots each shard draws, and ``start``, the first of them: a multinomial draw by source.
+
+    As many draws as the source has slots are counted by shard. Sums of the counts in the order of the shards are the
+    shards' ranges of slots, and the last range ends where the target does.
+    """
+    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1
+    draws = chunks.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("draw"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "draw"), F.col("shards"))
+    counts = draws.groupBy("sid", "blocks", "rest", "slots", shard.alias("shard")).agg(F.count("*").alias("n"))
+    return counts.withColumn("start", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n"))
+
+
 def mixture_slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``sid, slot, shard, block, take``: which block each slot takes, and how many of its words (the last: a part).
 
@@ -73,14 +86,15 @@ def mixture_slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shar
     plan = plan.withColumn("shards", F.greatest(F.ceil(F.sum("slots").over(everything) / shard_slots), F.lit(1).cast("long")))
     chunks = plan.select("sid", "blocks", "rest", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
     tasks = max(1, -(-(plan.agg(F.sum(F.ceil(F.col("slots") / CHUNK))).first()[0] or 0) // TASK_CHUNKS))
-    last = F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1
-    slots = chunks.repartition(tasks, "sid", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
+    ranges = drawn_counts(chunks.repartition(tasks, "sid", "chunk"), seed)
+    ranges = ranges.repartition(tasks, "sid", "shard")
+    slots = ranges.select("*", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("slot"))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("x", F.col("slot") % F.col("blocks"))
     part = (F.col("slot") == F.col("slots") - 1) & (F.col("rest") % block > 0)
     return slots.select(
         "sid",
         "slot",
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "slot"), F.col("shards")).alias("shard"),
+        "shard",
         permuted(F.col("x"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("epoch")).alias("block"),
         F.when(part, F.col("rest") % block).otherwise(F.lit(block)).cast("int").alias("take"),
     )
