@@ -439,3 +439,16 @@ def test_similar_titles_meet_in_chunks_and_once(spark, monkeypatch):
         assert {(r.id_a, r.id_b): r.ratio for r in got} == want and len(got) == len(want)
         plan = dedup.similar_titles(books, jaccard, threshold)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("ratio(norm_a") < plan.index("Repartition")
+
+
+def test_resolution_compares_no_titles_for_reports(spark, monkeypatch):
+    asked, plain = [], dedup.fuzzy_pairs
+    monkeypatch.setattr(dedup, "fuzzy_pairs", lambda *a, **k: asked.append(k.get("ambiguous")) or plain(*a, **k))
+    dedup.resolve(catalogue.Catalogue(spark, entry.SMOKE_DIR).books)
+    assert asked == [dedup.THRESHOLD, dedup.THRESHOLD]
+    rng = random.Random(9)
+    titles = ["".join(rng.choices("abcd ", k=rng.randint(10, 40))) for _ in range(60)]
+    titles += [t[:-2] + rng.choice("xyz") for t in titles] + [t[: len(t) * 2 // 3] for t in titles]
+    both = [dedup.Standing(0.85, least, True) for least in (0.7, 0.85)]
+    some, all_ = ([h for i, t in enumerate(titles) for h in s.add(i, t, i % 5)] for s in reversed(both))
+    assert some == [h for h in all_ if not h[3]] and some and len(some) < len(all_)

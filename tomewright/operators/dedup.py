@@ -208,12 +208,13 @@ def resolve(books: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     passes work on a narrow relation, and each writes its losers, so none repeats the ones before it.
     """
     rows = staged(keyed(books), "books-keyed")
+    # titles below the threshold are reports, which nobody reads here: they aren't compared
     left, losers = rows if keep is None else rows.join(keep.select("id"), "id", "left_anti"), []
     passes = (
         ("duplicate_by_hash", lambda left: exact_losers(left, F.col("file_hash"), "")),
         ("duplicate_by_isbn", lambda left: exact_losers(left, isbn_key(F.col("isbn")), "")),
-        ("duplicate_by_title", lambda left: by_title(left).where("not ambiguous")),
-        ("duplicate_by_author_year_title", lambda left: by_author_year(left).where("not ambiguous")),
+        ("duplicate_by_title", lambda left: by_title(left, ambiguous=THRESHOLD)),
+        ("duplicate_by_author_year_title", lambda left: by_author_year(left, ambiguous=THRESHOLD)),
     )
     for reason, search in passes:
         losers.append(staged(search(left).select("id", "master_id", F.lit(reason).alias("reason")), reason))
