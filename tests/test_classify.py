@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tomewright.operators import classify as cl
@@ -73,3 +74,13 @@ def test_learned_words_equal_plain_counts(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     taxonomy = cl.taxonomy_of(got)
     assert [t[2] for t in taxonomy] == sorted(t[2] for t in taxonomy) and len(taxonomy) == len(want)
+
+
+def test_books_are_classified_in_pieces_of_bounded_words(monkeypatch):
+    monkeypatch.setattr(cl, "PIECE_WORDS", 10)
+    rng = random.Random(5)
+    books = [[["w"] * rng.randint(0, 4) for _ in range(3)] for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(books, pa.list_(pa.list_(pa.string())))], ["id", "words"]).slice(3)
+    cut = list(cl._pieces(batch))
+    assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(3, 40)) and [x for b in cut for x in b.column(1).to_pylist()] == books[3:]
+    assert len(cut) > 5 and all(sum(len(t) for x in b.column(1).to_pylist()[:-1] for t in x) <= 10 for b in cut)

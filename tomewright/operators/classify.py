@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import stem
+from tomewright.operators.textindex import pieces
 
 TOP = 5
 # How much a hit counts by where it is found.
@@ -128,6 +129,19 @@ def _script(texts: Column) -> Column:
     return F.when(texts.rlike("|".join(block for _, _, block in SCRIPTS)), rule)
 
 
+#: Words whose patterns a task holds at once.
+PIECE_WORDS = 500_000
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of books (id, lists of words, ..) in pieces of a bounded number of words."""
+    lists = batch.column(1)
+    ends = np.append(0, np.cumsum(np.diff(lists.flatten().offsets.to_numpy())))
+    edges = lists.offsets.to_numpy()
+    for start, count in pieces(np.diff(ends[edges - edges[0]]), PIECE_WORDS):
+        yield batch.slice(start, count)
+
+
 def classify(books: DataFrame, taxonomy: list[tuple[str, str, int, str, float]] | None = None) -> DataFrame:
     """``id, udc_code, udc_label, score, weight, rank``, five rows a book at most.
 
@@ -144,8 +158,7 @@ def classify(books: DataFrame, taxonomy: list[tuple[str, str, int, str, float]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, kinds = Patterns(rows), len(SIGNALS)
         multiples, wide = np.array(list(SIGNALS.values())), len(patterns.categories)
-        for batch in batches:
-            ids, lists, script, kept = batch.columns
+        for ids, lists, script, kept in (piece.columns for batch in batches for piece in _pieces(batch)):
             books_here = len(ids)
             text, pattern = patterns.hits(lists.flatten(), kept.flatten().to_pylist() if searched else [])
             cell = text // kinds * wide + patterns.category[pattern]
