@@ -452,3 +452,35 @@ def test_resolution_compares_no_titles_for_reports(spark, monkeypatch):
     both = [dedup.Standing(0.85, least, True) for least in (0.7, 0.85)]
     some, all_ = ([h for i, t in enumerate(titles) for h in s.add(i, t, i % 5)] for s in reversed(both))
     assert some == [h for h in all_ if not h[3]] and some and len(some) < len(all_)
+
+
+@pytest.mark.parametrize("gate", [True, False])
+def test_rows_of_many_blocks_at_once_equal_the_sequential_rule(gate, monkeypatch):
+    """Bounds are found for runs of rows, over blocks that end and go on in them, in pieces of any size."""
+    for seed, (rows_at_once, held, together) in enumerate([(7, 1, 3), (40, 50, 8192), (512, 1 << 20, 64)]):
+        monkeypatch.setattr(dedup.Standing, "ROWS", rows_at_once)
+        monkeypatch.setattr(dedup.Standing, "PAIRS", held)
+        monkeypatch.setattr(dedup, "TOGETHER", together)
+        rng, rows, want = random.Random(seed), [], []
+        for block in range(5):
+            titles = varied_titles(rng, rng.choice([1, 30, 90]))
+            titles += rng.choices(titles, k=len(titles) // 3) + ["a" * 250]
+            some = [(len(rows) + k, t, rng.randint(1, 3)) for k, t in enumerate(rng.sample(titles, len(titles)))]
+            rows += [(*r, (block,)) for r in some]
+            want += sequential(some, gate)
+        standing, cut = dedup.Standing(dedup.THRESHOLD, dedup.AMBIGUOUS, gate), len(rows) // 2
+        assert [*standing.add_rows(rows[:cut]), *standing.add_rows(rows[cut:])] == want and want
+
+
+def test_few_unlike_titles_are_compared_in_full(monkeypatch):
+    """Of 300 unlike titles all pairs have a bound; bounds of many rows are few calls, and letters rule out most pairs before."""
+    rng, calls, plain = random.Random(4), [], dedup.common_lengths
+    monkeypatch.setattr(dedup, "common_lengths", lambda *a, **k: calls.append(len(a[3])) or plain(*a, **k))
+    rows = [(i, "".join(rng.choices("abcdefghijklm" if i % 2 else "nopqrstuvwxyz", k=60)), 1, (0,)) for i in range(300)]
+    assert list(dedup.Standing(dedup.THRESHOLD, dedup.AMBIGUOUS, False).add_rows(rows)) == []
+    assert len(calls) <= 20 and 2 * max(calls) < 300 * 299 // 2
+
+
+def test_blocks_of_few_bytes_are_many_tasks(spark):
+    books = spark.createDataFrame([(i, f"title {i}", 1, i % 40) for i in range(400)], "id bigint, norm string, richness int, block int")
+    assert dedup.fuzzy_pairs(books, [F.col("block")], False).rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism

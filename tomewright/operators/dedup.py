@@ -19,6 +19,10 @@ from tomewright.sources.shared import staged
 THRESHOLD, AMBIGUOUS = 0.85, 0.70
 #: Titles of a meeting place that are held against as many others in one task; pairs whose letters a task compares.
 MEETING, TASK_PAIRS = 512, 4096
+#: Pairs of titles whose common subsequences are found at once.
+TOGETHER = 16384
+#: A title's letters are dealt to so many parts, common ones evenly.
+PARTS = 4
 
 
 def with_richness(books: DataFrame) -> DataFrame:
@@ -45,102 +49,237 @@ def character_kinds(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % KINDS + 1).astype(np.uint16)
 
 
-def common_lengths(codes: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
-    """Lengths of the longest common subsequences of many texts and one, all at once by bits (Hyyrö 2004).
+def common_lengths(codes: np.ndarray, table: np.ndarray, size: int | np.ndarray, text: np.ndarray | None = None, start: np.ndarray | int = 0, least: np.ndarray | int = 0) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of texts, many at once by bits (Hyyrö 2004).
 
     ``codes`` has a text a row, as numbers of its characters, 0 behind its end; ``table`` has for each number the places
-    of that character in the one text of ``size`` characters, 64 a word. Row 0 of it is empty.
+    of that character in the other text of ``size`` characters, 64 a word. Row 0 of it is empty. Each text is compared with
+    that one by default; else ``text`` has the row of each pair, and the table of its other text begins at ``start``. A pair
+    that can't reach its ``least`` is given up early, and has some lesser number.
     """
-    words = table.shape[1]
-    v = np.full((len(codes), words), ~np.uint64(0))
-    for column in codes.T:
-        m = table[column]
-        u = v & m
-        total = v + u
-        carry = total < u
-        for k in range(1, words):  # what overflows a word goes to the next one
-            add = total[:, k] + carry[:, k - 1]
-            carry[:, k] |= add < total[:, k]
-            total[:, k] = add
-        v = total | (v & ~m)
-    ends = np.array([(1 << max(0, min(64, size - 64 * k))) - 1 for k in range(words)], np.uint64)
-    return np.bitwise_count(~v & ends).sum(axis=1, dtype=np.int64)
+    text = np.arange(len(codes)) if text is None else text
+    start, size, least = (np.broadcast_to(x, len(text)) for x in (start, size, least))
+    columns, places, words = codes.T.astype(np.intp, order="C"), np.ascontiguousarray(table.T), table.shape[1]
+    behind = np.cumsum(columns[::-1] != 0, axis=0, dtype=np.int32)[::-1]  # characters from a column on
+    out = np.zeros(len(text), np.int64)
+    for begin in range(0, len(text), TOGETHER):
+        live = np.arange(begin, min(begin + TOGETHER, len(text)))
+        v = np.full((words, len(live)), ~np.uint64(0))
+        for c, column in enumerate(columns):
+            if c % 16 == 0:
+                out[live] = known = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+                left = behind[c][text[live]]
+                on = (left > 0) & (np.minimum(known + left, size[live]) >= least[live])
+                if not on.all():
+                    live, v = live[on], v[:, on]
+                if not len(live):
+                    break
+                here, starts = text[live], start[live]
+            at = column[here] + starts
+            for k in range(words):
+                w, m = v[k], places[k][at]
+                np.bitwise_and(w, m, out=m)
+                total = w + m
+                over = total < m if k + 1 < words else None
+                if k:  # what overflows a word goes to the next one
+                    total += carry
+                    over = over | (total < carry) if k + 1 < words else None
+                carry = None if over is None else over.astype(np.uint64)
+                np.bitwise_xor(w, m, out=m)
+                np.bitwise_or(total, m, out=w)
+        else:
+            out[live] = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def coded(texts: list[str]) -> np.ndarray:
+    """The numbers of the characters of many texts, a text a row, 0 behind its end."""
+    kinds = [character_kinds(t) for t in texts]
+    out = np.zeros((len(texts), max(1, *map(len, kinds))), np.uint16)
+    for row, k in zip(out, kinds, strict=True):
+        row[: len(k)] = k
+    return out
+
+
+class Letters:
+    """Some letters of many texts, as numbers from 1 on, 0 for what is left out: those from row ``known`` on with the places of
+    each of their letters, to be compared with any."""
+
+    def __init__(self, codes: np.ndarray, known: int, width: int = 0):
+        used = codes > 0
+        row, place = np.nonzero(used)
+        self.sizes = used.sum(axis=1)
+        self.codes = np.zeros((len(codes), max(1, self.sizes.max())), codes.dtype)
+        at = (np.cumsum(used, axis=1) - 1)[row, place]
+        self.codes[row, at] = codes[row, place]
+        self.known, self.width = known, width or int(codes.max()) + 1
+        self.words = np.maximum(1, -(-self.sizes[known:] // 64))
+        self.table = np.zeros((len(codes) - known, self.width, self.words.max()), np.uint64)
+        later = row >= known
+        bit = np.uint64(1) << (at % 64).astype(np.uint64)
+        np.bitwise_or.at(self.table, (row[later] - known, codes[row, place][later], at[later] // 64), bit[later])
+
+    def most(self, text: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.minimum(self.sizes[text], self.sizes[self.known + other])
+
+    def common(self, text: np.ndarray, other: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """``common_lengths`` of texts and as many others, which are numbered from ``known`` on."""
+        out = np.zeros(len(text), np.int64)
+        for n in np.unique(self.words[other]).tolist():
+            at = np.flatnonzero(self.words[other] == n)
+            table = self.table[:, :, :n].reshape(-1, n)
+            out[at] = common_lengths(self.codes, table, self.sizes[self.known + other[at]], text[at], other[at] * self.width, least[at])
+        return out
+
+
+#: Letters of a title are counted in so many kinds, up to so many of each; what is beyond counts as agreeing.
+LETTERS, MOST = 32, 16
+
+
+def letter_bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of bits for each text, one for each of the first letters of a kind, and the number of its other letters."""
+    kind = np.arange(len(codes))[:, None] * (LETTERS + 1) + np.where(codes > 0, codes % LETTERS + 1, 0)
+    counts = np.bincount(kind.ravel(), minlength=len(codes) * (LETTERS + 1)).reshape(len(codes), LETTERS + 1)[:, 1:]
+    bits = np.packbits(counts[:, :, None] > np.arange(MOST)).view(np.uint64).reshape(len(codes), -1)
+    return np.ascontiguousarray(bits.T), np.maximum(counts - MOST, 0).sum(axis=1)
 
 
 class Standing:
     """The titles of one block that stand so far. Rows come in id order; the first hit decides, so a hit's keeper stands.
 
-    The ratio of two titles is at most twice their longest common subsequence by their lengths together. That bound is
-    found for all standing titles at once, and only those that reach it are compared.
+    The ratio of two titles is at most twice their longest common subsequence by their lengths together, and that is at most
+    the letters that they share. Both bounds are found for many rows and all standing titles at once, and only pairs that
+    reach them are compared.
     """
 
-    #: So few titles are compared without the bound.
-    FEW = 8
+    #: Rows whose bounds are found at once; pairs that are held for it.
+    ROWS, PAIRS = 512, 1 << 20
 
     def __init__(self, threshold: float, ambiguous: float, gate: bool):
         self.threshold, self.ambiguous, self.gate = threshold, ambiguous, gate
-        self.ids: list[int] = []
-        self.titles: list[str] = []
-        self.rich: list[int] = []
-        self.codes, self.sizes, self.stands = np.zeros((16, 32), np.uint16), np.zeros(16, np.int64), np.zeros(16, bool)
+        self.block: object = None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: list[tuple[int, str, int]] = []
+        self.codes, self.stands = np.zeros((0, 1), np.uint16), np.zeros(0, bool)
 
     def add(self, i: int, title: str, rich: int) -> Iterator[tuple[int, int, float, bool]]:
         """``id, master_id, ratio, ambiguous`` of one more row: its reports and at most one loss."""
-        matcher = SequenceMatcher(None, "", title)
-        for k in self._near(title):
-            matcher.set_seq1(self.titles[k])
-            ratio = matcher.ratio()
-            if ratio >= self.threshold:
-                if rich <= self.rich[k]:
-                    yield i, self.ids[k], ratio, False
+        yield from self.add_rows([(i, title, rich, self.block)])
+
+    def add_rows(self, rows: list[tuple[int, str, int, object]]) -> Iterator[tuple[int, int, float, bool]]:
+        """The same for many rows with their blocks, each block's rows together; a new block begins with no title standing."""
+        for k in range(0, len(rows), self.ROWS):
+            yield from self._add(rows[k : k + self.ROWS])
+
+    def _add(self, rows: list[tuple[int, str, int, object]]) -> Iterator[tuple[int, int, float, bool]]:
+        kinds: dict[tuple[object, str], int] = {}  # equal titles of a block have the same near ones
+        of = [kinds.setdefault((at, title), len(kinds)) for _, title, _, at in rows]
+        codes = coded([title for _, title in kinds])
+        kept, new = self._near(list(kinds), codes)
+        here: list[list[int]] = [[] for _ in kinds]  # rows of a kind that stand
+        matcher, continued = SequenceMatcher(None), self.block
+        for n, (i, title, rich, at) in enumerate(rows):
+            if at != self.block:
+                self.block, here = at, [[] for _ in kinds]
+                self._clear()
+            tried = [(k, self.rows[k], True) for k in kept[of[n]] if self.stands[k]] if at == continued else []
+            tried += [(k, rows[k][:3], False) for k in sorted(k for other in new[of[n]] for k in here[other])]
+            if tried:
+                matcher.set_seq2(title)
+            for k, (j, other, other_rich), old in tried:
+                if self.gate and abs(len(other) - len(title)) > max(len(title) // 3, 10):
+                    continue
+                matcher.set_seq1(other)
+                ratio = matcher.ratio()
+                if ratio >= self.threshold:
+                    if rich <= other_rich:
+                        yield i, j, ratio, False
+                        break
+                    yield j, i, ratio, False
+                    if old:
+                        self.stands[k] = False
+                    else:
+                        here[of[k]].remove(k)
+                    here[of[n]].append(n)
+                    break
+                if ratio >= self.ambiguous:
+                    yield i, j, ratio, True
+            else:
+                here[of[n]].append(n)
+        self._append([(rows[k][:3], codes[of[k]]) for k in sorted(k for some in here for k in some)])
+
+    def _near(self, kinds: list[tuple[object, str]], codes: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """For each title, oldest first, the kept ones of its block that may be as like as ``ambiguous``, and the numbers of
+        those beside it, itself included."""
+        known, wide = len(self.rows), max(self.codes.shape[1], codes.shape[1])
+        pool = np.vstack([np.pad(c, ((0, 0), (0, wide - c.shape[1]))) for c in (self.codes, codes)])
+        sizes, stands = np.count_nonzero(pool, axis=1), np.append(self.stands, np.ones(len(kinds), bool))
+        bits, beyond = letter_bits(pool)
+        each = np.bincount(codes.ravel(), minlength=KINDS + 1)
+        each[0] = 0
+        used = np.argsort(-each, kind="stable")[: np.count_nonzero(each)]
+        number = np.zeros(KINDS + 1, np.uint16)
+        number[used] = np.arange(1, len(used) + 1)
+        whole = Letters(number[pool], known)
+        # what all letters have in common is at most the sum over parts of them, whose texts mostly fit into a word
+        deal = np.arange(len(used) + 1) % (2 * PARTS)
+        part = np.minimum(deal, 2 * PARTS - 1 - deal)[whole.codes]
+        parts = [Letters(np.where((part == k) & (whole.codes > 0), whole.codes, 0), known, whole.width) for k in range(PARTS)]
+        kept: list[list[int]] = [[] for _ in kinds]
+        new: list[list[int]] = [[k] for k in range(len(kinds))]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def compare() -> None:
+            text, kind, least = (np.concatenate(x) for x in zip(*held, strict=True))
+            got = sum(part.most(text, kind) for part in parts)
+            for part in parts:
+                most = part.most(text, kind)
+                got += part.common(text, kind, least / 2 - got + most) - most
+                on = got >= least / 2
+                text, kind, least, got = text[on], kind[on], least[on], got[on]
+            on = 2 * whole.common(text, kind, least / 2) >= least
+            for a, b in zip(text[on].tolist(), kind[on].tolist(), strict=True):
+                if a < known:
+                    kept[b].append(a)
                 else:
-                    yield self.ids[k], i, ratio, False
-                    self.stands[k] = False
-                    self._append(i, title, rich)
-                return
-            if ratio >= self.ambiguous:
-                yield i, self.ids[k], ratio, True
-        self._append(i, title, rich)
-
-    def _near(self, title: str) -> list[int]:
-        """The standing titles, oldest first, that may be as like as ``ambiguous``."""
-        n, size = len(self.ids), len(title)
-        sizes = self.sizes[:n]
-        # a hair less, against rounding
-        least = self.ambiguous * (sizes + size) - 1e-6
-        near = self.stands[:n] & (2 * np.minimum(sizes, size) >= least)
-        if self.gate:
-            near &= np.abs(sizes - size) <= max(size // 3, 10)
-        at = np.flatnonzero(near)
-        if len(at) > self.FEW:
-            table = np.zeros((KINDS + 1, -(-size // 64)), np.uint64)
-            for place, c in enumerate(character_kinds(title).tolist()):
-                table[c, place // 64] |= np.uint64(1 << place % 64)
-            common = common_lengths(self.codes[at, : self.sizes[at].max()], table, size)
-            at = at[2 * common >= least[at]]
-        return at.tolist()
-
-    def _append(self, i: int, title: str, rich: int) -> None:
-        n = len(self.ids)
-        if n == len(self.sizes):
-            self._compact()
-            n = len(self.ids)
-        if len(title) > self.codes.shape[1]:
-            self.codes = np.pad(self.codes, ((0, 0), (0, 2 * len(title) - self.codes.shape[1])))
-        self.codes[n] = 0
-        self.codes[n, : len(title)] = character_kinds(title)
-        self.sizes[n], self.stands[n] = len(title), True
-        self.ids.append(i)
-        self.titles.append(title)
-        self.rich.append(rich)
-
-    def _compact(self) -> None:
-        """Leave out what doesn't stand; make room for as many more."""
-        keep = np.flatnonzero(self.stands)
-        self.ids, self.titles, self.rich = ([x[k] for k in keep] for x in (self.ids, self.titles, self.rich))
-        room = max(16, len(keep))
-        self.codes = np.pad(self.codes[keep], ((0, room), (0, 0)))
-        self.sizes, self.stands = np.pad(self.sizes[keep], (0, room)), np.pad(self.stands[keep], (0, room))
+                    new[a - known].append(b)
+                    new[b].append(a - known)
+            held.clear()
+
+        begin = waiting = 0
+        for k, (at, title) in enumerate(kinds):
+            if k and at != kinds[k - 1][0]:
+                begin = known + k
+            elif not k and at != self.block:
+                begin = known
+            end, size = known + k, len(title)
+            others = sizes[begin:end]
+            least = self.ambiguous * (others + size) - 1e-6  # a hair less, against rounding
+            shared = np.bitwise_count(bits[:, begin:end] & bits[:, end, None]).sum(axis=0, dtype=np.int64) + np.minimum(beyond[begin:end], beyond[end])
+            near = stands[begin:end] & (2 * np.minimum(others, size) >= least) & (2 * shared >= least)
+            if self.gate:
+                near &= np.abs(others - size) <= np.maximum(np.maximum(others, size) // 3, 10)
+            at = np.flatnonzero(near)
+            if len(at):
+                held.append((at + begin, np.full(len(at), k), least[at]))
+                waiting += len(at)
+            if waiting >= self.PAIRS:
+                compare()
+                waiting = 0
+        if held:
+            compare()
+        return kept, new
+
+    def _append(self, rows: list[tuple[tuple[int, str, int], np.ndarray]]) -> None:
+        """Leave out what doesn't stand; keep these rows behind it."""
+        stay = np.flatnonzero(self.stands)
+        self.rows = [self.rows[k] for k in stay.tolist()] + [row for row, _ in rows]
+        codes = [self.codes[stay], *([np.stack([c for _, c in rows])] if rows else [])]
+        wide = max(c.shape[1] for c in codes)
+        self.codes = np.vstack([np.pad(c, ((0, 0), (0, wide - c.shape[1]))) for c in codes])
+        self.stands = np.ones(len(self.rows), bool)
 
 
 def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: float = THRESHOLD, ambiguous: float = AMBIGUOUS) -> DataFrame:
@@ -160,18 +299,16 @@ def fuzzy_pairs(books: DataFrame, block: list[Column], gate: bool, threshold: fl
     rows = rows.join(paired, [rows[n].eqNullSafe(paired[n]) for n in names], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, standing = None, Standing(threshold, ambiguous, gate)
+        standing = Standing(threshold, ambiguous, gate)
         for batch in batches:
-            hits = []
-            for i, title, rich, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != key:
-                    key, standing = at, Standing(threshold, ambiguous, gate)
-                hits += standing.add(i, title, rich)
+            hits = list(standing.add_rows([(i, title, rich, tuple(at)) for i, title, rich, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True)]))
             columns = list(zip(*hits, strict=True)) if hits else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "master_id", "ratio", "ambiguous"])
 
-    ordered = rows.repartition(*names).sortWithinPartitions(*names, "id").select("id", "norm", "richness", *names)
+    # a number, else blocks of few bytes and much work would be put together; several a core, as blocks differ
+    parts = max(int(books.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * books.sparkSession.sparkContext.defaultParallelism)
+    ordered = rows.repartition(parts, *names).sortWithinPartitions(*names, "id").select("id", "norm", "richness", *names)
     return ordered.mapInArrow(run, "id bigint, master_id bigint, ratio double, ambiguous boolean")
 
 
