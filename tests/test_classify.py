@@ -84,3 +84,11 @@ def test_books_are_classified_in_pieces_of_bounded_words(monkeypatch):
     cut = list(cl._pieces(batch))
     assert [i for b in cut for i in b.column(0).to_pylist()] == list(range(3, 40)) and [x for b in cut for x in b.column(1).to_pylist()] == books[3:]
     assert len(cut) > 5 and all(sum(len(t) for x in b.column(1).to_pylist()[:-1] for t in x) <= 10 for b in cut)
+
+
+def test_only_words_of_the_patterns_are_sent(spark):
+    books = spark.createDataFrame([(1, "alpha beta", None, "alpha", "gamma delta alpha", None, None)], "id bigint, " + ", ".join(f"{c} string" for c in COLUMNS))
+    whole = [("1", "a", 0, r"\balpha\b", 1.0), ("2", "b", 1, r"\bzeta\b", 1.0)]
+    plan = lambda taxonomy: cl.classify(books, taxonomy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zeta" in plan(whole) and "zeta" not in plan([*whole, ("3", "c", 2, r"\bgam", 1.0)])
+    assert [(r.udc_code, r.score) for r in cl.classify(books, whole).collect()] == [("1", 6.2)]

@@ -152,8 +152,15 @@ def classify(books: DataFrame, taxonomy: list[tuple[str, str, int, str, float]]
     rows = taxonomy or taxonomy_rows()
     name = F.regexp_replace(stem(F.col("filename")), r"[_\-+]+", " ")
     texts = F.array(*[F.lower(F.coalesce(name if s == "filename" else F.col(s), F.lit(""))) for s in SIGNALS])
-    words = F.transform("texts", lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))))
-    searched = bool(Patterns(rows).searched)
+    known = Patterns(rows)
+    searched = bool(known.searched)
+
+    def words_of(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+        # where all patterns are whole words, no other word is sent
+        return F.array_distinct(found if known.beginnings or known.everywhere else F.filter(found, lambda w: w.isin(list(known.words))))
+
+    words = F.transform("texts", words_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, kinds = Patterns(rows), len(SIGNALS)
